@@ -132,19 +132,20 @@ def mask_truncated(text: Column, mode: str = "strict") -> Column:
     raise ValueError(f"unknown masking mode {mode!r}")
 
 
-def mask_dsl(text: Column, mode: str = "compat") -> Column:
+def mask_dsl(text: Column, mode: str = "compat", valid: Column | None = None) -> Column:
     """Template of a query text. Valid JSON is masked natively; the rest by mode.
 
-    Valid rows reach the Python function of ``compat`` as NULL.
+    Valid rows reach the Python function of ``compat`` as NULL. ``valid`` is
+    is_json(text) where the caller already has it.
     """
-    valid = is_json(text)
+    valid = is_json(text) if valid is None else valid
     cut = mask_truncated(F.when(~valid, text), mode)
     return F.when(valid, mask_json(text)).otherwise(cut)
 
 
-def dsl_format(text: Column) -> Column:
-    """Which masking applies: json or non-json."""
-    return F.when(is_json(text), F.lit("json")).otherwise(F.lit("non-json"))
+def dsl_format(valid: Column) -> Column:
+    """Which masking applied, from is_json: json or non-json."""
+    return F.when(valid, F.lit("json")).otherwise(F.lit("non-json"))
 
 
 def fingerprint(text: Column) -> Column:

@@ -76,7 +76,7 @@ def test_mask_truncated(spark):
 def test_mask_dsl_switch(spark):
     texts = ['{"a":1}', '{"a":1', None]
     assert run(spark, texts, L.mask_dsl) == ['{"a":"?"}', '{"a":?', None]
-    assert run(spark, texts[:2], L.dsl_format) == ["json", "non-json"]
+    assert run(spark, texts[:2], lambda c: L.dsl_format(L.is_json(c))) == ["json", "non-json"]
 
 
 scalars = st.one_of(st.none(), st.booleans(), st.integers(), st.text(max_size=6))
