@@ -43,7 +43,7 @@ def epoch_millis(ts: Column) -> Column:
         F.unix_date(ts.cast("date")).cast("bigint") * 86_400_000
         + F.hour(ts) * 3_600_000
         + F.minute(ts) * 60_000
-        + F.floor(seconds * 1000)
+        + F.floor(seconds * 1000).cast("bigint")
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logharbor.functions.ids import round_cents
@@ -63,6 +63,12 @@ def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick) -> Dat
     return picked.select("_row.*")
 
 
+def top_hits(df: DataFrame, keys: Sequence[str], order: Sequence[Column], hits: int) -> DataFrame:
+    """The first hits rows per key. Spark cuts each task's rows to that many before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_rank", rank).filter(F.col("_rank") <= hits).drop("_rank")
+
+
 def child_counts(children: DataFrame, parent: str) -> DataFrame:
     """Number of children per parent key."""
     return children.groupBy(parent).agg(F.count("*").alias("children"))

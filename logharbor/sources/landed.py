@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from logharbor.schemas import VENDOR_A_RAW, VENDOR_B_RAW
 
@@ -26,8 +25,7 @@ def read_vendor_a(spark: SparkSession, path: str, start: int | None = None, end:
 
 def read_vendor_b(spark: SparkSession, path: str, level: str = "WARN") -> DataFrame:
     """Vendor B JSON lines of one level below ``cluster=.../node=...`` directories."""
-    schema = T.StructType([*VENDOR_B_RAW.fields, T.StructField("cluster", T.StringType()), T.StructField("node", T.StringType())])
-    return spark.read.schema(schema).json(path).filter(F.col("level") == level)
+    return spark.read.schema(f"{VENDOR_B_RAW}, cluster STRING, node STRING").json(path).filter(F.col("level") == level)
 
 
 def data_nodes(details: DataFrame, node_type: str = "ess") -> DataFrame:
@@ -42,7 +40,7 @@ def data_nodes(details: DataFrame, node_type: str = "ess") -> DataFrame:
 def read_dumps(spark: SparkSession, path: str) -> DataFrame:
     """Thread dumps, one whole text file each, below ``instanceId=...`` directories."""
     schema = "value STRING, instanceId STRING"
-    return spark.read.schema(schema).option("wholetext", True).text(path).withColumnRenamed("value", "rawText")
+    return spark.read.schema(schema).text(path, wholetext=True).withColumnRenamed("value", "rawText")
 
 
 def accepted(df: DataFrame, event_time: str, pull_time: Column, minutes: int) -> DataFrame:

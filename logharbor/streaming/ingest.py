@@ -17,12 +17,14 @@ from logharbor.operators.aggregates import latest
 KEY = ("ingest_date", "doc_id")
 
 
-def file_stream(spark: SparkSession, path: str, schema, per_trigger: int | None = None) -> DataFrame:
-    """Parquet files as a stream."""
-    reader = spark.readStream.schema(schema)
+def file_stream(
+    spark: SparkSession, folder: str, schema, glob: str = "*.parquet", per_trigger: int | None = None
+) -> DataFrame:
+    """The Parquet files of a folder as a stream."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
-    return reader.parquet(path)
+    return reader.parquet(folder)
 
 
 def write_batch(path: str, order: tuple[str, ...]):
@@ -95,8 +97,7 @@ def thread_dumps(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files below ``instanceId=...`` directories as a stream."""
     return (
         spark.readStream.schema("value STRING, instanceId STRING")
-        .option("wholetext", True)
-        .text(path)
+        .text(path, wholetext=True)
         .withColumnRenamed("value", "rawText")
     )
 
