@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import re
+import sys
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logharbor.functions.jsontext import escape_markup, is_json
+from logharbor.functions.jsontext import escape_markup, is_json, let
+
+# Python workers get this module's functions by value, so they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # A JSON string. Possessive quantifiers: linear time and no backtracking into keys.
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
@@ -20,8 +25,7 @@ _MARK = "\u0001"
 
 
 def _collapse(text: Column) -> Column:
-    """Marks behind keys go, all-scalar arrays shrink to one element, marks become "?"."""
-    text = F.regexp_replace(text, f":{_MARK}", ":")
+    """All-scalar arrays shrink to one element and marks become "?"."""
     text = F.regexp_replace(text, rf"\[{_MARK}(?:,{_MARK})*+\]", '["?"]')
     return F.replace(text, F.lit(_MARK), F.lit('"?"'))
 
@@ -38,14 +42,16 @@ def _canonical_keys(masked: Column) -> Column:
 
 def mask_json(text: Column) -> Column:
     """Mask a valid JSON text: scalars become "?", keys and key order stay."""
-    text = F.regexp_replace(text, rf"({_STRING})|\s+", "$1")
+    # Every token leaves a mark and keys leave themselves in front of it; then the marks of keys go.
     text = F.regexp_replace(
-        text, rf"({_STRING}:)|{_STRING}|-?[0-9][0-9.eE+-]*+|true|false|null", f"$1{_MARK}"
+        text, rf"({_STRING})\s*+(:)|{_STRING}|-?[0-9][0-9.eE+-]*+|true|false|null", f"$1$2{_MARK}"
+    )
+    text = F.regexp_replace(text, rf"({_STRING}:){_MARK}|\s++", "$1")
+    # Only keys hold free text now, and few hold anything to re-encode.
+    return let(
+        _collapse(text),
+        lambda m: F.when(F.rlike(m, F.lit("[\\\\<>&\u2028\u2029]")), escape_markup(_canonical_keys(m))).otherwise(m),
     )
-    text = _collapse(text)
-    # Only keys hold free text now.
-    text = F.when(F.contains(text, F.lit("\\")), _canonical_keys(text)).otherwise(text)
-    return escape_markup(text)
 
 
 def mask_cut_strict(text: Column) -> Column:
@@ -55,10 +61,10 @@ def mask_cut_strict(text: Column) -> Column:
     or cut, and every bare word becomes a masked value.
     """
     text = F.replace(text, F.lit(_MARK), F.lit(" "))
-    text = F.regexp_replace(text, rf"(?s)({_STRING}|{_CUT_STRING})|\s+", "$1")
     text = F.regexp_replace(
-        text, rf'(?s)({_STRING}:)|{_STRING}|{_CUT_STRING}|[^\s"{{}}\[\],:{_MARK}]++', f"$1{_MARK}"
+        text, rf'(?s)({_STRING})\s*+(:)|{_STRING}|{_CUT_STRING}|[^\s"{{}}\[\],:]++', f"$1$2{_MARK}"
     )
+    text = F.regexp_replace(text, rf"(?s)({_STRING}:){_MARK}|\s++", "$1")
     return _collapse(text)
 
 

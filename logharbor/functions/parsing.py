@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logharbor.functions.jsontext import is_json
+from logharbor.functions.jsontext import is_json, let
 
 # The formats of the two vendors' text records.
 LINE_HEADER = r"\[([^\]]+)\]\s+\[([^\]]+)\]\s+\[([^\]]+)\]\[(\d+)\]"
@@ -66,12 +66,11 @@ _TOKENS = r'("[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\]]|[^"{}\[\]]++|")'
 def extract_source(line: Column) -> Column:
     """The JSON object behind the first ``source[``; NULL when there is none.
 
-    One pass: the text is cut into strings, brackets and runs, and the object
-    ends at the first token where the bracket depth is back at zero.
+    A JSON object is no prefix of another one, so when the text up to its last
+    closing brace is valid JSON that is the object. Otherwise the text is cut
+    into strings, brackets and runs, and the object ends at the first token
+    where the bracket depth is back at zero.
     """
-    found = F.instr(line, SOURCE_MARK)
-    rest = F.regexp_replace(F.substring(line, found + len(SOURCE_MARK), F.length(line)), r"^[ \t\r\n]+", "")
-    tokens = F.regexp_extract_all(rest, F.lit(_TOKENS), 1)
 
     def step(state: Column, token: Column) -> Column:
         depth = (
@@ -86,15 +85,21 @@ def extract_source(line: Column) -> Column:
             F.when(closes, seen).otherwise(state["stop"]).alias("stop"),
         )
 
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("stop"))
-    stop = F.aggregate(tokens, start, step)["stop"]
-    body = F.array_join(F.slice(tokens, 1, stop), "")
-    is_object = (found > 0) & F.startswith(rest, F.lit("{"))
-    body = F.when(is_object, body)
-    return (
-        F.when((found > 0) & F.startswith(rest, F.lit("null")), F.lit("null"))
-        .when(is_json(body), body)
-    )
+    def balanced(tokens: Column) -> Column:
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("stop"))
+        stop = F.aggregate(tokens, start, step)["stop"]
+        return let(F.array_join(F.slice(tokens, 1, stop), ""), lambda body: F.when(is_json(body), body))
+
+    def first_value(rest: Column) -> Column:
+        behind = F.length(F.substring_index(rest, "}", -1))
+        up_to_last = F.substring(rest, F.lit(1), F.length(rest) - behind)
+        tokens = F.regexp_extract_all(rest, F.lit(_TOKENS), 1)
+        whole = let(up_to_last, lambda u: F.when(is_json(u), u).otherwise(let(tokens, balanced)))
+        return F.when(F.startswith(rest, F.lit("{")), whole).when(F.startswith(rest, F.lit("null")), F.lit("null"))
+
+    found = F.instr(line, SOURCE_MARK)
+    rest = F.regexp_replace(F.substring(line, found + len(SOURCE_MARK), F.length(line)), r"^[ \t\r\n]+", "")
+    return let(F.when(found > 0, rest), first_value)
 
 
 def usage_percentages(dump: Column) -> Column:

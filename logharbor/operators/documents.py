@@ -84,8 +84,9 @@ def parse_b(raw: DataFrame, task: str = "", mode: str = "compat") -> DataFrame:
             _text("cluster").alias("instanceId"),
         )
         .filter("_t IS NOT NULL")
-        .withColumn("queryText", extract_source(line))
-        .filter("queryText IS NOT NULL")
+        # Unfolding an array of nought or one drops the NULL rows like a filter would, but a
+        # filter would be pushed below the projection and extract every text a second time.
+        .select("*", F.explode(F.array_compact(F.array(extract_source(line)))).alias("queryText"))
         .withColumns({**line_header(line), **bracket_fields(line)})
         .withColumns({"eventTime": iso_millis(F.col("_t")), "@timestamp": epoch_millis(F.col("_t"))})
         .drop("content", "_t")

@@ -124,13 +124,15 @@ def with_parent(nodes: DataFrame, ident: str, parent: str, name: str) -> DataFra
     return nodes.join(up, parent, "left").select(*nodes.columns, f"parent_{name}")
 
 
-def visible(nodes: DataFrame, ident: str, parent: str, caller: object, strict: bool) -> DataFrame:
-    """Nodes a caller sees.
+def visible(
+    nodes: DataFrame, ident: str, parent: str, caller: object, strict: bool, pairs: DataFrame | None = None
+) -> DataFrame:
+    """Nodes a caller sees. ``pairs`` is the closure where the caller of this function has it.
 
     Loose mode shows every root with its subtree. Strict mode shows a root
     caller itself and its subtree, and any other caller its children with theirs.
     """
-    pairs = closure(nodes, ident, parent)
+    pairs = closure(nodes, ident, parent) if pairs is None else pairs
     if strict:
         is_caller = (F.col(ident) == caller) & (F.col(parent) == 0)
         top = nodes.filter(is_caller).select(ident)

@@ -12,6 +12,7 @@ from logharbor.sources import imports, landed, tables
 
 JANUARY_END = 1706745600000
 MONTH_MINUTES = 31 * 24 * 60
+DUMP_END = "\u001e"
 
 
 def vendor_a_rows(t: Tables):
@@ -109,17 +110,14 @@ def s04(t: Tables):
     (
         t.documents.select("text", F.col("source").alias("instanceId"))
         .write.partitionBy("instanceId")
-        .option("maxRecordsPerFile", 1)
-        .text(path)
+        .text(path, lineSep=DUMP_END)
     )
     instances = t.documents.select(F.col("source").alias("instanceId")).distinct().select(
         "instanceId", F.lit("tag").alias("esTag"), F.lit("500ms").alias("hotInterval"),
         F.lit(3).alias("hotThreads"), F.lit("cpu").alias("hotType"),
     )
-    dumps = parse_dump(landed.read_dumps(t.spark, path), instances, F.lit(0).cast("bigint"))
-    # The text writer ends each file with a line break.
-    body = F.substring(F.col("rawText"), F.lit(1), F.length("rawText") - 1)
-    return dumps.select(F.col("instanceId").alias("instance_id"), F.md5(body).alias("dump_hash"))
+    dumps = parse_dump(landed.read_dumps(t.spark, path, DUMP_END), instances, F.lit(0).cast("bigint"))
+    return dumps.select(F.col("instanceId").alias("instance_id"), F.md5("rawText").alias("dump_hash"))
 
 
 @query("s05_named_database", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")

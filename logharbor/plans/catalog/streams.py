@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from logharbor.functions import fingerprint, mask_json, usage_percentages
 from logharbor.operators.documents import flatten_a
 from logharbor.operators.filters import slow_for_source
 from logharbor.plans.catalog.base import DOCS_SQL, QUERY_TEXT_SPARK, REPORT_DAY, THRESHOLDS, Tables, query
-from logharbor.plans.catalog.landing import vendor_a_rows
+from logharbor.plans.catalog.landing import DUMP_END, vendor_a_rows
 from logharbor.plans.catalog.rollups import SLOW_SQL
-from logharbor.functions import fingerprint, mask_json, usage_percentages
-from logharbor.sources.landed import accepted
+from logharbor.sources.landed import accepted, stream_dumps
 from logharbor.streaming import audit, ingest, limiter, report
 
 
@@ -131,11 +131,11 @@ def t07(t: Tables):
         F.col("n_chars"), F.lit("% (1ms out of 2s) cpu usage by thread x\n"), F.col("doc_id"),
         F.lit("% (1ms out of 2s) block usage by thread y\n--\n"), F.col("text"),
     )
-    t.documents.select(dump.alias("value"), F.col("source").alias("instanceId")).write.partitionBy("instanceId").option(
-        "maxRecordsPerFile", 1
-    ).text(landed)
-    dumps = ingest.thread_dumps(t.spark, landed)
-    body = F.regexp_replace(F.regexp_replace("rawText", r"\n\z", ""), r"(?s)\A.*?\n--\n", "")
+    t.documents.select(dump.alias("value"), F.col("source").alias("instanceId")).write.partitionBy("instanceId").text(
+        landed, lineSep=DUMP_END
+    )
+    dumps = stream_dumps(t.spark, landed, DUMP_END)
+    body = F.regexp_replace("rawText", r"(?s)\A.*?\n--\n", "")
     out = dumps.select(
         F.col("instanceId").alias("instance_id"), F.md5(body).alias("dump_hash"),
         usage_percentages(F.col("rawText")).alias("usage"), ingest.now_millis().alias("taken_at"),

@@ -91,9 +91,10 @@ def _below(ids: str) -> str:
 )
 def h07(t: Tables):
     n = nodes(t)
+    pairs = tree.closure(n, "id", "parent_id")
 
     def seen(mode, caller, strict):
-        return tree.visible(n, "id", "parent_id", caller, strict).select(F.lit(mode).alias("mode"), "id")
+        return tree.visible(n, "id", "parent_id", caller, strict, pairs).select(F.lit(mode).alias("mode"), "id")
 
     return seen("strict root", 2, True).unionByName(seen("strict inner", 104, True)).unionByName(seen("loose", 104, False))
 

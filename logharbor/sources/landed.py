@@ -37,10 +37,25 @@ def data_nodes(details: DataFrame, node_type: str = "ess") -> DataFrame:
     )
 
 
-def read_dumps(spark: SparkSession, path: str) -> DataFrame:
-    """Thread dumps, one whole text file each, below ``instanceId=...`` directories."""
-    schema = "value STRING, instanceId STRING"
-    return spark.read.schema(schema).text(path, wholetext=True).withColumnRenamed("value", "rawText")
+def read_dumps(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """Thread dumps below ``instanceId=...`` directories.
+
+    Each file is one dump, or a run of dumps when they are landed with a
+    separator between them, which saves a file per dump.
+    """
+    reader = spark.read.schema("value STRING, instanceId STRING")
+    return _dumps(reader, path, separator)
+
+
+def stream_dumps(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """read_dumps as a stream."""
+    reader = spark.readStream.schema("value STRING, instanceId STRING")
+    return _dumps(reader, path, separator)
+
+
+def _dumps(reader, path: str, separator: str | None) -> DataFrame:
+    df = reader.text(path, lineSep=separator) if separator else reader.text(path, wholetext=True)
+    return df.withColumnRenamed("value", "rawText")
 
 
 def accepted(df: DataFrame, event_time: str, pull_time: Column, minutes: int) -> DataFrame:

@@ -93,14 +93,5 @@ def deny(stream: DataFrame, denied: DataFrame, on: str) -> DataFrame:
     return stream.join(denied, on, "left_anti")
 
 
-def thread_dumps(spark: SparkSession, path: str) -> DataFrame:
-    """Whole text files below ``instanceId=...`` directories as a stream."""
-    return (
-        spark.readStream.schema("value STRING, instanceId STRING")
-        .text(path, wholetext=True)
-        .withColumnRenamed("value", "rawText")
-    )
-
-
 def now_millis() -> Column:
     return F.unix_millis(F.current_timestamp())

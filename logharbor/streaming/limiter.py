@@ -6,9 +6,11 @@ lasts ``expire`` seconds. The first ``limit`` requests inside it are accepted.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logharbor.session import cut
 
+# Python workers get the stateful processor by value, so they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _next_window(points: DataFrame, key: str, span: int) -> DataFrame:
     """For each request time the first request time at least ``span`` later, per key.
@@ -96,7 +101,9 @@ class Limiter(StatefulProcessor):
         self.span = int(expire * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getValueState("window", T.StructType.fromDDL("start BIGINT, taken INT"))
+        self.window = handle.getValueState(
+            "window", T.StructType([T.StructField("start", T.LongType()), T.StructField("taken", T.IntegerType())])
+        )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["at", "ident"])

@@ -191,7 +191,8 @@ def test_extract_source(spark):
 
 def test_extract_source_long_body(spark):
     body = json.dumps({"items": [{"k": i, "t": "}{" * 3} for i in range(20000)]})
-    assert run(spark, [f"head source[{body}], id[x]"], L.extract_source) == [body]
+    lines = [f"head source[{body}], id[x]", f"head source[{body}], id[{{}}]"]
+    assert run(spark, lines, L.extract_source) == [body, body]
 
 
 def test_usage(spark):
