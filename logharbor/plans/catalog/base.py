@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logharbor.functions.ids import doc_id_a
 from logharbor.operators.documents import with_template
 from logharbor.session import prepare, scratch
+from logharbor.sources.landed import spread
 
 CATALOG: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,7 +73,7 @@ def event_millis() -> str:
 
 def slow_docs(t: Tables, mode: str = "strict") -> DataFrame:
     """Every event as a slow-log document taken in on REPORT_DAY."""
-    docs = t.events.select(
+    docs = spread(t.events).select(
         F.expr(BRAND).alias("brand"),
         F.expr(event_millis()).alias("@timestamp"),
         F.expr(QUERY_TEXT_SPARK).alias("queryText"),

@@ -20,7 +20,7 @@ def vendor_a_rows(t: Tables):
     text = F.expr(QUERY_TEXT_SPARK)
     cut = F.when(F.col("event_type") == "error", F.substring(text, F.lit(1), F.length(text) - 12)).otherwise(text)
     ip = F.format_string("10.0.0.%d", "user_id")
-    return t.events.select(
+    return landed.spread(t.events).select(
         F.struct(
             cut.alias("content"),
             ip.alias("host"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from logharbor.operators import filters as f
 from logharbor.operators import quality
 from logharbor.plans.catalog.base import DOCS_SQL, THRESHOLDS, Tables, query, slow_docs
+from logharbor.sources.landed import spread
 
 EVENT_COLUMNS = "event_id, user_id, event_type, value"
 
@@ -104,7 +105,7 @@ def f09(t: Tables):
     " ['there', 'other', 'eaux', 'that'])) > 0",
 )
 def f10(t: Tables):
-    return t.documents.filter(f.match_any_term(F.col("text"), "There, OTHER eaux that")).select("doc_id")
+    return spread(t.documents).filter(f.match_any_term(F.col("text"), "There, OTHER eaux that")).select("doc_id")
 
 
 DICTIONARY_SQL = (

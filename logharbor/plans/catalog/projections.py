@@ -8,6 +8,7 @@ from logharbor.operators.documents import flatten_a, parse_b
 from logharbor.operators.joins import with_instance_name
 from logharbor.plans.catalog.base import DOCS_SQL, QUERY_TEXT_DUCK, Tables, query, slow_docs
 from logharbor.plans.catalog.landing import vendor_a_rows, vendor_b_line
+from logharbor.sources.landed import spread
 from logharbor.plans.export import Template, as_text, export_rows
 
 
@@ -37,7 +38,7 @@ def p10(t: Tables):
 
 
 def orders_as_b(t: Tables):
-    return t.orders.select(
+    return spread(t.orders).select(
         vendor_b_line().alias("content"),
         F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss,SSS").alias("date"),
         F.lit("WARN").alias("level"),

@@ -10,22 +10,23 @@ from logharbor.functions.times import render_time
 from logharbor.plans.catalog.base import DOCS_SQL, QUERY_TEXT_DUCK, QUERY_TEXT_SPARK, Tables, mask_sql, query
 from logharbor.plans.catalog.landing import vendor_b_line
 from logharbor.plans.catalog.lookups import PATH_SQL
+from logharbor.sources.landed import spread
 
 
 @query("c01_mask_json", f'WITH {DOCS_SQL} SELECT event_id, "queryTemplate" AS template FROM docs')
 def c01(t: Tables):
-    return t.events.select("event_id", L.mask_json(F.expr(QUERY_TEXT_SPARK)).alias("template"))
+    return spread(t.events).select("event_id", L.mask_json(F.expr(QUERY_TEXT_SPARK)).alias("template"))
 
 
 @query("c01_mask_props", f"SELECT event_id, {mask_sql('props')} AS template FROM events")
 def c01_props(t: Tables):
-    return t.events.select("event_id", L.mask_json(F.col("props")).alias("template"))
+    return spread(t.events).select("event_id", L.mask_json(F.col("props")).alias("template"))
 
 
 @query("c02_mask_truncated")
 def c02(t: Tables):
     cut = F.concat(F.lit('{"doc": '), F.col("doc_id"), F.lit(', "lang": '), F.col("lang"), F.lit(', "text": "'), F.col("text"))
-    return t.documents.select("doc_id", L.fingerprint(L.mask_truncated(cut, "compat")).alias("check_sum"))
+    return spread(t.documents).select("doc_id", L.fingerprint(L.mask_truncated(cut, "compat")).alias("check_sum"))
 
 
 # A truncated text without escapes: keys stay, whole and cut strings and bare values go.
@@ -39,7 +40,7 @@ def c02_strict(t: Tables):
         F.lit('], "'), F.col("event_type"), F.lit('": "cut '), F.col("props"),
     )
     flat = F.replace(cut, F.lit('{"k"'), F.lit("{k"))
-    return t.events.select("event_id", L.mask_truncated(flat, "strict").alias("template"))
+    return spread(t.events).select("event_id", L.mask_truncated(flat, "strict").alias("template"))
 
 
 # A cut after a number: the compatible masking leaves ? for bare values and keeps quoted strings.
@@ -52,7 +53,7 @@ def c02_compat(t: Tables):
         F.lit('{"kind": "'), F.col("event_type"), F.lit('", "n": ['), F.col("value"), F.lit(", "), F.col("user_id"),
         F.lit('], "o": {"v": '), F.col("value"), F.lit(', "id": '), F.col("event_id"),
     )
-    return t.events.select("event_id", L.mask_truncated(cut, "compat").alias("template"))
+    return spread(t.events).select("event_id", L.mask_truncated(cut, "compat").alias("template"))
 
 
 @query(
@@ -69,7 +70,7 @@ def c03(t: Tables):
         .when(F.col("event_type") == "signup", F.concat(F.lit("["), F.col("props"), F.lit(","), F.col("props"), F.lit("]")))
         .otherwise(q)
     )
-    return t.events.select("event_id", L.dsl_format(L.is_json(text)).alias("dsl_format"))
+    return spread(t.events).select("event_id", L.dsl_format(L.is_json(text)).alias("dsl_format"))
 
 
 @query("c04_fingerprint", "SELECT doc_id, md5(text) AS check_sum FROM documents")
@@ -153,7 +154,7 @@ def c11(t: Tables):
     body = F.when(F.col("event_type") == "error", F.substring(q, F.lit(1), F.length(q) - 9)).otherwise(q)
     mark = F.when(F.col("event_type") == "view", F.lit("sauce[")).otherwise(F.lit("source["))
     line = F.concat(F.lit("total_shards[5], "), mark, body, F.lit("], id[}x{]"))
-    return t.events.select("event_id", L.extract_source(line).alias("query_text"))
+    return spread(t.events).select("event_id", L.extract_source(line).alias("query_text"))
 
 
 @query(

@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from logharbor.schemas import VENDOR_A_RAW, VENDOR_B_RAW
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give the rows of a scan with fewer splits than cores to all cores.
+
+    Parsing and masking cost far more than reading, and one large gzip file or
+    row group is a single split. A scan with enough splits is left as it is, so
+    large inputs are not shuffled. Meant for plain scans: it looks at the number
+    of splits, which for a plan with shuffles would run them.
+    """
+    if scan.isStreaming:
+        return scan
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def look_back(now_millis: int, minutes: int) -> tuple[int, int]:
     """The pull window [now - minutes, now] in epoch milliseconds."""
     return now_millis - minutes * 60_000, now_millis
@@ -15,7 +29,7 @@ def look_back(now_millis: int, minutes: int) -> tuple[int, int]:
 
 def read_vendor_a(spark: SparkSession, path: str, start: int | None = None, end: int | None = None) -> DataFrame:
     """Vendor A JSON lines inside a time window (epoch milliseconds, both ends included)."""
-    df = spark.read.schema(VENDOR_A_RAW).json(path)
+    df = spread(spark.read.schema(VENDOR_A_RAW).json(path))
     if start is not None:
         df = df.filter(F.col("timestamp") >= start)
     if end is not None:
@@ -25,7 +39,8 @@ def read_vendor_a(spark: SparkSession, path: str, start: int | None = None, end:
 
 def read_vendor_b(spark: SparkSession, path: str, level: str = "WARN") -> DataFrame:
     """Vendor B JSON lines of one level below ``cluster=.../node=...`` directories."""
-    return spark.read.schema(f"{VENDOR_B_RAW}, cluster STRING, node STRING").json(path).filter(F.col("level") == level)
+    scan = spark.read.schema(f"{VENDOR_B_RAW}, cluster STRING, node STRING").json(path)
+    return spread(scan).filter(F.col("level") == level)
 
 
 def data_nodes(details: DataFrame, node_type: str = "ess") -> DataFrame:
