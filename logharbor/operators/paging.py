@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logharbor.operators.ranking import slice_of
+
 # Limits of the shared paginator.
 MAX_PAGE_SIZE = 100
 DEFAULT_PAGE_SIZE = 10
@@ -23,19 +25,15 @@ def clamp_page(page: int, size: int) -> tuple[int, int]:
 
 def page_of(df: DataFrame, page: int, size: int, order: Sequence) -> DataFrame:
     """One page in a total order; size 0 gives all rows in order."""
-    ordered = df.orderBy(*order)
     if size == 0:
-        return ordered
-    return ordered.offset(max(size * (page - 1), 0)).limit(size)
+        return df.orderBy(*order)
+    return slice_of(df, order, max(size * (page - 1), 0), size)
 
 
 def window_of(df: DataFrame, order: Sequence, limit: int | None, offset: int | None, default_limit: int | None = None):
     """Limit and offset from the request, the template's limit as fallback."""
-    ordered = df.orderBy(*order) if order else df
-    if offset:
-        ordered = ordered.offset(offset)
     count = default_limit if limit is None else limit
-    return ordered.limit(count) if count else ordered
+    return slice_of(df, order, offset or 0, count or None)
 
 
 def checked_order(df: DataFrame, order: str | None, default: str | None = None, tie: Sequence[str] = ()) -> list:

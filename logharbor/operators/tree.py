@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logharbor.session import cut
+from logharbor.session import load, save
 
 MAX_DEPTH = 1024
 
@@ -21,27 +21,29 @@ def closure(nodes: DataFrame, ident: str, parent: str, max_depth: int = MAX_DEPT
 
     Raises when a path is longer than max_depth, which is what a cycle looks like.
     """
+    spark = nodes.sparkSession
     edges = nodes.filter((F.col(parent) != 0) & F.col(parent).isNotNull()).select(
-        F.col(ident).alias("descendant"), F.col(parent).alias("ancestor")
+        F.col(ident).alias("descendant"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")
     )
-    pairs = cut(edges.withColumn("depth", F.lit(1)))
-    jump = pairs.select("descendant", "ancestor")
-    reach = 1
+    schema, written = edges.schema, [save(edges)]
+    jump, reach = load(spark, schema, written[0]), 1
     while True:
+        pairs = load(spark, schema, *written)
         above = pairs.select(F.col("descendant").alias("mid"), "ancestor", F.col("depth").alias("_d"))
-        further = cut(
-            jump.withColumnRenamed("ancestor", "mid")
+        further = save(
+            jump.select("descendant", F.col("ancestor").alias("mid"))
             .join(above, "mid")
             .select("descendant", "ancestor", (F.col("_d") + reach).alias("depth"))
         )
-        if further.isEmpty():
+        found = load(spark, schema, further)
+        if found.isEmpty():
             return pairs
         if reach >= max_depth:
             raise ValueError(f"a path is longer than {max_depth}: the parent column holds a cycle or a deeper tree")
-        pairs = pairs.unionByName(further)
+        written.append(further)
         # The pairs of the largest depth in this round are the next jump.
-        jump = further.filter(F.col("depth") == 2 * reach).select("descendant", "ancestor")
         reach *= 2
+        jump = found.filter(F.col("depth") == reach)
 
 
 def with_self(pairs: DataFrame, nodes: DataFrame, ident: str) -> DataFrame:

@@ -50,13 +50,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def save(df: DataFrame) -> str:
+    """Write df to a fresh table in the shared folder and return its path."""
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return path
+
+
+def load(spark: SparkSession, schema, *paths: str) -> DataFrame:
+    """One scan over tables written by save."""
+    return spark.read.schema(schema).parquet(*paths)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from the files.
 
     Later plans are short, survive lost executors without recomputing what led
     here, and know the real size of this data when they choose their joins.
     """
-    spark = df.sparkSession
-    path = scratch(spark, "cut")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return load(df.sparkSession, df.schema, save(df))

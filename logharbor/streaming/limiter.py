@@ -16,22 +16,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from logharbor.session import cut
+from logharbor.operators.ranking import rank_within
+from logharbor.session import cut, load, save
 
 # Python workers get the stateful processor by value, so they need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+# A span is searched in this many slots, so that a busy key is cut finer than one window.
+SLOTS_PER_SPAN = 64
+
+
 def _next_window(points: DataFrame, key: str, span: int) -> DataFrame:
     """For each request time the first request time at least ``span`` later, per key.
 
-    Time is cut into slots of one span. The answer lies in the slot of
-    time + span or is the first request of a later slot, so no task sees more
-    of a key than one slot and the list of its slots.
+    Time is cut into slots. The answer is in the slot of time + span or is the
+    first request of a later slot, so no task sees more of a key than one slot
+    and the list of its slots.
     """
-    slot = F.floor(F.col("at") / span)
-    probes = points.select(key, F.col("at").alias("source"), (F.col("at") + span).alias("at"), F.lit(None).cast("bigint").alias("point"))
-    targets = points.select(key, F.lit(None).cast("bigint").alias("source"), "at", F.col("at").alias("point"))
+    slot = F.floor(F.col("at") / max(span // SLOTS_PER_SPAN, 1))
+    none = F.lit(None).cast("bigint")
+    probes = points.select(key, F.col("at").alias("source"), (F.col("at") + span).alias("at"), none.alias("point"))
+    targets = points.select(key, none.alias("source"), "at", F.col("at").alias("point"))
     both = probes.unionByName(targets).withColumn("slot", slot)
     # Backwards in time, with the request itself in front of a probe at the same instant.
     back = Window.partitionBy(key, "slot").orderBy(F.desc("at"), F.desc_nulls_last("point"))
@@ -54,14 +60,17 @@ def window_starts(requests: DataFrame, key: str, at: str, span: int) -> DataFram
     Following it by doubling takes about log2(windows per key) rounds of
     equi-joins instead of one sequential pass over a key.
     """
+    spark = requests.sparkSession
     points = cut(requests.select(key, F.col(at).alias("at")).distinct())
     jump = cut(_next_window(points, key, span).filter("next IS NOT NULL"))
-    starts = cut(points.groupBy(key).agg(F.min("at").alias("at")))
+    first = points.groupBy(key).agg(F.min("at").alias("at"))
+    schema, written = first.schema, [save(first)]
     while True:
-        reached = cut(starts.join(jump, [key, "at"]).select(key, F.col("next").alias("at")))
-        if reached.isEmpty():
+        starts = load(spark, schema, *written)
+        reached = save(starts.join(jump, [key, "at"]).select(key, F.col("next").alias("at")))
+        if load(spark, schema, reached).isEmpty():
             return starts
-        starts = starts.unionByName(reached)
+        written.append(reached)
         hop = jump.select(key, F.col("at").alias("next"), F.col("next").alias("_to"))
         jump = cut(jump.join(hop, [key, "next"]).select(key, "at", F.col("_to").alias("next")))
 
@@ -72,24 +81,30 @@ def limit_requests(
     """Add ``window_start`` and ``accepted`` to every request; ties in time go by ident."""
     span = int(expire * 1_000_000)
     rows = requests.withColumn("_at", at).withColumn("_slot", F.floor(F.col("_at") / span))
-    starts = window_starts(rows, key, "_at", span).select(key, F.col("at").alias("_start"), F.floor(F.col("at") / span).alias("_slot"))
+    starts = window_starts(rows, key, "_at", span).select(
+        key, F.col("at").alias("_start"), F.floor(F.col("at") / span).alias("_slot")
+    )
     # A slot is one span long, so it holds at most one start per key.
     here = starts.withColumnRenamed("_start", "_here")
     before = starts.select(key, F.col("_start").alias("_before"), (F.col("_slot") + 1).alias("_slot"))
     placed = rows.join(here, [key, "_slot"], "left").join(before, [key, "_slot"], "left").withColumn(
         "window_start", F.when(F.col("_here") <= F.col("_at"), F.col("_here")).otherwise(F.col("_before"))
     )
-    order = Window.partitionBy(key, "window_start").orderBy("_at", ident)
+    placed = cut(placed.select(*requests.columns, "_at", "window_start"))
     quota = max(limit, 1)
+    window = [key, "window_start"]
+    # Only windows with more requests than the quota need an order.
+    crowded = placed.groupBy(*window).agg(F.count("*").alias("_n")).filter(F.col("_n") > quota).select(*window)
+    contested = placed.join(crowded, window, "left_semi").select(*window, "_at", ident)
     last = (
-        placed.select(key, "window_start", "_at", ident)
-        .withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= quota)
-        .groupBy(key, "window_start")
-        .agg(F.max(F.struct("_at", ident)).alias("_last"))
+        rank_within(contested, window, ["_at", ident], "_rank")
+        .filter(F.col("_rank") == quota)
+        .select(*window, F.struct("_at", ident).alias("_last"))
     )
-    return placed.join(last, [key, "window_start"]).select(
-        *requests.columns, "window_start", (F.struct("_at", ident) <= F.col("_last")).alias("accepted")
+    return placed.join(last, window, "left").select(
+        *requests.columns,
+        "window_start",
+        F.coalesce(F.struct("_at", ident) <= F.col("_last"), F.lit(True)).alias("accepted"),
     )
 
 

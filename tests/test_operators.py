@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from logharbor.operators import aggregates, filters, joins, paging, policy, quality, setops, tables, tree
+from logharbor.operators import aggregates, filters, joins, paging, policy, quality, ranking, setops, tables, tree
 from logharbor.operators.documents import flatten_a, parse_b
 from logharbor.plans.export import Join, Template, as_text, export, export_rows
 from logharbor.plans.inspection import inspection_report
@@ -180,6 +180,22 @@ def test_pages_add_up(spark):
     assert pages == [tuple(r) for r in df.orderBy(*order).collect()]
 
 
+def test_large_slices_match_small_ones(spark, monkeypatch):
+    df = spark.createDataFrame([(i, i % 7) for i in range(500)], "id int, g int").repartition(5)
+    order = [F.desc("g"), F.asc("id")]
+    whole = [tuple(r) for r in df.orderBy(*order).collect()]
+    monkeypatch.setattr(ranking, "ONE_TASK_ROWS", 10)
+    for offset, limit in ((0, 50), (120, 30), (490, 30), (77, None), (600, 5)):
+        want = whole[offset : None if limit is None else offset + limit]
+        assert [tuple(r) for r in ranking.slice_of(df, order, offset, limit).collect()] == want
+
+
+def test_rank_of_hot_group(spark):
+    df = spark.createDataFrame([("hot", i * 7 % 400) for i in range(400)] + [("cold", 3), ("cold", 1)], "k string, v int")
+    got = ranking.rank_within(df.repartition(6), ["k"], ["v"], "r")
+    assert rows(got, "k", "v", "r") == [("cold", 1, 1), ("cold", 3, 2)] + [("hot", i, i + 1) for i in range(400)]
+
+
 # --- joins with hot keys -------------------------------------------------------------------
 
 
