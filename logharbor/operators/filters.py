@@ -10,6 +10,8 @@ from typing import Any, NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logharbor.operators.joins import keys_of
+
 _WORD = r"[\p{L}\p{N}_]"
 
 
@@ -154,13 +156,13 @@ def in_data_scope(df: DataFrame, owner: str, scopes: DataFrame, caller: str, rol
 
     ``scopes`` holds (caller role, visible role) links.
     """
-    visible = scopes.filter(F.col(caller) == role).select(F.col(owner))
+    visible = keys_of(scopes.filter(F.col(caller) == role), owner)
     return df.join(visible, owner, "left_semi")
 
 
 def not_listed(df: DataFrame, denied: DataFrame, on: Sequence[str] | str) -> DataFrame:
     """Rows whose key is not on the deny list."""
-    return df.join(denied, on, "left_anti")
+    return df.join(keys_of(denied, on), on, "left_anti")
 
 
 def first_match(df: DataFrame, predicate: Column, order: Sequence[str]) -> DataFrame:

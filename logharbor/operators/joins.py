@@ -36,21 +36,37 @@ def attach_one(df: DataFrame, other: DataFrame, key: str, other_key: str, name:
     return df.join(packed, key, "left")
 
 
+def keys_of(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
+    """The distinct keys of a table: what a semi or anti join needs of its right side.
+
+    Copies of a hot key shrink before the shuffle, and the join reuses the partitioning.
+    """
+    return df.select(*([key] if isinstance(key, str) else key)).distinct()
+
+
 def gather(children: DataFrame, key: str, item: Column, name: str, piece: str, max_items: int) -> DataFrame:
     """Children of each key as sorted arrays of at most about max_items elements.
 
-    A key with more children than that continues in further pieces, so no task
-    ever holds one hot key whole. Small keys have the single piece 0.
+    A key with more children continues in further pieces, so no task ever holds
+    one hot key whole. Small keys have the single piece 0. Copies of one child
+    travel as a count and are dealt out evenly over the pieces.
     """
-    rows = children.select(F.col(key), item.alias("_item"))
-    pieces = (
-        rows.groupBy(key).agg(F.ceil(F.count("*") / max_items).alias("_pieces")).filter("_pieces > 1")
+    counted = children.select(F.col(key), item.alias("_item")).groupBy(key, "_item").agg(F.count("*").alias("_n"))
+    sizes = (
+        counted.groupBy(key)
+        .agg(F.ceil(F.sum("_n") / max_items).alias("_pieces"))
+        .filter(F.col("_pieces") > 1)
     )
-    spread = rows.join(pieces, key, "left").withColumn(
-        piece,
-        F.when(F.col("_pieces") > 1, F.pmod(F.xxhash64("_item"), "_pieces")).otherwise(F.lit(0)).cast("int"),
+    shares = counted.join(sizes, key, "left").withColumn("_pieces", F.coalesce("_pieces", F.lit(1).cast("bigint")))
+    one = F.lit(0).cast("bigint")
+    dealt = shares.withColumn("_i", F.explode(F.sequence(one, F.least("_n", "_pieces") - 1)))
+    target = F.pmod(F.pmod(F.xxhash64("_item"), "_pieces") + F.col("_i"), F.col("_pieces"))
+    copies = F.floor(F.col("_n") / F.col("_pieces")) + F.when(F.col("_i") < F.col("_n") % F.col("_pieces"), 1).otherwise(0)
+    return (
+        dealt.select(key, target.alias(piece), F.array_repeat("_item", copies.cast("int")).alias("_items"))
+        .groupBy(key, piece)
+        .agg(F.array_sort(F.flatten(F.collect_list("_items"))).alias(name))
     )
-    return spread.groupBy(key, piece).agg(F.array_sort(F.collect_list("_item")).alias(name))
 
 
 def attach_many(
@@ -72,7 +88,7 @@ def attach_many(
     joined = parents.join(lists, key, "left")
     kind = dict(joined.dtypes)[name]
     return joined.withColumns(
-        {name: F.coalesce(name, F.array().cast(kind)), piece: F.coalesce(piece, F.lit(0))}
+        {name: F.coalesce(name, F.array().cast(kind)), piece: F.coalesce(piece, F.lit(0).cast("bigint"))}
     )
 
 
@@ -94,18 +110,18 @@ def attach_linked(
 
 def linked_to(df: DataFrame, links: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Rows that a link table refers to."""
-    return df.join(links, key, "left_semi")
+    return df.join(keys_of(links, key), key, "left_semi")
 
 
 def without(df: DataFrame, excluded: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Rows whose (compound) key is not in excluded."""
-    return df.join(excluded, key, "left_anti")
+    return df.join(keys_of(excluded, key), key, "left_anti")
 
 
 def offenders(requested: DataFrame, allowed: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Requested keys that are not allowed. The request is valid when the result is empty."""
     names = [key] if isinstance(key, str) else list(key)
-    return requested.select(*names).distinct().join(allowed, names, "left_anti")
+    return keys_of(requested, names).join(keys_of(allowed, names), names, "left_anti")
 
 
 def with_label(

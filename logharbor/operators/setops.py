@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logharbor.operators.joins import keys_of
+
 
 def aligned_union(*frames: DataFrame) -> DataFrame:
     """Concatenate frames by column name; missing columns are NULL."""
@@ -48,4 +50,4 @@ def apply_diff(table: DataFrame, diff: DataFrame, keys: Sequence[str]) -> DataFr
 
 def intersection(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key also occurs in other."""
-    return df.join(other, list(keys), "left_semi")
+    return df.join(keys_of(other, keys), list(keys), "left_semi")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logharbor.operators.aggregates import latest
+from logharbor.operators.joins import keys_of
 
 
 def upsert(
@@ -33,7 +34,8 @@ def upsert(
         changes = latest(changes, keys, order)
     changes = changes.select(*base.columns)
     if merge == "replace":
-        return base.join(changes, keys, "left_anti").select(*base.columns).unionByName(changes)
+        kept = base.join(keys_of(changes, keys), keys, "left_anti").select(*base.columns)
+        return kept.unionByName(changes)
     if merge != "coalesce":
         raise ValueError(f"unknown merge {merge!r}")
     both = base.alias("o").join(changes.alias("n"), keys, "full")
@@ -121,7 +123,7 @@ def soft_delete(base: DataFrame, ids: DataFrame, ident: str, now: Column, by: Ma
 
 def hard_delete(base: DataFrame, ids: DataFrame, keys: Sequence[str] | str) -> DataFrame:
     """Remove the rows whose key is listed."""
-    return base.join(ids, keys, "left_anti")
+    return base.join(keys_of(ids, keys), keys, "left_anti")
 
 
 def cascade_delete(
@@ -129,7 +131,7 @@ def cascade_delete(
 ) -> dict[str, DataFrame]:
     """Remove ids from every table; ``links`` gives the column of each table that holds the id."""
     return {
-        name: df.join(ids.select(F.col(ident).alias(links[name])), links[name], "left_anti").select(*df.columns)
+        name: df.join(keys_of(ids, ident).toDF(links[name]), links[name], "left_anti").select(*df.columns)
         for name, df in tables.items()
     }
 
@@ -151,7 +153,7 @@ def guard_delete(ids: DataFrame, ident: str, references: Sequence[tuple[DataFram
 
 def replace_links(links: DataFrame, owners: DataFrame, new_links: DataFrame, owner: str) -> DataFrame:
     """Drop all links of the owners and insert the new ones; an owner may end up without links."""
-    kept = links.join(owners.select(owner), owner, "left_anti").select(*links.columns)
+    kept = links.join(keys_of(owners, owner), owner, "left_anti").select(*links.columns)
     return kept.unionByName(new_links.select(*links.columns))
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logharbor.operators.joins import keys_of
 from logharbor.session import load, save
 
 MAX_DEPTH = 1024
@@ -61,7 +62,7 @@ def managed_by(nodes: DataFrame, ident: str, parent: str, pairs: DataFrame | Non
 
 def descendants(nodes: DataFrame, ident: str, parent: str, of: Column) -> DataFrame:
     """managed_by for the nodes that meet a predicate."""
-    seeds = nodes.filter(of).select(F.col(ident).alias("ancestor"))
+    seeds = keys_of(nodes.filter(of), ident).toDF("ancestor")
     return managed_by(nodes, ident, parent).join(seeds, "ancestor", "left_semi")
 
 
@@ -102,7 +103,7 @@ def forest(nodes: DataFrame, ident: str, parent: str, sort: str) -> DataFrame:
 
 def linked_forest(nodes: DataFrame, links: DataFrame, ident: str, parent: str, sort: str) -> DataFrame:
     """The forest of the linked nodes; a node whose parent is not linked is not reached and left out."""
-    kept = nodes.join(links.select(ident), ident, "left_semi")
+    kept = nodes.join(keys_of(links, ident), ident, "left_semi")
     return forest(kept, ident, parent, sort).filter("reached").drop("reached")
 
 
@@ -144,7 +145,7 @@ def visible(
         below = pairs.join(top.withColumnRenamed(ident, "ancestor"), "ancestor", "left_semi").select(
             F.col("descendant").alias(ident)
         )
-    return nodes.join(top.unionByName(below), ident, "left_semi")
+    return nodes.join(keys_of(top.unionByName(below), ident), ident, "left_semi")
 
 
 def landing(owners: DataFrame, default: str, links: DataFrame, owner: str, node: str, missing: str = "404") -> DataFrame:

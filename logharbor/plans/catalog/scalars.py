@@ -111,11 +111,13 @@ def c07(t: Tables):
 
 @query(
     "c08_lenient_numbers",
-    "SELECT doc_id, CASE WHEN lang = 'en' THEN cast(n_chars AS DOUBLE) ELSE 0 END AS number,"
-    " CASE WHEN lang = 'en' THEN n_chars ELSE 0 END AS whole FROM documents",
+    """WITH v AS (SELECT doc_id, CASE WHEN lang = 'en' THEN cast(n_chars AS VARCHAR) ELSE text END AS v FROM documents)
+    SELECT doc_id, CASE WHEN regexp_full_match(v, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN cast(v AS DOUBLE) ELSE 0 END AS number,
+      CASE WHEN regexp_full_match(v, '[+-]?[0-9]{1,18}') THEN cast(v AS BIGINT) WHEN regexp_full_match(v, '[+-]?[0-9]+')
+        THEN cast(least(greatest(cast(v AS HUGEINT), -9223372036854775808), 9223372036854775807) AS BIGINT) ELSE 0 END AS whole FROM v""",
 )
 def c08(t: Tables):
-    text = F.when(F.col("lang") == "en", F.col("n_chars").cast("string")).otherwise(F.substring("text", 1, 12))
+    text = F.when(F.col("lang") == "en", F.col("n_chars").cast("string")).otherwise(F.col("text"))
     return t.documents.select("doc_id", L.lenient_double(text).alias("number"), L.lenient_long(text).alias("whole"))
 
 

@@ -36,10 +36,13 @@ def t01(t: Tables):
     path, s = t.scratch("ingested"), streams(t)
     # Two overlapping pulls of the same window.
     pulls = vendor_a_rows(s).unionByName(vendor_a_rows(s))
-    docs = flatten_a(pulls, task="north").withColumn("ingest_date", F.lit(REPORT_DAY))
+
+    def documents(batch):
+        return flatten_a(batch, task="north").withColumn("ingest_date", F.lit(REPORT_DAY))
+
     for _ in range(2):
         # The second run starts from the checkpoint and finds nothing new.
-        ingest.ingest(docs, path, f"{path}-checkpoint").awaitTermination()
+        ingest.ingest(pulls, path, f"{path}-checkpoint", documents).awaitTermination()
     return ingest.current(t.spark, path).select(
         "doc_id", F.col("taskId").alias("task_id"), F.col("indexName").alias("index_name"),
         F.col("durationMs").alias("duration_ms"), F.col("dslFormat").alias("dsl_format"),

@@ -8,11 +8,15 @@ batch per document; ``compact`` folds a day into one upserted snapshot.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logharbor.operators.aggregates import latest
+from logharbor.operators.joins import keys_of
+from logharbor.sources.landed import spread
 
 KEY = ("ingest_date", "doc_id")
 
@@ -27,11 +31,16 @@ def file_stream(
     return reader.parquet(folder)
 
 
-def write_batch(path: str, order: tuple[str, ...]):
-    """A foreachBatch function that upserts into (ingest_date, batch) partitions."""
+def write_batch(path: str, order: Sequence[str], prepare: Callable[[DataFrame], DataFrame] | None = None):
+    """A foreachBatch function that upserts into (ingest_date, batch) partitions.
+
+    ``prepare`` turns the rows of a batch into documents; the batch is spread
+    over the cores first when it comes in few splits.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = latest(batch, KEY, order).withColumn("batch", F.lit(batch_id))
+        docs = prepare(spread(batch)) if prepare else batch
+        rows = latest(docs, KEY, order).withColumn("batch", F.lit(batch_id))
         (
             rows.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -42,10 +51,16 @@ def write_batch(path: str, order: tuple[str, ...]):
     return write
 
 
-def ingest(docs: DataFrame, path: str, checkpoint: str, order: tuple[str, ...] = ("dslHash",)) -> StreamingQuery:
+def ingest(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
+    order: Sequence[str] = ("dslHash",),
+) -> StreamingQuery:
     """Run the ingest over everything that has arrived, then stop."""
     return (
-        docs.writeStream.foreachBatch(write_batch(path, order))
+        stream.writeStream.foreachBatch(write_batch(path, order, prepare))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -90,7 +105,7 @@ def append(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 def deny(stream: DataFrame, denied: DataFrame, on: str) -> DataFrame:
     """Stream rows whose key is not on the static deny list."""
-    return stream.join(denied, on, "left_anti")
+    return stream.join(keys_of(denied, on), on, "left_anti")
 
 
 def now_millis() -> Column:

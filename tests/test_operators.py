@@ -212,6 +212,14 @@ def test_hot_parent_is_split_into_pieces(spark):
     assert by_parent[2] == [3, 7] and by_parent[3] == []
 
 
+def test_copies_of_a_child_are_dealt_out(spark):
+    children = spark.createDataFrame([(1, 7)] * 230 + [(1, 8)] * 3 + [(2, 5)] * 2, "parent int, child int")
+    out = joins.gather(children, "parent", F.struct("child"), "kids", "piece", 50).collect()
+    sizes = [len(r.kids) for r in out if r.parent == 1]
+    assert sum(sizes) == 233 and max(sizes) <= 52
+    assert Counter(k["child"] for r in out for k in r.kids) == {7: 230, 8: 3, 5: 2}
+
+
 def test_latest_and_earliest(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), ("b", 1, "y")], "k string, seq int, v string")
     assert rows(aggregates.latest(df, ["k"], ["seq"]), "k", "seq") == [("a", 2), ("b", 1)]

@@ -11,7 +11,7 @@ SECOND = 1_000_000
 
 
 def plain_limit(requests, limit, expire):
-    """Reference behaviour, request by request."""
+    """The rule, request by request."""
     state, out = {}, {}
     for key, at, ident in sorted(requests, key=lambda r: (r[1], r[2])):
         start, taken = state.get(key, (None, 0))
