@@ -14,12 +14,22 @@ SAMPLE_FIELDS = ("@timestamp", "instanceId", "indexName", "queryText")
 MAX_BUCKETS = 10_000
 
 
+def exact_mean(column: Column) -> Column:
+    """Mean of doubles summed as decimals: the same whatever the order of the rows.
+
+    A sum of doubles depends on how rows are split over tasks, and a mean that
+    ends in half a cent would then round either way.
+    """
+    total = F.sum(column.try_cast("decimal(28,6)")).cast("double")
+    return total / F.nullif(F.count(column), F.lit(0))
+
+
 def fingerprint_buckets(slow: DataFrame, keys: Sequence[str] = ("checkSum",)) -> DataFrame:
     """Count, maximum and mean duration per fingerprint. An empty mean or maximum reads as 0."""
     return slow.groupBy(*keys).agg(
         F.count("*").alias("doc_count"),
         F.coalesce(F.max("durationMs"), F.lit(0.0)).alias("max_duration"),
-        F.coalesce(F.avg("durationMs"), F.lit(0.0)).alias("avg_duration"),
+        F.coalesce(exact_mean(F.col("durationMs")), F.lit(0.0)).alias("avg_duration"),
     )
 
 
@@ -29,7 +39,7 @@ def sampled_buckets(slow: DataFrame, keys: Sequence[str] = ("checkSum",)) -> Dat
     return slow.groupBy(*keys).agg(
         F.count("*").alias("doc_count"),
         F.coalesce(F.max("durationMs"), F.lit(0.0)).alias("max_duration"),
-        F.coalesce(F.avg("durationMs"), F.lit(0.0)).alias("avg_duration"),
+        F.coalesce(exact_mean(F.col("durationMs")), F.lit(0.0)).alias("avg_duration"),
         F.min_by(sample, F.struct("`@timestamp`", "doc_id")).alias("sample"),
     )
 

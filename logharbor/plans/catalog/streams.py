@@ -9,7 +9,7 @@ from logharbor.operators.documents import flatten_a
 from logharbor.operators.filters import slow_for_source
 from logharbor.plans.catalog.base import DOCS_SQL, QUERY_TEXT_SPARK, REPORT_DAY, THRESHOLDS, Tables, query
 from logharbor.plans.catalog.landing import DUMP_END, vendor_a_rows
-from logharbor.plans.catalog.rollups import SLOW_SQL
+from logharbor.plans.catalog.rollups import MEAN, SLOW_SQL
 from logharbor.sources.landed import accepted, stream_dumps
 from logharbor.streaming import audit, ingest, limiter, report
 
@@ -92,7 +92,7 @@ def t04(t: Tables):
 @query(
     "t05_daily_inspection",
     f"""WITH {DOCS_SQL}, {SLOW_SQL} SELECT strftime(ts, '%Y-%m-%d') AS day, "checkSum" AS check_sum, count(*) AS doc_count,
-      max("durationMs") AS max_duration, round(avg("durationMs") * 100) / 100 AS avg_duration FROM slow GROUP BY ALL""",
+      max("durationMs") AS max_duration, round(({MEAN}) * 100) / 100 AS avg_duration FROM slow GROUP BY ALL""",
 )
 def t05(t: Tables):
     path = t.scratch("daily-report")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from logharbor.operators.aggregates import latest
+from logharbor.operators.aggregates import exact_mean, latest
 
 
 def daily_buckets(slow: DataFrame, event_time: str, delay: str = "1 hour") -> DataFrame:
@@ -17,7 +17,7 @@ def daily_buckets(slow: DataFrame, event_time: str, delay: str = "1 hour") -> Da
         .agg(
             F.count("*").alias("doc_count"),
             F.max("durationMs").alias("max_duration"),
-            F.avg("durationMs").alias("avg_duration"),
+            exact_mean(F.col("durationMs")).alias("avg_duration"),
         )
         .select(
             F.date_format("w.start", "yyyy-MM-dd").alias("day"),

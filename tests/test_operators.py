@@ -226,6 +226,18 @@ def test_latest_and_earliest(spark):
     assert rows(aggregates.earliest(df, ["k"], ["seq"]), "k", "v") == [("a", "x"), ("b", "y")]
 
 
+def test_mean_does_not_depend_on_row_order(spark):
+    values = [0.1, 0.2, 0.3, 1e6 + 0.01, 61.4, 5.55] * 50
+    means = set()
+    for seed in range(4):
+        random.Random(seed).shuffle(values)
+        df = spark.createDataFrame([(v,) for v in values], "durationMs double").repartition(seed + 1)
+        means.add(df.agg(aggregates.exact_mean(F.col("durationMs"))).first()[0])
+    assert len(means) == 1
+    none = spark.createDataFrame([(None,)], "durationMs double")
+    assert none.agg(aggregates.exact_mean(F.col("durationMs"))).first()[0] is None
+
+
 def test_labels_keep_order_and_gaps(spark):
     df = spark.createDataFrame([(1, ["b", "z", "a"]), (2, [])], "id int, codes array<string>")
     labels = spark.createDataFrame([("a", "A"), ("b", "B")], "code string, label string")
