@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from logharbor.session import cut, load, save, scratch  # noqa: F401
 
@@ -25,6 +26,11 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def extended(schema: StructType, ddl: str) -> StructType:
+    """schema with further fields."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def kept(key: tuple, make: Callable):
     """What make() returns, built once per Python worker process and kept for its later tasks."""
     name = "_logharbor_llm_kept"

@@ -27,7 +27,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from logharbor.llm.common import WordCache, kept, read_bytes, small_slices, texts
+from logharbor.llm.common import WordCache, extended, kept, read_bytes, small_slices, texts
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -206,8 +206,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
             columns = [*batch.columns, pa.array(coded, pa.list_(pa.int32())), pa.array(codec.decode(coded), pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "ids", "decoded"])
 
-    schema = rest.schema.add("ids", "array<int>").add("decoded", "string")
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(run, extended(rest.schema, "ids array<int>, decoded string"))
 
 
 def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
