@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logharbor.llm import piecebpe, simhash, tokenfile
+from logharbor.llm import piecebpe, reshard, simhash, tokenfile
 from logharbor.llm.common import documents
 from logharbor.session import prepare
 
@@ -29,6 +29,16 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecebpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 16 old shards by source, very unequal ones, to 24 of equal bytes."""
+    old = F.pmod(F.xxhash64("source"), F.lit(16))
+    rows = reshard.reshard_documents(documents(spark, sf_dir), old, 24)
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_index(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
