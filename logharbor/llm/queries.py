@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logharbor.llm import piecebpe, quality, reshard, simhash, tokenfile
+from logharbor.llm import pii, piecebpe, quality, reshard, simhash, tokenfile
 from logharbor.llm.common import documents
 from logharbor.session import prepare
 
@@ -39,6 +39,14 @@ def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(documents(spark, sf_dir))
+    counts = [F.col("counts")[i].alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
+    base = F.sha2(pii.spelled("base"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, pii.spelled("spans").alias("spans"))
+
+
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_index(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
