@@ -14,16 +14,15 @@ WIDTHS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 # selector 15 whose sixty bits are all ones announces a raw word.
 ESCAPE = np.uint64((1 << 64) - 1)
 ONE, LIMIT = 15, (1 << 60) - 1
+STEPS = np.array(COUNTS, np.uint8)
+SMALL_WIDTHS = np.repeat(np.arange(17, dtype=np.uint8), [1, *(1 << b for b in range(16))])
 
 
 def widths_of(values: np.ndarray) -> np.ndarray:
     """Bits each unsigned value takes, as bytes; 0 for 0."""
-    left, bits = values.astype(np.uint64), np.zeros(len(values), np.uint8)
     if len(values) and int(values.max()) < 1 << 16:
-        table = np.zeros(1 << 16, np.uint8)
-        for b in range(16):
-            table[1 << b : 2 << b] = b + 1
-        return table[left.astype(np.uint16)]
+        return SMALL_WIDTHS[values]
+    left, bits = values.astype(np.uint64), np.zeros(len(values), np.uint8)
     for shift in (32, 16, 8, 4, 2, 1):
         high = left >= np.uint64(1) << np.uint64(shift)
         bits[high] += shift
@@ -33,35 +32,34 @@ def widths_of(values: np.ndarray) -> np.ndarray:
 
 def pack(values: np.ndarray) -> np.ndarray:
     """The words of one run of unsigned ids."""
-    values = np.ascontiguousarray(values, np.uint64)
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64)
     bits = widths_of(values)
-    escaped = values >= np.uint64(LIMIT)
+    escaped = values >= LIMIT if int(bits.max()) >= 60 else None
     choice = np.full(n, ONE, np.uint8)
     # From the widest selector to the narrowest, so the one that holds most ids wins. Beyond the end any width fits.
     for s in range(ONE - 1, -1, -1):
         count, width = COUNTS[s], WIDTHS[s]
         fits = np.ones(n + count, bool)
         np.less_equal(bits, width, out=fits[:n])
-        fits[:n] &= ~escaped
         have = 1
         while have < count and fits[:n].any():
             step = min(have, count - have)
             fits[: len(fits) - step] &= fits[step:]
             have += step
         if have < count:
-            break  # no two ids in a row are that narrow, so fewer bits hold no longer run either
+            break  # no run is that narrow, so fewer bits hold no longer one either
         choice[fits[:n]] = s
-    steps, at, starts = np.array(COUNTS, np.int64)[choice].tolist(), 0, []
+    steps, at, starts = STEPS[choice].tobytes(), 0, []
     push = starts.append
     while at < n:
         push(at)
         at += steps[at]
     starts = np.array(starts, np.int64)
     picked = choice[starts]
-    padded = np.concatenate([values, np.zeros(max(COUNTS), np.uint64)])
+    padded = np.zeros(n + max(COUNTS), np.uint64)
+    padded[:n] = values
     words = np.zeros(len(starts), np.uint64)
     for s in np.unique(picked).tolist():
         rows = np.flatnonzero(picked == s)
@@ -70,10 +68,10 @@ def pack(values: np.ndarray) -> np.ndarray:
             for j in range(COUNTS[s]):
                 word |= (padded[starts[rows] + j] & np.uint64(LIMIT)) << np.uint64(j * WIDTHS[s])
         words[rows] = word
-    raw = np.flatnonzero(escaped[starts])
-    if len(raw):
+    if escaped is not None and escaped.any():
+        raw = np.flatnonzero(escaped[starts])
         words[raw] = ESCAPE
-        words = np.insert(words, raw + 1, values[starts[raw]])
+        words = np.insert(words, raw + 1, padded[starts[raw]])
     return words
 
 

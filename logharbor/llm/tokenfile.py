@@ -21,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import zlib
 
 import numpy as np
@@ -34,6 +33,8 @@ from logharbor.llm.simple8b import pack, unpack
 
 MAGIC, SEGMENT_IDS, BLOCK_IDS = b"S8BT", 1 << 20, 1 << 16
 CACHE_WORDS, CACHE_CHARS = 1_000_000, 48
+#: How a byte-level vocabulary spells a space.
+SPACE = "\u0120"
 SEGMENTS = "part int, segment int, n_ids bigint, data binary"
 
 
@@ -60,57 +61,79 @@ class WordEncoder:
             and spec["model"].get("dropout") is None
         )
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.words = WordCache(CACHE_WORDS)
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        # Whether an id's bytes begin with a space; no other byte of a word is one.
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        for token, i in vocabulary.items():
+            self.opens[i] = token.startswith(SPACE)
+        # Words that begin a text, and words after a space.
+        self.first, self.words = WordCache(CACHE_WORDS // 8), WordCache(CACHE_WORDS)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        coded = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in coded]
+
+    def _learn(self, missing: dict[str, bytes | None]) -> None:
+        """Ids of words after a space: the library encodes them in one text, and each begins with its space."""
+        joined = " " + " ".join(missing)
+        ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        ends = [*(np.flatnonzero(self.opens[ids]) * 4).tolist(), len(ids) * 4]
+        raw, put = ids.tobytes(), self.words.put
+        if len(ends) != len(missing) + 1:
+            raise ValueError("words could not be told apart")
+        for word, a, b in zip(missing, ends, ends[1:], strict=False):
+            missing[word] = coded = raw[a:b]
+            if len(word) <= CACHE_CHARS:
+                put(word, coded)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32."""
         if not self.by_word:
             return self._whole(texts)
-        out, cut, missing = [b""] * len(texts), {}, {}
-        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
-        odd = set(whole)
-        new, get = self.words.new, self.words.get
+        out, whole, cut, missing, firsts = [b""] * len(texts), [], [], {}, {}
+        new, old = self.words.new.get, self.words.old.get
         for i, text in enumerate(texts):
-            if i in odd or not text:
+            if not text:
                 continue
-            # A key without a leading space is a text's first word; all others follow one space.
-            words = _words(text)
-            if words is None:
+            words = text.split(" ")
+            found = list(map(new, words))
+            holes = [k for k, f in enumerate(found) if f is None and k]
+            # White space before a space may be joined with it, so such texts are not cut; no cache holds such words.
+            if text[0].isspace() or words[0][-1:].isspace() or any(not words[k] or words[k][-1].isspace() for k in holes):
                 whole.append(i)
                 continue
-            found = list(map(new.get, words))
-            if None in found:
-                found = [f or get(w) for f, w in zip(found, words, strict=True)]
-                missing.update((w, None) for f, w in zip(found, words, strict=True) if f is None)
-            cut[i] = words, found
-        if missing:
-            for word, ids in zip(missing, self._whole(list(missing)), strict=True):
-                missing[word] = ids
+            if any(a in text for a in self.added):
+                whole.append(i)
+                continue
+            found[0] = self.first.get(words[0])
+            if found[0] is None:
+                firsts[words[0]] = None
+                holes.append(0)
+            for k in holes:
+                word = words[k]
+                if k and (known := old(word)) is not None:
+                    found[k] = known
+                    self.words.put(word, known)
+                elif k and word not in missing:
+                    missing[word] = None
+            cut.append((i, words, found, holes))
+        if firsts:
+            for word, ids in zip(firsts, self._whole(list(firsts)), strict=True):
+                firsts[word] = ids
                 if len(word) <= CACHE_CHARS:
-                    self.words.put(word, ids)
-        for i, (words, found) in cut.items():
-            if None in found:
-                found = [missing[w] if f is None else f for f, w in zip(found, words, strict=True)]
+                    self.first.put(word, ids)
+        if missing:
+            self._learn(missing)
+        for i, words, found, holes in cut:
+            for k in holes:
+                if found[k] is None:
+                    found[k] = missing[words[k]] if k else firsts[words[0]]
             out[i] = b"".join(found)
         for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True) if whole else ():
             out[i] = ids
         return out
 
 
-#: White space of any kind right before a space, at the start or at the end.
-JOINED = re.compile(r"\s |^\s|\s$")
-
-
-def _words(text: str) -> list[str] | None:
-    """The text cut before each space; None if white space stands before one, where the pattern may join both."""
-    if "\0" in text or JOINED.search(text):
-        return None
-    return text.replace(" ", "\0 ").split("\0")
-
-
 def to_segment(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
     """One segment of whole documents; ids as little-endian uint32."""
     stream = np.frombuffer(b"".join(ids), "<u4")
