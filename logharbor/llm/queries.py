@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logharbor.llm import pii, piecebpe, quality, reshard, simhash, tokenfile
+from logharbor.llm import lengths, licenses, pii, piecebpe, quality, reshard, simhash, tokenfile
 from logharbor.llm.common import documents
 from logharbor.session import prepare
 
@@ -47,6 +47,17 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, base, pii.spelled("spans").alias("spans"))
 
 
+@query
+def op8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = lengths.token_lengths(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return lengths.suffix_sums(lengths.histogram(encoded))
+
+
+@query
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_index(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)

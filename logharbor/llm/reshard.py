@@ -191,9 +191,10 @@ def reshard(spark: SparkSession, old: str, new: str, shards: int) -> tuple[DataF
         if (shard, block) in whole:
             lack[whole[shard, block]] -= size
     loose: list[tuple[int, int, int, int]] = []
+    named = None
     if cut:
-        # At most old + new shards blocks are cut, of about sqrt(rows) rows each.
-        named = spark.createDataFrame(pd.DataFrame(sorted(cut), columns=["shard", "block"]).astype("int32"))
+        # At most old + new shards blocks are cut, of about sqrt(rows) rows each: few enough names to broadcast.
+        named = F.broadcast(spark.createDataFrame(sorted(cut), "shard int, block int"))
         narrow = rows.join(named, ["shard", "block"], "left_semi").select(
             "shard", "block", (F.row_number().over(order) - 1).alias("rank"), "size"
         )
@@ -212,26 +213,21 @@ def reshard(spark: SparkSession, old: str, new: str, shards: int) -> tuple[DataF
         single.append((shard, block, rank, target, at[target]))
         at[target] += 1
     starts = pd.DataFrame(starts, columns=["shard", "block", "to", "start"], dtype="int64")
-    single = pd.DataFrame(single, columns=["shard", "block", "rank", "to_one", "slot_one"], dtype="int64")
-    types = "shard bigint, block bigint, "
+    single = pd.DataFrame(single, columns=["shard", "block", "rank", "to", "slot"], dtype="int64")
     same = {t for t in capacity if all((s == t) == (u == t) for s, u in flow) and flow.get((t, t), 0)}
+    ranked = rows if named is None else rows.join(named, ["shard", "block"], "left_anti")
+    kept = ["doc_id", "text", "size", "text_crc32", F.col("slot"), F.col("to").cast("int").alias("shard")]
     placed = (
-        rows.withColumn("rank", F.row_number().over(order) - 1)
-        .join(spark.createDataFrame(starts, types + "to bigint, start bigint"), ["shard", "block"], "left")
-        .join(
-            spark.createDataFrame(single, types + "rank bigint, to_one bigint, slot_one bigint"),
-            ["shard", "block", "rank"],
-            "left",
-        )
-        .select(
-            "doc_id",
-            "text",
-            "size",
-            "text_crc32",
-            F.coalesce("slot_one", F.col("start") + F.col("rank")).alias("slot"),
-            F.coalesce("to_one", "to").cast("int").alias("shard"),
-        )
+        ranked.withColumn("rank", F.row_number().over(order) - 1)
+        .join(spark.createDataFrame(starts, "shard bigint, block bigint, to bigint, start bigint"), ["shard", "block"])
+        .withColumn("slot", F.col("start") + F.col("rank"))
+        .select(*kept)
     )
+    if named is not None:
+        # Only the rows of cut blocks meet the table of single rows.
+        cut_rows = rows.join(named, ["shard", "block"], "left_semi").withColumn("rank", F.row_number().over(order) - 1)
+        one = spark.createDataFrame(single, "shard bigint, block bigint, rank bigint, to bigint, slot bigint")
+        placed = placed.unionByName(cut_rows.join(one, ["shard", "block", "rank"]).select(*kept))
     changed = placed.filter(~F.col("shard").isin(*same)) if same else placed
     changed.write.mode("overwrite").partitionBy("shard").option("compression", "zstd").parquet(new)
     layout = spark.read.schema(LAYOUT).parquet(new)

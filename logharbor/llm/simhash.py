@@ -336,8 +336,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     linked = arranged.join(roots, arranged.x == roots.node)
     labels = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.select("fp", "root").join(labels, "root").select("fp", "component_id")
-    found = classes.join(linked, "fp", "left").select(
-        "fp", F.coalesce("component_id", "least").alias("component_id")
+    # Written out, so that the last join has plain exchanges below it and a fingerprint of very many copies is split.
+    found = cut(
+        classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     )
     return marked.join(found, "fp").select("doc_id", "fp", "component_id")
 
