@@ -152,7 +152,7 @@ class Index:
                 best, step = score[i - 1][d + 1] if d + 1 < width else -1, 2
                 if d and score[i][d - 1] > best:
                     best, step = score[i][d - 1], 3
-                if 0 <= j < n and found[j][0] == word and score[i - 1][d] + 1 > best:
+                if 0 <= j < n and found[j][0] == word and score[i - 1][d] + 1 >= best:
                     best, step = score[i - 1][d] + 1, 1
                 score[i][d], move[i][d] = max(best, 0), step
         d = max(range(width), key=lambda x: score[m][x])

@@ -238,7 +238,8 @@ def further_spans(found: DataFrame, accepted: DataFrame) -> DataFrame:
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, key, counts (of the fixed spans, by KINDS), base and spans (all) of every row of docs."""
     found = cut(scan(docs))
-    further = further_spans(found, bootstrap(found))
+    # Written out, so that the join below has plain exchanges and a text of very many copies is split.
+    further = cut(further_spans(found, bootstrap(found)))
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     joined = found.drop("seen").join(further, "key", "left")
     return joined.withColumn("spans", F.concat("base", F.coalesce("further", none))).drop("further")
@@ -259,7 +260,7 @@ def mask(docs: DataFrame) -> DataFrame:
     Overlapping spans are replaced together, under the kind of the one that starts first. Null texts stay null.
     """
     found = cut(scan(docs))
-    further = further_spans(found, bootstrap(found))
+    further = cut(further_spans(found, bootstrap(found)))
     names = docs.columns
     rest = docs.withColumn("_key", text_key())
     joined = rest.join(further.select(F.col("key").alias("_key"), "further"), "_key", "left")

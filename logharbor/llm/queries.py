@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logharbor.llm import lengths, licenses, pii, piecebpe, quality, reshard, simhash, tokenfile
+from logharbor.llm import lengths, licenses, pii, piecebpe, quality, reshard, simhash, tokenfile, winnowing
 from logharbor.llm.common import documents
 from logharbor.session import prepare
 
@@ -47,6 +47,20 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, base, pii.spelled("spans").alias("spans"))
 
 
+@query
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = winnowing.edited_documents(documents(spark, sf_dir))
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        winnowing.digest(F.col("codes")).alias("fingerprint"),
+        winnowing.digest(F.col("edited_codes")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 @query
 def op8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = lengths.token_lengths(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
