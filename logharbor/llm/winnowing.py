@@ -81,8 +81,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def with_next(rows: DataFrame, *columns: str) -> DataFrame:
-    """rows (doc_id, ...) with ``next``, a struct of these columns of the row that follows by doc_id; after the last
-    row comes the first. Rows of one doc_id are ordered by the first column's hash; a null doc_id comes first.
+    """rows (doc_id, ...) with ``next_`` and the name for each of these columns: their values in the row that follows
+    by doc_id; after the last row comes the first. Rows of one doc_id are ordered by the first column's hash; a null doc_id comes first.
 
     Ids are cut into cells of equal width, at most CELLS of them, so rows are shuffled once, by cell, and the first
     row of each cell is sent to the cell before as well.
@@ -115,7 +115,8 @@ def with_next(rows: DataFrame, *columns: str) -> DataFrame:
     places = F.when(is_first, F.array(here, there)).otherwise(F.array(here))
     dealt = marked.withColumn("_place", F.explode(places)).select(*rows.columns, "_place._at", "_place._ahead")
     order = Window.partitionBy("_at").orderBy("_ahead", id_first, "_h")
-    followed = dealt.withColumn("next", F.lead(F.struct(*columns)).over(order))
+    # Column by column: a struct would be built before the shuffle and double it.
+    followed = dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
     return followed.filter(~F.col("_ahead")).drop("_h", "_cell", "_at", "_ahead")
 
 
@@ -130,13 +131,13 @@ def edited_documents(docs: DataFrame) -> DataFrame:
     followed = with_next(own, "text", "codes")
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring(F.col("next.text"), F.lit(1), quarter))
+    edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))
     rows = followed.select(
         "doc_id",
         n.cast("bigint").alias("n_chars"),
         edited.alias("edited"),
         "codes",
-        F.col("next.codes").alias("_next"),
+        F.col("next_codes").alias("_next"),
     ).withColumn("edited_codes", winnow(F.col("edited")))
     return rows.select(
         "doc_id",
