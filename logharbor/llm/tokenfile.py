@@ -32,9 +32,11 @@ from logharbor.llm.common import WordCache, kept, read_bytes, scratch, small_sli
 from logharbor.llm.simple8b import pack, unpack
 
 MAGIC, SEGMENT_IDS, BLOCK_IDS = b"S8BT", 1 << 20, 1 << 16
-CACHE_WORDS, CACHE_CHARS = 1_000_000, 48
+CACHE_WORDS, CACHE_CHARS = 1_400_000, 48
 #: How a byte-level vocabulary spells a space.
 SPACE = "\u0120"
+#: Marks that the pattern takes apart from a letter before them.
+ENDS = ",."
 SEGMENTS = "part int, segment int, n_ids bigint, data binary"
 
 
@@ -66,6 +68,7 @@ class WordEncoder:
         self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         for token, i in vocabulary.items():
             self.opens[i] = token.startswith(SPACE)
+        self.ends = dict(zip(ENDS, self._whole(list(ENDS)), strict=True)) if self.by_word else {}
         # Words that begin a text, and words after a space.
         self.first, self.words = WordCache(CACHE_WORDS // 8), WordCache(CACHE_WORDS)
 
@@ -110,12 +113,23 @@ class WordEncoder:
                 firsts[words[0]] = None
                 holes.append(0)
             for k in holes:
+                if not k:
+                    continue
                 word = words[k]
-                if k and (known := old(word)) is not None:
+                known = old(word)
+                if known is None and word[-1] in ENDS and word[-2:-1].isalpha():
+                    # The word without its mark is met more often than with it.
+                    end, core = self.ends[word[-1]], word[:-1]
+                    known = new(core) or old(core)
+                    if known is None:
+                        missing[core] = None
+                        continue
+                    known += end
+                if known is None:
+                    missing[word] = None
+                else:
                     found[k] = known
                     self.words.put(word, known)
-                elif k and word not in missing:
-                    missing[word] = None
             cut.append((i, words, found, holes))
         if firsts:
             for word, ids in zip(firsts, self._whole(list(firsts)), strict=True):
@@ -127,7 +141,8 @@ class WordEncoder:
         for i, words, found, holes in cut:
             for k in holes:
                 if found[k] is None:
-                    found[k] = missing[words[k]] if k else firsts[words[0]]
+                    word = words[k]
+                    found[k] = firsts[word] if not k else missing.get(word) or missing[word[:-1]] + self.ends[word[-1]]
             out[i] = b"".join(found)
         for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True) if whole else ():
             out[i] = ids
