@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logharbor.llm import lengths, licenses, pii, piecebpe, quality, reshard, simhash, tokenfile, winnowing
+from logharbor.llm import decontaminate, lengths, licenses, pii, piecebpe, quality, reshard, simhash, tokenfile, winnowing
 from logharbor.llm.common import documents
 from logharbor.session import prepare
 
@@ -39,6 +39,11 @@ def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @query
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(documents(spark, sf_dir))
