@@ -182,4 +182,5 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Rows without a doc_id stay if their ids cannot be named; all others are kept or dropped by doc_id.
     """
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    named = leaks(docs, benchmark).select("doc_id").distinct()
+    return docs.join(named, "doc_id", "left_anti").select(*docs.columns)

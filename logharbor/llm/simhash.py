@@ -362,4 +362,4 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         .agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("_row"))
         .select("_row.*")
     )
-    return single.unionByName(chosen).unionByName(lone)
+    return single.unionByName(chosen).unionByName(lone).select(*docs.columns)
