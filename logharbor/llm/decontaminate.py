@@ -41,8 +41,12 @@ def shingles(text: Column) -> Column:
     """Hashes of the text's shingles in order; null without words."""
     one = F.transform(
         F.array(words(text)),
-        lambda w: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(w) - (GRAM - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, GRAM))
+        lambda w: F.when(
+            w.isNotNull(),
+            F.transform(
+                F.sequence(F.lit(1), F.greatest(F.size(w) - (GRAM - 1), F.lit(1))),
+                lambda i: F.xxhash64(F.slice(w, i, GRAM)),
+            ),
         ),
     )
     return F.element_at(one, 1)

@@ -97,6 +97,8 @@ class Index:
         self.words = [[w for w, _, _ in words(t)] for t in lowered]
         self.starts = [np.array([a for _, a, _ in words(t)]) for t in lowered]
         self.entries: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        # Of notices shorter than the slack, neighbours must stay apart.
+        self.slack = [min(SLACK, len(t) // 2) for t in lowered]
         self.needed = []
         for k, t in enumerate(lowered):
             hashes = grams(t)
@@ -123,7 +125,7 @@ class Index:
             diagonals.sort()
             begin = 0
             for i in range(1, len(diagonals) + 1):
-                if i == len(diagonals) or diagonals[i] - diagonals[i - 1] > SLACK:
+                if i == len(diagonals) or diagonals[i] - diagonals[i - 1] > self.slack[k]:
                     if i - begin >= self.needed[k]:
                         out.append((k, diagonals[(begin + i - 1) // 2]))
                     begin = i

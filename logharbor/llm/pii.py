@@ -232,7 +232,7 @@ def further_spans(found: DataFrame, accepted: DataFrame) -> DataFrame:
     best = F.max(F.struct("confidence", "kind"))["kind"].alias("kind")
     hits = each.join(accepted, "pattern").groupBy("key", "start", "end").agg(best)
     # One row per text, however many copies it has; a text's own spans are all that meets here.
-    return hits.groupBy("key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("further"))
+    return hits.groupBy("key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("__pii_spans"))
 
 
 def detect(docs: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def detect(docs: DataFrame) -> DataFrame:
     further = cut(further_spans(found, bootstrap(found)))
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     joined = found.drop("seen").join(further, "key", "left")
-    return joined.withColumn("spans", F.concat("base", F.coalesce("further", none))).drop("further")
+    return joined.withColumn("spans", F.concat("base", F.coalesce("__pii_spans", none))).drop("__pii_spans")
 
 
 def spelled(spans):
@@ -262,18 +262,18 @@ def mask(docs: DataFrame) -> DataFrame:
     found = cut(scan(docs))
     further = cut(further_spans(found, bootstrap(found)))
     names = docs.columns
-    rest = docs.withColumn("_key", text_key())
-    joined = rest.join(further.select(F.col("key").alias("_key"), "further"), "_key", "left")
+    rest = docs.withColumn("__pii_key", text_key())
+    joined = rest.join(further.select(F.col("key").alias("__pii_key"), "__pii_spans"), "__pii_key", "left")
 
     def run(batches):
         for batch in small_slices(batches):
             out = []
-            for text, more in zip(batch.column("text").to_pylist(), batch.column("further").to_pylist(), strict=True):
+            for text, more in zip(batch.column("text").to_pylist(), batch.column("__pii_spans").to_pylist(), strict=True):
                 out.append(text if not text else masked(text, more or []))
             columns = [pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    done = joined.select(*names, "further").mapInArrow(run, docs.schema)
+    done = joined.select(*names, "__pii_spans").mapInArrow(run, docs.schema)
     return done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else done
 
 

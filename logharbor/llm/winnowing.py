@@ -38,12 +38,14 @@ def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
             hashed = F.shiftrightunsigned(F.xxhash64(F.slice(tokens, i, gram)), 64 - 33)
             return F.shiftleft(hashed, POSITION_BITS) + (F.lit(1 << POSITION_BITS) - i)
 
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - (gram - 1), F.lit(1))), code)
+        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (gram - 1), F.lit(1)))
+        return F.when(tokens.isNotNull(), F.transform(starts, code))
 
     def least(coded: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(coded) - (window - 1), F.lit(1)))
         # Minima of neighbouring windows repeat; a code names its position, so repeats are the same hash.
-        return F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(coded, i, window))))
+        minima = F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(coded, i, window))))
+        return F.when(coded.isNotNull(), minima)
 
     # Each array is bound once by a transform over a single element.
     one = F.transform(F.array(words(text)), lambda t: codes(t))
