@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 
 def truncate(number: Column) -> Column:
-    """Double to bigint, cutting toward zero."""
-    return number.cast("bigint")
+    """Double to bigint, cutting toward zero; beyond its range the nearest bigint, and 0 for NaN."""
+    number = number.cast("double")
+    low, high = F.lit(-(1 << 63)).cast("bigint"), F.lit((1 << 63) - 1).cast("bigint")
+    return (
+        F.when(F.isnan(number), F.lit(0).cast("bigint"))
+        .when(number >= 2.0**63, high)
+        .when(number <= -(2.0**63), low)
+        .otherwise(number.try_cast("bigint"))
+    )
 
 
 def round_cents(number: Column) -> Column:

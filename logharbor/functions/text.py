@@ -107,21 +107,19 @@ def quarter_label(ts: Column) -> Column:
 
 
 def column_letters(ordinal: Column) -> Column:
-    """Spreadsheet letters of a 1-based column number, up to three letters (18,278 columns)."""
+    """Spreadsheet letters of a 1-based column number; NULL below 1. Fourteen letters hold every bigint."""
     n = ordinal.cast("bigint")
 
-    def letter(offset: int, size: int) -> Column:
-        return F.char(F.lit(65) + F.pmod(F.floor((n - offset) / size), F.lit(26)))
+    def step(state: Column, _) -> Column:
+        left = state["n"] - 1
+        letter = F.char(F.lit(65) + F.pmod(left, F.lit(26)))
+        return F.when(
+            state["n"] > 0,
+            F.struct(F.call_function("div", left, F.lit(26)).alias("n"), F.concat(letter, state["t"]).alias("t")),
+        ).otherwise(state)
 
-    last = letter(1, 1)
-    middle = letter(27, 26)
-    first = letter(703, 676)
-    return (
-        F.when((n < 1) | (n > 18278), F.lit(None).cast("string"))
-        .when(n > 702, F.concat(first, middle, last))
-        .when(n > 26, F.concat(middle, last))
-        .otherwise(last)
-    )
+    start = F.struct(n.alias("n"), F.lit("").alias("t"))
+    return F.when(n >= 1, F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step)["t"])
 
 
 def plain_number(number: Column) -> Column:

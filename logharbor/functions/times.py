@@ -66,7 +66,7 @@ _CLOCK = rf"^[+-]?(?:0|(?:{_QUANTITY}(?:{_UNITS}))+)$"
 
 
 def _clock_nanos(text: Column) -> Column:
-    """Sum of the quantities of ``5h20m`` style text in nanoseconds; NULL when malformed."""
+    """Sum of the quantities of ``5h20m`` style text in nanoseconds; NULL when malformed or beyond bigint."""
     part = rf"({_QUANTITY})({_UNITS})"
     amounts = F.regexp_extract_all(text, F.lit(part), 1)
     units = F.regexp_extract_all(text, F.lit(part), 2)
@@ -74,9 +74,10 @@ def _clock_nanos(text: Column) -> Column:
     products = F.zip_with(
         amounts,
         units,
-        lambda a, u: (a.cast("decimal(19,9)") * nanos[u].cast("decimal(16,0)")).cast("bigint"),
+        # 20 digits before the point hold every bigint of nanoseconds, and 9 behind it an hour's.
+        lambda a, u: F.try_multiply(a.try_cast("decimal(29,9)"), nanos[u].cast("decimal(14,0)")).try_cast("bigint"),
     )
-    total = F.aggregate(products, F.lit(0).cast("bigint"), lambda x, y: x + y)
+    total = F.aggregate(products, F.lit(0).cast("bigint"), lambda x, y: F.try_add(x, y))
     signed = F.when(F.startswith(text, F.lit("-")), -total).otherwise(total)
     return F.when(F.rlike(text, F.lit(_CLOCK)), signed)
 
@@ -90,11 +91,11 @@ def parse_duration(text: Column) -> Column:
     text = F.trim(text)
     cut = F.instr(text, "d")
     head = F.substring(text, F.lit(1), cut - 1)
-    days = F.when(F.rlike(head, F.lit(r"^[+-]?[0-9]+$")), head.try_cast("bigint")).otherwise(F.lit(0))
+    days = F.when(F.rlike(head, F.lit(r"^[+-]?[0-9]+$")), head.try_cast("bigint")).otherwise(F.lit(0).cast("bigint"))
     tail = F.coalesce(_clock_nanos(F.substring(text, cut + 1, F.length(text))), F.lit(0))
     bare = F.when(F.rlike(text, F.lit(r"^[+-]?[0-9]+$")), text.try_cast("bigint"))
     return (
         F.when(F.rlike(text, F.lit(_CLOCK)), _clock_nanos(text))
-        .when(cut > 0, days * F.lit(DAY_NANOS) + tail)
+        .when(cut > 0, F.try_add(F.try_multiply(days, F.lit(DAY_NANOS)), tail))
         .otherwise(bare)
     )

@@ -2,26 +2,58 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logharbor.functions.ids import round_cents
-from logharbor.operators.joins import gather
+from logharbor.operators.joins import numbered
 
 SAMPLE_FIELDS = ("@timestamp", "instanceId", "indexName", "queryText")
 MAX_BUCKETS = 10_000
 
 
+def mean_parts(column: Column) -> dict[str, Column]:
+    """Aggregates that exact_mean needs; parts of parts add up (``merged_parts``).
+
+    A sum of doubles depends on how rows are split over tasks, and a mean that ends in half a cent
+    would then round either way, so values are summed as decimals of ten places. ``mean_odd`` says that
+    a value is there which these cannot carry: infinite, NaN, 1e27 and more, or below 1e-10 but not zero.
+    """
+    exact = column.try_cast("decimal(38,10)")
+    odd = exact.isNull() | ((exact == 0) & (column != 0)) | (F.abs(column) >= 1e27)
+    return {
+        "mean_exact": F.try_sum(F.when(~odd, exact)),
+        "mean_plain": F.sum(column.cast("double")),
+        "mean_count": F.count(column),
+        "mean_odd": F.coalesce(F.bool_or(odd & column.isNotNull()), F.lit(False)),
+    }
+
+
+def merged_parts() -> dict[str, Column]:
+    """mean_parts of rows that hold mean_parts."""
+    return {
+        "mean_exact": F.try_sum("mean_exact"),
+        "mean_plain": F.sum("mean_plain"),
+        "mean_count": F.sum("mean_count"),
+        "mean_odd": F.bool_or("mean_odd"),
+    }
+
+
+def mean_of_parts(parts: dict[str, Column]) -> Column:
+    total = F.when(parts["mean_odd"], parts["mean_plain"]).otherwise(
+        F.coalesce(parts["mean_exact"].cast("double"), parts["mean_plain"])
+    )
+    return total / F.nullif(parts["mean_count"], F.lit(0))
+
+
 def exact_mean(column: Column) -> Column:
-    """Mean of doubles summed as decimals: the same whatever the order of the rows.
+    """Mean of doubles that does not depend on the order of the rows; NULL without values.
 
-    A sum of doubles depends on how rows are split over tasks, and a mean that
-    ends in half a cent would then round either way.
+    Infinite values and NaN decide it as in floating-point sums.
     """
-    total = F.sum(column.try_cast("decimal(28,6)")).cast("double")
-    return total / F.nullif(F.count(column), F.lit(0))
+    return mean_of_parts(mean_parts(column))
 
 
 def fingerprint_buckets(slow: DataFrame, keys: Sequence[str] = ("checkSum",)) -> DataFrame:
@@ -67,10 +99,11 @@ def earliest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
 
 
 def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick) -> DataFrame:
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    # Keys come from the grouping itself, so filters on them and unused columns reach the scan.
+    rest = [c for c in df.columns if c not in keys]
     rank = F.struct(*[F.col(f"`{c}`") for c in order])
-    picked = df.groupBy(*keys).agg(pick(row, rank).alias("_row"))
-    return picked.select("_row.*")
+    picked = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(pick(F.struct(*[F.col(f"`{c}`") for c in rest]), rank).alias("_row"))
+    return picked.select(*[F.col(f"_row.`{c}`").alias(c) if c in rest else F.col(f"`{c}`") for c in df.columns])
 
 
 def top_hits(df: DataFrame, keys: Sequence[str], order: Sequence[Column], hits: int) -> DataFrame:
@@ -99,22 +132,14 @@ def distinct_policies(policies: DataFrame) -> DataFrame:
     return policies.select("role", "path", "method").distinct()
 
 
-def nested_map(
-    df: DataFrame, outer: str, inner: str, value: str, name: str, piece: str = "piece", max_items: int = 10_000
-) -> DataFrame:
-    """outer -> map(inner -> value). Repeated inner keys take the largest value.
-
-    An outer key with more than max_items inner keys continues in further pieces.
-    """
-    once = df.groupBy(outer, inner).agg(F.max(value).alias(value))
-    lists = gather(once, outer, F.struct(inner, value), name, piece, max_items)
-    return lists.withColumn(name, F.map_from_entries(name))
+def nested_map(df: DataFrame, outer: str, inner: str, value: str) -> DataFrame:
+    """outer -> inner -> value as rows, one for each pair of keys. Repeated pairs take the largest value."""
+    return df.groupBy(outer, inner).agg(F.max(value).alias(value))
 
 
-def children_of(df: DataFrame, parent: str, fields: Sequence[str], name: str, piece: str = "piece",
-                max_items: int = 10_000) -> DataFrame:
-    """Children grouped under their parent key, ordered by the fields as given."""
-    return gather(df, parent, F.struct(*fields), name, piece, max_items)
+def children_of(df: DataFrame, parent: str, fields: Sequence[str], position: str = "position") -> DataFrame:
+    """Children under their parent key, ordered by the fields as given and numbered from 0."""
+    return numbered(df, parent, fields, position)
 
 
 def run_metrics(df: DataFrame, ok: Column, by: str | None = None, error: Column | None = None) -> DataFrame:
@@ -131,21 +156,6 @@ def run_metrics(df: DataFrame, ok: Column, by: str | None = None, error: Column
     return df.groupBy(*keys).agg(F.count_if(good).alias("succeeded"), F.count_if(~good).alias("failed"))
 
 
-def observed(df: DataFrame, observation, ok: Column) -> DataFrame:
-    """The same counts as live metrics while another action runs."""
-    good = F.coalesce(ok, F.lit(False))
-    return df.observe(observation, F.count_if(good).alias("succeeded"), F.count_if(~good).alias("failed"))
-
-
 def with_total(page: DataFrame, rows: DataFrame, name: str = "total") -> DataFrame:
     """Add the total number of rows to a page of them, through a scalar subquery."""
     return page.withColumn(name, rows.agg(F.count("*")).scalar())
-
-
-def labelled_union(sources: Mapping[str, DataFrame], name: str = "brand") -> DataFrame:
-    """Rows of several sources with their label, columns aligned by name."""
-    frames = [df.withColumn(name, F.lit(label)) for label, df in sources.items()]
-    union = frames[0]
-    for df in frames[1:]:
-        union = union.unionByName(df, allowMissingColumns=True)
-    return union

@@ -20,6 +20,11 @@ def is_blank(value: Any) -> bool:
     return value is None or (value is not False and value in ("", 0)) or value == [] or value == ()
 
 
+def is_missing(value: Any) -> bool:
+    """Stored conditions take every value but None, '' and empty lists; zero is a value there."""
+    return value is None or (isinstance(value, str) and value == "") or value == [] or value == ()
+
+
 def like_contains(column: Column, value: str) -> Column:
     """``LIKE '%value%'``: the wildcards in the value stay wildcards."""
     return column.like(f"%{value}%")
@@ -69,7 +74,7 @@ PREDICATES = {
     "LIKE": like_contains,
     "BETWEEN": lambda c, v: c.between(*_pair(v)),
     "NOT BETWEEN": lambda c, v: ~c.between(*_pair(v)),
-    "IN": lambda c, v: c.isin(list(v)),
+    "IN": lambda c, v: c.isin([v] if isinstance(v, str) or not isinstance(v, Sequence) else list(v)),
     "MATCH": match_any_term,
 }
 
@@ -82,12 +87,12 @@ class Condition(NamedTuple):
     operator: str = "="
 
 
-def conjunction(conditions: Sequence[Condition], request: Mapping[str, Any]) -> Column:
-    """AND of the conditions whose request value is given."""
+def conjunction(conditions: Sequence[Condition], request: Mapping[str, Any], absent=is_missing) -> Column:
+    """AND of the conditions whose request value is given; ``absent`` tells which are not."""
     given = [
         PREDICATES[c.operator](F.col(c.column), request[c.key])
         for c in conditions
-        if not is_blank(request.get(c.key))
+        if not absent(request.get(c.key))
     ]
     return reduce(lambda a, b: a & b, given, F.lit(True))
 
@@ -101,7 +106,7 @@ def search_slow_logs(df: DataFrame, request: Mapping[str, Any]) -> DataFrame:
     """Slow-log search: required event time range, everything else optional."""
     when = required_range(F.col("eventTime"), request.get("startTime"), request.get("endTime"))
     duration = closed_range(F.col("durationMs"), request.get("minDurationMs"), request.get("maxDurationMs"))
-    return search(df.filter(when).filter(duration), SLOW_LOG_CONDITIONS, request)
+    return df.filter(when & duration & conjunction(SLOW_LOG_CONDITIONS, request, is_blank))
 
 
 SLOW_LOG_CONDITIONS = (

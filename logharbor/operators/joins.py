@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logharbor.operators.ranking import rank_within
+
 # Fixed value: label in front of the id of an unnamed instance.
 UNNAMED = "未命名实例-"
 
@@ -44,52 +46,25 @@ def keys_of(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
     return df.select(*([key] if isinstance(key, str) else key)).distinct()
 
 
-def gather(children: DataFrame, key: str, item: Column, name: str, piece: str, max_items: int) -> DataFrame:
-    """Children of each key as sorted arrays of at most about max_items elements.
+def numbered(children: DataFrame, key: str, fields: Sequence[str], position: str = "position") -> DataFrame:
+    """Children of each key in the order of the fields, one row each, numbered from 0.
 
-    A key with more children continues in further pieces, so no task ever holds
-    one hot key whole. Small keys have the single piece 0. Copies of one child
-    travel as a count and are dealt out evenly over the pieces.
+    The same form for any number of children: a hot key is ranked over range partitions.
     """
-    counted = children.select(F.col(key), item.alias("_item")).groupBy(key, "_item").agg(F.count("*").alias("_n"))
-    sizes = (
-        counted.groupBy(key)
-        .agg(F.ceil(F.sum("_n") / max_items).alias("_pieces"))
-        .filter(F.col("_pieces") > 1)
-    )
-    shares = counted.join(sizes, key, "left").withColumn("_pieces", F.coalesce("_pieces", F.lit(1).cast("bigint")))
-    one = F.lit(0).cast("bigint")
-    dealt = shares.withColumn("_i", F.explode(F.sequence(one, F.least("_n", "_pieces") - 1)))
-    target = F.pmod(F.pmod(F.xxhash64("_item"), "_pieces") + F.col("_i"), F.col("_pieces"))
-    copies = F.floor(F.col("_n") / F.col("_pieces")) + F.when(F.col("_i") < F.col("_n") % F.col("_pieces"), 1).otherwise(0)
-    return (
-        dealt.select(key, target.alias(piece), F.array_repeat("_item", copies.cast("int")).alias("_items"))
-        .groupBy(key, piece)
-        .agg(F.array_sort(F.flatten(F.collect_list("_items"))).alias(name))
-    )
+    ranked = rank_within(children.select(key, *fields), [key], list(fields), position)
+    return ranked.withColumn(position, (F.col(position) - 1).cast("bigint")).select(key, position, *fields)
 
 
 def attach_many(
-    parents: DataFrame,
-    children: DataFrame,
-    key: str,
-    child_key: str,
-    fields: Sequence[str],
-    name: str,
-    piece: str = "piece",
-    max_items: int = 10_000,
+    parents: DataFrame, children: DataFrame, key: str, child_key: str, fields: Sequence[str], name: str
 ) -> DataFrame:
-    """Has-many: each parent with the sorted array of its children, empty when there are none.
+    """Has-many: a row for each parent and child with ``position`` and the child's fields as ``<name>_<field>``.
 
-    The array is ordered by the fields as given, so the sort column comes first.
+    Children are ordered by the fields as given, so the sort column comes first. A parent without
+    children has one row with NULL there.
     """
-    item = F.struct(*[F.col(f) for f in fields])
-    lists = gather(children.withColumnRenamed(child_key, key), key, item, name, piece, max_items)
-    joined = parents.join(lists, key, "left")
-    kind = dict(joined.dtypes)[name]
-    return joined.withColumns(
-        {name: F.coalesce(name, F.array().cast(kind)), piece: F.coalesce(piece, F.lit(0).cast("bigint"))}
-    )
+    rows = numbered(children.withColumnRenamed(child_key, key), key, fields)
+    return parents.join(rows.withColumnsRenamed({f: f"{name}_{f}" for f in fields}), key, "left")
 
 
 def attach_linked(
@@ -100,12 +75,10 @@ def attach_linked(
     target_key: str,
     fields: Sequence[str],
     name: str,
-    max_items: int = 10_000,
 ) -> DataFrame:
     """Many-to-many through a link table (owner_key, target_key); a repeated link counts once."""
     pairs = links.select(owner_key, target_key).distinct()
-    return attach_many(owners, pairs.join(targets, target_key), owner_key, owner_key, fields, name,
-                       max_items=max_items)
+    return attach_many(owners, pairs.join(targets, target_key), owner_key, owner_key, fields, name)
 
 
 def linked_to(df: DataFrame, links: DataFrame, key: str | Sequence[str]) -> DataFrame:

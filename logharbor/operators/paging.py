@@ -31,9 +31,8 @@ def page_of(df: DataFrame, page: int, size: int, order: Sequence) -> DataFrame:
 
 
 def window_of(df: DataFrame, order: Sequence, limit: int | None, offset: int | None, default_limit: int | None = None):
-    """Limit and offset from the request, the template's limit as fallback."""
-    count = default_limit if limit is None else limit
-    return slice_of(df, order, offset or 0, count or None)
+    """Limit and offset from the request, the template's limit as fallback. A limit of 0 gives no rows."""
+    return slice_of(df, order, offset or 0, default_limit if limit is None else limit)
 
 
 def checked_order(df: DataFrame, order: str | None, default: str | None = None, tie: Sequence[str] = ()) -> list:

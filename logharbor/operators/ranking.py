@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from logharbor.session import cut
 
-# Up to this many rows Spark's own top-k, which ends in one task, is the better plan.
-ONE_TASK_ROWS = 1_000_000
+# Up to this many rows Spark's own top-k, which ends in one task, is the better plan; rows are the same.
+ONE_TASK_ROWS = 100_000
 
 
 def _ranged(df: DataFrame, groups: Sequence[str], order: Sequence) -> tuple[DataFrame, DataFrame]:
@@ -48,14 +48,17 @@ def rank_within(df: DataFrame, groups: Sequence[str], order: Sequence, name: str
 
 
 def slice_of(df: DataFrame, order: Sequence, offset: int = 0, limit: int | None = None) -> DataFrame:
-    """Rows offset..offset+limit of the ordered data; without a limit all from offset on."""
-    if limit is not None and offset + limit <= ONE_TASK_ROWS:
-        ordered = df.orderBy(*order) if order else df
-        return (ordered.offset(offset) if offset else ordered).limit(limit)
+    """Rows offset..offset+limit of the ordered data; without a limit all from offset on.
+
+    The order must be total: which rows a slice holds would else depend on the plan.
+    """
     if not offset and limit is None:
         return df.orderBy(*order) if order else df
     if not order:
-        raise ValueError("a large slice needs an order")
+        raise ValueError("a slice needs an order")
+    if limit is not None and offset + limit <= ONE_TASK_ROWS:
+        ordered = df.orderBy(*order)
+        return (ordered.offset(offset) if offset else ordered).limit(limit)
     parts, offsets = _ranged(df, [], order)
     last = F.lit(True) if limit is None else F.col("_offset") < offset + limit
     # Only the parts that overlap the slice are sorted.

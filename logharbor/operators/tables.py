@@ -18,20 +18,29 @@ from logharbor.operators.aggregates import latest
 from logharbor.operators.joins import keys_of
 
 
+def last_changes(changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One change per key, the last in ``order``: changes are applied one after the other."""
+    if not order:
+        raise ValueError("changes need an order, or repeated keys would multiply rows")
+    rest = [c for c in changes.columns if c not in keys and c not in order]
+    tied = changes.withColumn("_tie", F.xxhash64(*rest) if rest else F.lit(0))
+    return latest(tied, keys, [*order, "_tie"]).drop("_tie")
+
+
 def upsert(
     base: DataFrame,
     changes: DataFrame,
     keys: Sequence[str],
-    order: Sequence[str] = (),
+    order: Sequence[str],
     merge: str = "replace",
 ) -> DataFrame:
     """Insert or replace rows by key. Among changes with one key the last in ``order`` counts.
 
-    ``merge='coalesce'`` keeps the old value where the change is NULL.
+    ``order`` names columns of the changes that tell any two changes of one key apart; a hash of
+    the other columns breaks further ties. ``merge='coalesce'`` keeps the old value where the change is NULL.
     """
     keys = list(keys)
-    if order:
-        changes = latest(changes, keys, order)
+    changes = last_changes(changes, keys, order)
     changes = changes.select(*base.columns)
     if merge == "replace":
         kept = base.join(keys_of(changes, keys), keys, "left_anti").select(*base.columns)
@@ -87,28 +96,40 @@ def _zero(kind: T.DataType) -> Column:
     return F.lit(None).cast(kind)
 
 
-def patch_nonzero(base: DataFrame, changes: DataFrame, ident: str) -> DataFrame:
-    """Overwrite with the fields of a change that are not zero, '' or false."""
-    fields = [c for c in changes.columns if c != ident]
+def patch_nonzero(base: DataFrame, changes: DataFrame, ident: str, order: Sequence[str]) -> DataFrame:
+    """Overwrite with the fields of a change that are not zero, '' or false.
+
+    Of several changes of one id every field takes the last value in ``order`` that is given.
+    """
+    fields = [c for c in changes.columns if c != ident and c in base.columns]
     kinds = {f.name: f.dataType for f in base.schema.fields}
-    patch = changes.select(ident, *[F.nullif(F.col(c), _zero(kinds[c])).alias(f"_new_{c}") for c in fields])
+    rank = F.struct(*order)
+    given = {c: F.nullif(F.col(c), _zero(kinds[c])) for c in fields}
+    patch = changes.groupBy(ident).agg(
+        *[F.max_by(given[c], F.when(given[c].isNotNull(), rank)).alias(f"_new_{c}") for c in fields]
+    )
     joined = base.join(patch, ident, "left")
     return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c) for c in base.columns])
 
 
-def patch_columns(base: DataFrame, changes: DataFrame, ident: str, stamp: Mapping[str, Column] | None = None) -> DataFrame:
-    """Overwrite the columns a change carries, zeros and NULL included, and stamp the touched rows."""
-    fields = [c for c in changes.columns if c != ident]
-    patch = changes.select(ident, *[F.col(c).alias(f"_new_{c}") for c in fields], F.lit(True).alias("_hit"))
+def patch_columns(
+    base: DataFrame, changes: DataFrame, ident: str, order: Sequence[str], stamp: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Overwrite the columns a change carries, zeros and NULL included, and stamp the touched rows.
+
+    Of several changes of one id the last in ``order`` counts.
+    """
+    fields = [c for c in changes.columns if c != ident and c in base.columns]
+    patch = last_changes(changes, [ident], order).select(ident, *[F.col(c).alias(f"_new_{c}") for c in fields], F.lit(True).alias("_hit"))
     joined = base.join(patch, ident, "left")
     hit = F.coalesce("_hit", F.lit(False))
     new = {c: F.col(f"_new_{c}") for c in fields} | dict(stamp or {})
     return joined.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in base.columns])
 
 
-def save_rows(base: DataFrame, rows: DataFrame, ident: str) -> DataFrame:
+def save_rows(base: DataFrame, rows: DataFrame, ident: str, order: Sequence[str]) -> DataFrame:
     """Replace whole rows by id; unknown ids are inserted."""
-    return upsert(base, rows, [ident])
+    return upsert(base, rows, [ident], order)
 
 
 def soft_delete(base: DataFrame, ids: DataFrame, ident: str, now: Column, by: Mapping[str, Column] | None = None) -> DataFrame:
@@ -169,9 +190,13 @@ def copy_entity(df: DataFrame, owner: str, old: object, new: object) -> DataFram
     return df.unionByName(copies)
 
 
-def rename_cascade(df: DataFrame, renames: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rewrite a compound key where it is renamed; ``renames`` holds key and new_<key> columns."""
+def rename_cascade(df: DataFrame, renames: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rewrite a compound key where it is renamed; ``renames`` holds key and new_<key> columns.
+
+    Of several renames of one key the last in ``order`` counts.
+    """
     keys = list(keys)
+    renames = last_changes(renames, keys, order).select(*keys, *[f"new_{c}" for c in keys])
     joined = df.join(renames.withColumn("_hit", F.lit(True)), keys, "left")
     return joined.select(
         *[F.when(F.col("_hit"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in keys else F.col(c) for c in df.columns]
@@ -227,29 +252,17 @@ def find_or_create(files: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def reassemble(chunks: DataFrame, totals: DataFrame, key: str, per_segment: int = 1024) -> DataFrame:
-    """Join verified chunks (key, chunk_number, content, chunk_md5) in numeric order.
+def reassemble(chunks: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+    """Verified chunks (key, chunk_number, content), to be joined in numeric order, with ``complete``.
 
-    A repeated chunk counts once and a chunk whose MD5 differs not at all. The
-    content comes in segments of per_segment consecutive chunks, so one huge
-    file spreads over many tasks; a file below that size is the segment 0.
-    ``complete`` tells whether chunks 0..chunk_total-1 are all there.
+    A repeated chunk counts once and a chunk whose MD5 differs not at all. A row per chunk whatever
+    the size of the file: ordered by (key, chunk_number) the contents are the file. ``complete`` tells
+    whether chunks 0..chunk_total-1 are all there.
     """
     good = chunks.filter(F.md5("content") == F.col("chunk_md5"))
     once = good.groupBy(key, "chunk_number").agg(F.min("content").alias("content"))
-    segments = once.groupBy(key, F.floor(F.col("chunk_number") / per_segment).alias("segment")).agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("chunk_number", "content"))), lambda s: s["content"]
-            ),
-            "",
-        ).alias("content"),
-        F.count("*").alias("_n"),
-        F.min("chunk_number").alias("_low"),
-        F.max("chunk_number").alias("_high"),
-    )
-    files = segments.groupBy(key).agg(
-        F.sum("_n").alias("_n"), F.min("_low").alias("_low"), F.max("_high").alias("_high")
+    files = once.groupBy(key).agg(
+        F.count("*").alias("_n"), F.min("chunk_number").alias("_low"), F.max("chunk_number").alias("_high")
     )
     state = totals.select(key, "chunk_total").join(files, key, "left").select(
         key,
@@ -258,7 +271,7 @@ def reassemble(chunks: DataFrame, totals: DataFrame, key: str, per_segment: int
             F.lit(False),
         ).alias("complete"),
     )
-    return segments.select(key, "segment", "content").join(state, key)
+    return once.join(state, key)
 
 
 def leftover_chunks(chunks: DataFrame, assembled: DataFrame, key: str) -> DataFrame:

@@ -1,9 +1,8 @@
 """Hierarchies stored as (id, parent) rows with 0 for "no parent".
 
-The closure grows by doubling: after r rounds it holds every ancestor up to
-2^r levels above a node, so a tree of depth d takes about log2(d) rounds. Each
-round is an equi-join of nodes to unique ids and is written to the shared
-folder, which keeps plans short and lets lost executors resume from files.
+Everything grows by doubling: after r rounds a node's ancestors up to 2^r levels above are known, so a
+tree of depth d takes about log2(d) rounds, however deep it is. Each round is an equi-join with unique
+ids and is written to the shared folder, which keeps plans short and lets lost executors resume from files.
 """
 
 from __future__ import annotations
@@ -14,21 +13,28 @@ from pyspark.sql import functions as F
 from logharbor.operators.joins import keys_of
 from logharbor.session import load, save
 
-MAX_DEPTH = 1024
+CYCLE = "the parent column holds a cycle"
 
 
-def closure(nodes: DataFrame, ident: str, parent: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def _edges(nodes: DataFrame, ident: str, parent: str) -> DataFrame:
+    return nodes.filter((F.col(parent) != 0) & F.col(parent).isNotNull()).select(
+        F.col(ident).alias("descendant"), F.col(parent).alias("ancestor")
+    )
+
+
+def closure(nodes: DataFrame, ident: str, parent: str) -> DataFrame:
     """All (ancestor, descendant, depth) pairs with depth >= 1.
 
-    Raises when a path is longer than max_depth, which is what a cycle looks like.
+    Raises on a cycle: its nodes become their own ancestors within log2(its length) rounds.
     """
     spark = nodes.sparkSession
-    edges = nodes.filter((F.col(parent) != 0) & F.col(parent).isNotNull()).select(
-        F.col(ident).alias("descendant"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")
-    )
+    edges = _edges(nodes, ident, parent).withColumn("depth", F.lit(1))
     schema, written = edges.schema, [save(edges)]
     jump, reach = load(spark, schema, written[0]), 1
+    found = jump
     while True:
+        if not found.filter("ancestor = descendant").isEmpty():
+            raise ValueError(CYCLE)
         pairs = load(spark, schema, *written)
         above = pairs.select(F.col("descendant").alias("mid"), "ancestor", F.col("depth").alias("_d"))
         further = save(
@@ -39,14 +45,39 @@ def closure(nodes: DataFrame, ident: str, parent: str, max_depth: int = MAX_DEPT
         found = load(spark, schema, further)
         if found.isEmpty():
             return pairs
-        if reach >= max_depth:
-            raise ValueError(f"a path is longer than {max_depth}: the parent column holds a cycle or a deeper tree")
         written.append(further)
         # The pairs of the largest depth in this round are the next jump.
         reach *= 2
         jump = found.filter(F.col("depth") == reach)
 
 
+def reach_from(nodes: DataFrame, ident: str, parent: str, seeds: DataFrame, down: bool) -> DataFrame:
+    """(seed, node, depth) of all nodes below (``down``) or above the seeds, each seed itself at depth 0.
+
+    ``seeds`` has one column of ids. Only pairs of seeds are built; beside them a round holds one jump per node.
+    """
+    spark = nodes.sparkSession
+    count = nodes.count()
+    jump, reach = save(_edges(nodes, ident, parent)), 1
+    start = keys_of(seeds, seeds.columns[0]).toDF("seed")
+    start = start.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"))
+    schema, kind, written = start.schema, _edges(nodes, ident, parent).schema, [save(start)]
+    while True:
+        steps = load(spark, kind, jump)
+        if steps.isEmpty():
+            return load(spark, schema, *written)
+        if reach > count:
+            raise ValueError(CYCLE)  # a path cannot have more steps than there are nodes
+        near, far = ("ancestor", "descendant") if down else ("descendant", "ancestor")
+        moves = steps.select(F.col(near).alias("node"), F.col(far).alias("_to"))
+        found = load(spark, schema, *written).join(moves, "node")
+        written.append(save(found.select("seed", F.col("_to").alias("node"), (F.col("depth") + reach).alias("depth"))))
+        twice = steps.select("descendant", F.col("ancestor").alias("mid")).join(
+            steps.select(F.col("descendant").alias("mid"), "ancestor"), "mid"
+        )
+        jump, reach = save(twice.select("descendant", "ancestor")), reach * 2
+
+
 def with_self(pairs: DataFrame, nodes: DataFrame, ident: str) -> DataFrame:
     """The closure with every node as its own ancestor at depth 0."""
     own = nodes.select(F.col(ident).alias("ancestor"), F.col(ident).alias("descendant"), F.lit(0).alias("depth"))
@@ -60,27 +91,30 @@ def managed_by(nodes: DataFrame, ident: str, parent: str, pairs: DataFrame | Non
     return with_self(pairs, roots, ident)
 
 
-def descendants(nodes: DataFrame, ident: str, parent: str, of: Column) -> DataFrame:
-    """managed_by for the nodes that meet a predicate."""
-    seeds = keys_of(nodes.filter(of), ident).toDF("ancestor")
-    return managed_by(nodes, ident, parent).join(seeds, "ancestor", "left_semi")
+def _of_roots(pairs: DataFrame, nodes: DataFrame, ident: str, parent: str) -> DataFrame:
+    """Pairs whose depth-0 rows are those of roots only."""
+    roots = nodes.filter(F.col(parent) == 0).select(F.col(ident).alias("ancestor")).distinct()
+    own = pairs.filter("depth = 0").join(roots, "ancestor", "left_semi")
+    return pairs.filter("depth > 0").unionByName(own)
 
 
-def _padded(column: Column, width: int) -> Column:
-    return F.lpad(column.cast("string"), width, "0")
+def descendants(nodes: DataFrame, ident: str, parent: str, of: Column) -> DataFrame:
+    """managed_by for the nodes that meet a predicate, found by walking down from them."""
+    found = reach_from(nodes, ident, parent, nodes.filter(of).select(ident), down=True)
+    pairs = found.select(F.col("seed").alias("ancestor"), F.col("node").alias("descendant"), "depth")
+    return _of_roots(pairs, nodes, ident, parent)
 
 
 def forest(nodes: DataFrame, ident: str, parent: str, sort: str) -> DataFrame:
     """Each node with its depth, its path from the root, and whether a root reaches it.
 
-    ``path`` lists zero-padded ``sort:id`` steps, so ordering by it is the
-    depth-first order with siblings by (sort, id). A node below a missing
-    parent is kept with reached = false.
+    ``path`` is an array of (sort, id) from the root on, so ordering by it is the depth-first order
+    with siblings by (sort, id). A node below a missing parent is kept with reached = false.
     """
     steps = with_self(closure(nodes, ident, parent), nodes, ident)
     labels = nodes.select(
         F.col(ident).alias("ancestor"),
-        F.concat_ws(":", _padded(F.col(sort), 10), _padded(F.col(ident), 19)).alias("step"),
+        F.struct(F.col(sort).alias("sort"), F.col(ident).alias("id")).alias("step"),
         (F.col(parent) == 0).alias("is_root"),
     )
     # A path holds one element per level, so its length is bounded by the depth.
@@ -94,10 +128,7 @@ def forest(nodes: DataFrame, ident: str, parent: str, sort: str) -> DataFrame:
         )
     )
     return nodes.join(
-        paths.select(
-            ident, "depth", F.array_join(F.transform("steps", lambda s: s["step"]), "/").alias("path"), "reached"
-        ),
-        ident,
+        paths.select(ident, "depth", F.transform("steps", lambda s: s["step"]).alias("path"), "reached"), ident
     )
 
 
@@ -108,11 +139,13 @@ def linked_forest(nodes: DataFrame, links: DataFrame, ident: str, parent: str, s
 
 
 def in_scope(requests: DataFrame, nodes: DataFrame, ident: str, parent: str) -> DataFrame:
-    """Requests (caller, target) whose target the caller may manage."""
-    pairs = managed_by(nodes, ident, parent).select(
+    """Requests (caller, target) whose target the caller may manage, found by walking up from the targets."""
+    above = reach_from(nodes, ident, parent, requests.select("target"), down=False)
+    pairs = above.select(F.col("node").alias("ancestor"), F.col("seed").alias("descendant"), "depth")
+    allowed = _of_roots(pairs, nodes, ident, parent).select(
         F.col("ancestor").alias("caller"), F.col("descendant").alias("target")
     )
-    return requests.join(pairs, ["caller", "target"], "left_semi")
+    return requests.join(allowed, ["caller", "target"], "left_semi")
 
 
 def with_child_flag(nodes: DataFrame, ident: str, parent: str) -> DataFrame:
@@ -127,25 +160,17 @@ def with_parent(nodes: DataFrame, ident: str, parent: str, name: str) -> DataFra
     return nodes.join(up, parent, "left").select(*nodes.columns, f"parent_{name}")
 
 
-def visible(
-    nodes: DataFrame, ident: str, parent: str, caller: object, strict: bool, pairs: DataFrame | None = None
-) -> DataFrame:
-    """Nodes a caller sees. ``pairs`` is the closure where the caller of this function has it.
+def visible(nodes: DataFrame, ident: str, parent: str, caller: object, strict: bool) -> DataFrame:
+    """Nodes a caller sees, found by walking down from where the view begins.
 
     Loose mode shows every root with its subtree. Strict mode shows a root
     caller itself and its subtree, and any other caller its children with theirs.
     """
-    pairs = closure(nodes, ident, parent) if pairs is None else pairs
-    if strict:
-        is_caller = (F.col(ident) == caller) & (F.col(parent) == 0)
-        top = nodes.filter(is_caller).select(ident)
-        below = pairs.filter(F.col("ancestor") == caller).select(F.col("descendant").alias(ident))
-    else:
-        top = nodes.filter(F.col(parent) == 0).select(ident)
-        below = pairs.join(top.withColumnRenamed(ident, "ancestor"), "ancestor", "left_semi").select(
-            F.col("descendant").alias(ident)
-        )
-    return nodes.join(keys_of(top.unionByName(below), ident), ident, "left_semi")
+    start = nodes.filter(F.col(ident) == caller if strict else F.col(parent) == 0)
+    found = reach_from(nodes, ident, parent, start.select(ident), down=True)
+    pairs = found.select(F.col("seed").alias("ancestor"), F.col("node").alias("descendant"), "depth")
+    seen = _of_roots(pairs, nodes, ident, parent).select(F.col("descendant").alias(ident))
+    return nodes.join(keys_of(seen, ident), ident, "left_semi")
 
 
 def landing(owners: DataFrame, default: str, links: DataFrame, owner: str, node: str, missing: str = "404") -> DataFrame:

@@ -45,7 +45,7 @@ def k02(t: Tables):
     changed = orders(t).filter("o_orderstatus = 'P' OR o_orderpriority = '3-MEDIUM'").select(
         "o_orderkey", (F.col("o_custkey") + 1).alias("o_custkey"), F.lit(None).cast("string").alias("o_orderstatus")
     )
-    return k.upsert(base, changed, ["o_orderkey"], merge="coalesce")
+    return k.upsert(base, changed, ["o_orderkey"], ["o_custkey"], merge="coalesce")
 
 
 def dated_events(t: Tables):
@@ -88,8 +88,11 @@ def k04_upsert(t: Tables):
     columns = ["ingest_date", "doc_id", "value"]
     daily.overwrite_daily(docs.filter("ingest_date < '2024-01-29'").select(*columns), base_path)
     changes = docs.filter("event_type = 'error'").select("ingest_date", "doc_id", (F.col("value") + 1).alias("value"))
-    days = [f"2024-01-{d:02d}" for d in range(1, 32)]
-    daily.upsert_daily(t.spark, changes, base_path, out, days)
+    # Each change comes twice, the first time with another value; days without changes are copied as they are.
+    twice = changes.withColumns({"value": F.col("value") - 5, "seq": F.lit(1)}).unionByName(changes.withColumn("seq", F.lit(2)))
+    days = daily.upsert_daily(t.spark, twice, base_path, out, ["seq"])
+    base = t.spark.read.parquet(base_path).withColumn("ingest_date", F.col("ingest_date").cast("string"))
+    daily.append_daily(base.filter(~F.col("ingest_date").isin(days)), out)
     return t.spark.read.parquet(out).select(F.date_format("ingest_date", "yyyy-MM-dd").alias("ingest_date"), "doc_id", "value")
 
 
@@ -206,7 +209,7 @@ def patches(t: Tables):
       CASE WHEN c_mktsegment = 'FURNITURE' THEN 7.5 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer""",
 )
 def k10(t: Tables):
-    return k.patch_nonzero(t.customer, patches(t), "c_custkey")
+    return k.patch_nonzero(t.customer, patches(t), "c_custkey", ["c_name"])
 
 
 @query(
@@ -217,7 +220,7 @@ def k10(t: Tables):
 )
 def k11(t: Tables):
     base = t.customer.select("c_custkey", "c_name", "c_acctbal", F.lit("2020-01-01").alias("updated_at"))
-    return k.patch_columns(base, patches(t), "c_custkey", {"updated_at": F.lit("2024-05-06")})
+    return k.patch_columns(base, patches(t), "c_custkey", ["c_name"], {"updated_at": F.lit("2024-05-06")})
 
 
 @query(
@@ -230,7 +233,7 @@ def k12(t: Tables):
     rows = t.customer.filter("c_mktsegment = 'BUILDING'").select(
         "c_custkey", F.lit("saved").alias("c_name"), F.lit(None).cast("double").alias("c_acctbal")
     )
-    return k.save_rows(base, rows, "c_custkey")
+    return k.save_rows(base, rows, "c_custkey", ["c_name"])
 
 
 @query(
@@ -315,7 +318,7 @@ def k19(t: Tables):
         (F.col("p_partkey") + 1000000).alias("new_l_partkey"), F.lit("r").alias("new_l_returnflag"),
     )
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
-    return k.rename_cascade(rows, renames, ["l_partkey", "l_returnflag"])
+    return k.rename_cascade(rows, renames, ["l_partkey", "l_returnflag"], ["new_l_partkey"])
 
 
 _POLICY = "SELECT l_returnflag AS role, concat('/part/', l_partkey) AS path, l_linestatus AS method FROM lineitem"
@@ -378,9 +381,10 @@ def k23(t: Tables):
 @query(
     "k24_reassembled_chunks",
     """WITH c AS (SELECT conv_id, turn, text FROM conversations WHERE NOT (role = 'system'))
-    SELECT conv_id, cast(0 AS BIGINT) AS segment, string_agg(text, '' ORDER BY turn) AS content,
-      count(*) = (SELECT count(*) FROM conversations a WHERE a.conv_id = c.conv_id) AND min(turn) = 0 AS complete
-    FROM c GROUP BY conv_id""",
+    SELECT conv_id, turn AS chunk_number, text AS content,
+      count(*) OVER (PARTITION BY conv_id) = (SELECT count(*) FROM conversations a WHERE a.conv_id = c.conv_id)
+        AND min(turn) OVER (PARTITION BY conv_id) = 0 AS complete
+    FROM c""",
 )
 def k24(t: Tables):
     chunks = t.conversations.select(

@@ -47,29 +47,30 @@ def j03(t: Tables):
 
 @query(
     "j04_has_many",
-    "SELECT c_custkey, coalesce(string_agg(o_orderkey, ',' ORDER BY o_orderdate, o_orderkey), '') AS order_keys"
-    " FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON o_custkey = c_custkey GROUP BY c_custkey",
+    "SELECT c_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS position, o_orderkey"
+    " FROM customer JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON o_custkey = c_custkey"
+    " UNION ALL SELECT c_custkey, NULL, NULL FROM customer WHERE c_custkey NOT IN"
+    " (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
 )
 def j04(t: Tables):
     out = joins.attach_many(
         t.customer.select("c_custkey"), t.orders.filter("o_orderstatus = 'F'"), "c_custkey", "o_custkey",
-        ["o_orderdate", "o_orderkey"], "orders",
+        ["o_orderdate", "o_orderkey"], "order",
     )
-    keys = F.array_join(F.transform("orders", lambda o: o["o_orderkey"].cast("string")), ",")
-    return out.select("c_custkey", keys.alias("order_keys"))
+    return out.select("c_custkey", "position", F.col("order_o_orderkey").alias("o_orderkey"))
 
 
 @query(
     "j05_many_to_many",
-    "SELECT p_partkey, coalesce(string_agg(s_name, ',' ORDER BY s_name), '') AS suppliers FROM part LEFT JOIN"
-    " (SELECT DISTINCT l_partkey, s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) ON l_partkey = p_partkey"
-    " GROUP BY p_partkey",
+    "WITH d AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)"
+    " SELECT p_partkey, CASE WHEN s_name IS NOT NULL THEN row_number() OVER (PARTITION BY p_partkey ORDER BY s_name) - 1 END AS position,"
+    " s_name AS supplier FROM part LEFT JOIN (SELECT l_partkey, s_name FROM d JOIN supplier ON l_suppkey = s_suppkey)"
+    " ON l_partkey = p_partkey",
 )
 def j05(t: Tables):
     links = t.lineitem.select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey"))
-    out = joins.attach_linked(t.part.select("p_partkey"), links, t.supplier, "p_partkey", "s_suppkey", ["s_name"], "suppliers")
-    names = F.array_join(F.transform("suppliers", lambda s: s["s_name"]), ",")
-    return out.select("p_partkey", names.alias("suppliers"))
+    out = joins.attach_linked(t.part.select("p_partkey"), links, t.supplier, "p_partkey", "s_suppkey", ["s_name"], "supplier")
+    return out.select("p_partkey", "position", F.col("supplier_s_name").alias("supplier"))
 
 
 @query(

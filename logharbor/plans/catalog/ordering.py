@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from logharbor.operators import paging as o
 from logharbor.operators.aggregates import fingerprint_buckets, top_buckets
+from logharbor.operators.ranking import rank_within
 from logharbor.plans.catalog.base import DOCS_SQL, Tables, query, slow_docs
 
 COLUMNS = ["o_orderkey", "o_custkey", "o_totalprice"]
@@ -16,21 +17,24 @@ def orders(t: Tables):
     return t.orders.select(*COLUMNS)
 
 
-@query("o01_checked_order", f"{LIST} ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
+@query(
+    "o01_checked_order",
+    f"SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM ({LIST})",
+)
 def o01(t: Tables):
     df = orders(t)
-    return df.orderBy(*o.checked_order(df, "o_totalprice desc", "o_custkey", tie=["o_orderkey"])).limit(50)
+    return rank_within(df, [], o.checked_order(df, "o_totalprice desc", "o_custkey", tie=["o_orderkey"]))
 
 
 @query(
     "o02_lenient_order",
-    f"SELECT 'known' AS how, * FROM ({LIST} ORDER BY o_custkey DESC, o_orderkey LIMIT 30)"
-    f" UNION ALL SELECT 'unknown', * FROM ({LIST} ORDER BY o_orderkey LIMIT 30)",
+    f"SELECT 'known' AS how, *, row_number() OVER (ORDER BY o_custkey DESC, o_orderkey) AS rank FROM ({LIST})"
+    f" UNION ALL SELECT 'unknown', *, row_number() OVER (ORDER BY o_orderkey) FROM ({LIST})",
 )
 def o02(t: Tables):
     df = orders(t)
-    known = df.orderBy(*o.lenient_order(df, "o_custkey", True, "o_orderkey")).limit(30)
-    unknown = df.orderBy(*o.lenient_order(df, "no_such", True, "o_orderkey")).limit(30)
+    known = rank_within(df, [], o.lenient_order(df, "o_custkey", True, "o_orderkey"))
+    unknown = rank_within(df, [], o.lenient_order(df, "no_such", True, "o_orderkey"))
     return known.withColumn("how", F.lit("known")).unionByName(unknown.withColumn("how", F.lit("unknown")))
 
 

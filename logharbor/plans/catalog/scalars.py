@@ -348,12 +348,12 @@ def c29(t: Tables):
 
 @query(
     "c30_column_letters",
-    """SELECT p_partkey, concat(CASE WHEN n > 702 THEN chr(cast(65 + (n - 703) // 676 % 26 AS INT)) ELSE '' END,
-      CASE WHEN n > 26 THEN chr(cast(65 + (n - 27) // 26 % 26 AS INT)) ELSE '' END, chr(cast(65 + (n - 1) % 26 AS INT))) AS letters
-    FROM (SELECT p_partkey, CASE WHEN p_partkey < 18278 THEN p_partkey + 1 END AS n FROM part) WHERE n IS NOT NULL""",
+    """WITH RECURSIVE w AS (SELECT p_partkey, cast(p_partkey + 1 AS BIGINT) AS n, '' AS letters FROM part UNION ALL
+      SELECT p_partkey, (n - 1) // 26, concat(chr(cast(65 + (n - 1) % 26 AS INT)), letters) FROM w WHERE n > 0)
+    SELECT p_partkey, letters FROM w WHERE n = 0""",
 )
 def c30(t: Tables):
-    return t.part.select("p_partkey", X.column_letters(F.col("p_partkey") + 1).alias("letters")).filter("letters IS NOT NULL")
+    return t.part.select("p_partkey", X.column_letters(F.col("p_partkey") + 1).alias("letters"))
 
 
 @query(

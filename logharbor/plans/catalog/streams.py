@@ -97,7 +97,7 @@ def t04(t: Tables):
 def t05(t: Tables):
     path = t.scratch("daily-report")
     docs = streams(t).events.select(
-        F.col("ts").cast("timestamp").alias("event_time"),
+        F.date_format("ts", "yyyy-MM-dd").alias("ingest_date"),
         F.expr("CASE WHEN event_type IN ('click', 'view') THEN 'north' ELSE 'south' END").alias("brand"),
         F.col("value").alias("durationMs"),
         mask_json(F.expr(QUERY_TEXT_SPARK)).alias("template"),
@@ -105,7 +105,7 @@ def t05(t: Tables):
     slow = docs.filter(slow_for_source(F.col("brand"), F.col("durationMs"), THRESHOLDS)).withColumn(
         "checkSum", fingerprint(F.col("template"))
     )
-    report.write_updates(report.daily_buckets(slow, "event_time"), path, f"{path}-checkpoint").awaitTermination()
+    report.write_buckets(slow, path, f"{path}-checkpoint").awaitTermination()
     return report.current_buckets(t.spark, path).select(
         "day", F.col("checkSum").alias("check_sum"), "doc_count", "max_duration",
         (F.round(F.col("avg_duration") * 100) / 100).alias("avg_duration"),

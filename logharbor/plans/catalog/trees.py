@@ -22,19 +22,23 @@ def h01_of(t: Tables):
     return tree.descendants(nodes(t), "id", "parent_id", F.col("id").isin(3, 107)).select("ancestor", "descendant", "depth")
 
 
-_STEP = "concat(lpad(cast(sort AS VARCHAR), 10, '0'), ':', lpad(cast(id AS VARCHAR), 19, '0'))"
+_STEP = "concat(sort, ':', id)"
+
+
+def _spelled(path):
+    return F.array_join(F.transform(path, lambda s: F.concat_ws(":", s["sort"], s["id"])), "/").alias("path")
 
 
 def _walk(kept: str) -> str:
     return f"""RECURSIVE nodes AS ({kept}), walk AS (
       SELECT id, parent_id, 0 AS depth, {_STEP} AS path FROM nodes WHERE parent_id = 0
-      UNION ALL SELECT n.id, n.parent_id, w.depth + 1, concat(w.path, '/', {_STEP.replace('sort', 'n.sort').replace('id AS', 'n.id AS')})
+      UNION ALL SELECT n.id, n.parent_id, w.depth + 1, concat(w.path, '/', {_STEP.replace('sort', 'n.sort').replace(' id', ' n.id')})
       FROM walk w JOIN nodes n ON n.parent_id = w.id)"""
 
 
 @query("h02_forest", f"WITH {_walk(NODES_SQL)} SELECT id, depth, path, true AS reached FROM walk")
 def h02(t: Tables):
-    return tree.forest(nodes(t), "id", "parent_id", "sort").select("id", "depth", "path", "reached")
+    return tree.forest(nodes(t), "id", "parent_id", "sort").select("id", "depth", _spelled("path"), "reached")
 
 
 @query(
@@ -45,7 +49,7 @@ def h02(t: Tables):
 def h03(t: Tables):
     n = nodes(t)
     links = n.filter("name <> 'NATION_3' AND name <> 'ASIA' AND name NOT LIKE 'Customer%5'").select("id")
-    return tree.linked_forest(n, links, "id", "parent_id", "sort").select("id", "depth", "path")
+    return tree.linked_forest(n, links, "id", "parent_id", "sort").select("id", "depth", _spelled("path"))
 
 
 @query(
@@ -91,10 +95,9 @@ def _below(ids: str) -> str:
 )
 def h07(t: Tables):
     n = nodes(t)
-    pairs = tree.closure(n, "id", "parent_id")
 
     def seen(mode, caller, strict):
-        return tree.visible(n, "id", "parent_id", caller, strict, pairs).select(F.lit(mode).alias("mode"), "id")
+        return tree.visible(n, "id", "parent_id", caller, strict).select(F.lit(mode).alias("mode"), "id")
 
     return seen("strict root", 2, True).unionByName(seen("strict inner", 104, True)).unionByName(seen("loose", 104, False))
 

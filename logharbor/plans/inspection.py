@@ -8,19 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logharbor.functions.times import display_time
-from logharbor.operators.aggregates import MAX_BUCKETS, rounded, sampled_buckets, top_buckets
+from logharbor.operators.aggregates import rounded, sampled_buckets, top_hits
 from logharbor.operators.filters import slow_for_source
 from logharbor.operators.joins import UNNAMED, map_label
 
 
-def inspect_source(docs: DataFrame, brand: str, threshold: float, limit: int = MAX_BUCKETS) -> DataFrame:
-    """Buckets of one source: filter, one aggregate, and the cut to the largest counts.
+def slow_buckets(docs: DataFrame, thresholds: Mapping[str, float], limit: int | None = None) -> DataFrame:
+    """Buckets by brand and fingerprint of what is slow for its brand: one scan and one aggregate for all brands.
 
-    With brand and ingest_date as partition columns of ``docs`` only that
-    source's files of the day are read.
+    With a limit only the largest counts of each brand stay; ties go to the smaller fingerprint.
     """
-    slow = docs.filter(slow_for_source(F.col("brand"), F.col("durationMs"), {brand: threshold}))
-    return top_buckets(rounded(sampled_buckets(slow)), limit).withColumn("brand", F.lit(brand))
+    slow = docs.filter(slow_for_source(F.col("brand"), F.col("durationMs"), thresholds))
+    buckets = rounded(sampled_buckets(slow, ("brand", "checkSum")))
+    if limit is None:
+        return buckets
+    return top_hits(buckets, ["brand"], [F.desc("doc_count"), F.asc("checkSum")], limit)
 
 
 def inspection_report(
@@ -29,18 +31,15 @@ def inspection_report(
     thresholds: Mapping[str, float],
     names: Mapping[str, str],
     now: Column,
-    limit: int = MAX_BUCKETS,
+    limit: int | None = None,
 ) -> DataFrame:
     """Report rows of all sources for one ingest day.
 
     ``thresholds`` gives the duration from which a query of a brand is slow,
-    ``names`` the configured instance names.
+    ``names`` the configured instance names. All shapes are reported unless a limit per brand is given.
     """
     today = docs.filter(F.col("ingest_date") == day)
-    buckets = None
-    for brand, threshold in thresholds.items():
-        part = inspect_source(today, brand, threshold, limit)
-        buckets = part if buckets is None else buckets.unionByName(part)
+    buckets = slow_buckets(today, thresholds, limit)
     instance = F.col("sample.instanceId")
     return buckets.select(
         "brand",

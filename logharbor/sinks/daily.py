@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +30,20 @@ def overwrite_daily(df: DataFrame, path: str) -> None:
     )
 
 
-def upsert_daily(spark: SparkSession, changes: DataFrame, base_path: str, out_path: str, days: list[str]) -> None:
-    """Upsert by doc_id inside the given days and write them to out_path.
+def upsert_daily(
+    spark: SparkSession, changes: DataFrame, base_path: str, out_path: str, order: Sequence[str]
+) -> list[str]:
+    """Upsert by doc_id inside the days that the changes touch, write these days to out_path and return them.
 
-    The same document taken in on two days is two documents. Writing beside the
-    base keeps it readable and whole while the job runs and if it is retried.
+    Among changes of one document on one day the last in ``order`` counts. The same document taken in
+    on two days is two documents. Writing beside the base keeps it readable and whole while the job
+    runs and if it is retried; days without changes are not read.
     """
-    base = spark.read.parquet(base_path).filter(F.col("ingest_date").cast("string").isin(days))
+    days = [str(r[0]) for r in changes.select("ingest_date").distinct().collect()]  # one row per day
+    base = spark.read.parquet(base_path)
+    kind = base.schema["ingest_date"].dataType
+    base = base.filter(F.col("ingest_date").isin(*[F.lit(d).cast(kind) for d in days]) if days else F.lit(False))
     base = base.withColumn("ingest_date", F.col("ingest_date").cast("string"))
-    overwrite_daily(upsert(base, changes, ["ingest_date", "doc_id"]), out_path)
+    changes = changes.withColumn("ingest_date", F.col("ingest_date").cast("string"))
+    overwrite_daily(upsert(base, changes, ["ingest_date", "doc_id"], order), out_path)
+    return sorted(days)

@@ -31,7 +31,12 @@ def file_stream(
     return reader.parquet(folder)
 
 
-def write_batch(path: str, order: Sequence[str], prepare: Callable[[DataFrame], DataFrame] | None = None):
+def write_batch(
+    path: str,
+    order: Sequence[str],
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
+    keys: Sequence[str] = KEY,
+):
     """A foreachBatch function that upserts into (ingest_date, batch) partitions.
 
     ``prepare`` turns the rows of a batch into documents; the batch is spread
@@ -40,7 +45,10 @@ def write_batch(path: str, order: Sequence[str], prepare: Callable[[DataFrame],
 
     def write(batch: DataFrame, batch_id: int) -> None:
         docs = prepare(spread(batch)) if prepare else batch
-        rows = latest(docs, KEY, order).withColumn("batch", F.lit(batch_id))
+        first = [c for c in order if c in docs.columns]
+        rest = [c for c in docs.columns if c not in first and c not in keys]
+        tied = docs.withColumn("_tie", F.xxhash64(*rest)) if rest else docs.withColumn("_tie", F.lit(0))
+        rows = latest(tied, keys, [*first, "_tie"]).drop("_tie").withColumn("batch", F.lit(batch_id))
         (
             rows.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -56,9 +64,13 @@ def ingest(
     path: str,
     checkpoint: str,
     prepare: Callable[[DataFrame], DataFrame] | None = None,
-    order: Sequence[str] = ("dslHash",),
+    order: Sequence[str] = ("pulled_at", "dslHash"),
 ) -> StreamingQuery:
-    """Run the ingest over everything that has arrived, then stop."""
+    """Run the ingest over everything that has arrived, then stop.
+
+    ``order`` picks the last of a document's rows inside a batch: by time of the pull first; a hash of
+    all other columns breaks ties. Columns of it that the documents lack are left out.
+    """
     return (
         stream.writeStream.foreachBatch(write_batch(path, order, prepare))
         .option("checkpointLocation", checkpoint)
@@ -67,14 +79,35 @@ def ingest(
     )
 
 
-def current(spark: SparkSession, path: str) -> DataFrame:
-    """The documents of a table written by ingest: the last batch per (ingest_date, doc_id)."""
-    return latest(spark.read.parquet(path), KEY, ("batch",)).drop("batch")
+def current(
+    spark: SparkSession,
+    path: str,
+    days: Sequence[str] | None = None,
+    columns: Sequence[str] | None = None,
+    across_days: bool = False,
+) -> DataFrame:
+    """The documents of a table written by ingest: the last batch per (ingest_date, doc_id).
+
+    Only the given days are read, and only the given columns. Which batch is the last is settled on the
+    keys alone; rows are then fetched by a semi join, so texts are neither packed nor sorted. With
+    ``across_days`` a document pulled on two days counts once, as it was on the later one.
+    """
+    table = spark.read.parquet(path)
+    if days is not None:
+        kind = table.schema["ingest_date"].dataType
+        table = table.filter(F.col("ingest_date").isin(*[F.lit(d).cast(kind) for d in days]))
+    if across_days:
+        last = table.groupBy("doc_id").agg(F.max(F.struct("ingest_date", "batch")).alias("_l"))
+        last = last.select("doc_id", "_l.ingest_date", "_l.batch")
+    else:
+        last = table.groupBy(*KEY).agg(F.max("batch").alias("batch"))
+    wanted = [c for c in table.columns if c != "batch"] if columns is None else list(columns)
+    return table.join(last, [*KEY, "batch"], "left_semi").select(*wanted)
 
 
 def compact(spark: SparkSession, path: str, out_path: str, day: str) -> None:
     """Write one day of an ingested table as a snapshot without superseded rows."""
-    rows = latest(spark.read.parquet(path).filter(F.col("ingest_date") == day), KEY, ("batch",)).drop("batch")
+    rows = current(spark, path, [day])
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -242,7 +242,9 @@ def letters(n):
 def test_column_letters(spark):
     ns = [1, 26, 27, 52, 53, 702, 703, 728, 729, 16384, 18278]
     assert run(spark, ns, X.column_letters, "int") == [letters(n) for n in ns]
-    assert run(spark, [0, 18279], X.column_letters, "int") == [None, None]
+    ns = [18279, 475254, 475255, 2**31, 2**63 - 1]
+    assert run(spark, ns, X.column_letters, "bigint") == [letters(n) for n in ns]
+    assert run(spark, [0, -3], X.column_letters, "int") == [None, None]
 
 
 def test_plain_number(spark):
@@ -264,3 +266,27 @@ def test_encryption(spark, size):
     assert run(spark, ["secret", "", None], lambda c: L.decrypt_text(sealed(c), key)) == ["secret", "", None]
     one, two = run(spark, ["secret", "secret"], sealed)
     assert one != two and len(one) == 64
+
+
+def test_odd_numbers_abort_nothing(spark):
+    from logharbor.functions.ids import truncate
+
+    odd = [float("nan"), float("inf"), float("-inf"), 1e30, -1e30, 2.9, -2.9, None]
+    big = 2**63 - 1
+    assert run(spark, odd, truncate, "double") == [0, big, -big - 1, big, -big - 1, 2, -2, None]
+
+
+def test_long_durations(spark):
+    from logharbor.functions.times import parse_duration
+
+    texts = ["123456789012ns", "99999999999h", "1d99999999999h", "3000000h", "9999999999999d", "1.5h", "99999999999999999999999999999999h"]
+    assert run(spark, texts, parse_duration) == [123456789012, None, 86_400_000_000_000, None, None, 5_400_000_000_000, None]
+
+
+def test_zero_and_text_in_stored_conditions(spark):
+    from logharbor.operators.filters import Condition, search
+
+    df = spark.createDataFrame([(-1.0, "A"), (0.0, "B"), (2.0, "AB")], "v double, s string")
+    assert search(df, [Condition("k", "v", ">=")], {"k": 0}).count() == 2
+    assert search(df, [Condition("k", "s", "IN")], {"k": "AB"}).count() == 1
+    assert search(df, [Condition("k", "v", ">=")], {"k": ""}).count() == 3

@@ -51,7 +51,24 @@ def test_closure_of_mixed_tree(spark):
 
 def test_closure_reports_cycle(spark):
     with pytest.raises(ValueError, match="cycle"):
-        tree.closure(tree_of(spark, {1: 3, 2: 1, 3: 2, 4: 0}), "id", "parent", max_depth=16)
+        tree.closure(tree_of(spark, {1: 3, 2: 1, 3: 2, 4: 0}), "id", "parent")
+    looped = tree_of(spark, {1: 3, 2: 1, 3: 2, 5: 3})
+    with pytest.raises(ValueError, match="cycle"):
+        tree.reach_from(looped, "id", "parent", looped.filter("id = 3").select("id"), down=True)
+
+
+def test_deep_chain(spark):
+    nodes = tree_of(spark, {i: i - 1 for i in range(1, 2101)})
+    found = tree.descendants(nodes, "id", "parent", F.col("id").isin(1, 2050))
+    assert found.agg(F.max("depth"), F.count("*")).first() == (2099, 2100 + 50)
+    asked = spark.createDataFrame([(1, 2100), (2000, 3), (7, 7), (1, 1)], "caller bigint, target bigint")
+    assert rows(tree.in_scope(asked, nodes, "id", "parent")) == [(1, 1), (1, 2100)]
+
+
+def test_forest_orders_by_any_sort_key(spark):
+    table = spark.createDataFrame([(1, 0, -5), (2, 0, -7), (3, 0, 12345678901), (4, 0, 9)], "id bigint, parent bigint, sort bigint")
+    got = tree.forest(table, "id", "parent", "sort").orderBy("path").collect()
+    assert [r.id for r in got] == [2, 1, 4, 3]
 
 
 def test_forest_order_and_orphans(spark):
@@ -158,7 +175,7 @@ def test_between_needs_two_values(spark):
 def test_false_is_a_given_value(spark):
     df = spark.createDataFrame([(True,), (False,)], "x boolean")
     assert filters.search(df, [filters.Condition("k", "x")], {"k": False}).count() == 1
-    assert filters.search(df, [filters.Condition("k", "x")], {"k": 0}).count() == 2
+    assert filters.search(df, [filters.Condition("k", "x")], {"k": ""}).count() == 2
 
 
 def test_page_clamp():
@@ -199,25 +216,21 @@ def test_rank_of_hot_group(spark):
 # --- joins with hot keys -------------------------------------------------------------------
 
 
-def test_hot_parent_is_split_into_pieces(spark):
-    children = spark.createDataFrame([(1, i) for i in range(500)] + [(2, 7), (2, 3)], "parent int, child int")
+def test_hot_parent_keeps_one_form(spark):
+    children = spark.createDataFrame([(1, i) for i in range(25_000)] + [(2, 7), (2, 3)], "parent int, child int")
     parents = spark.createDataFrame([(1,), (2,), (3,)], "parent int")
-    out = joins.attach_many(parents, children, "parent", "parent", ["child"], "kids", max_items=50).collect()
+    out = joins.attach_many(parents, children.repartition(5), "parent", "parent", ["child"], "kid").collect()
     by_parent = defaultdict(list)
-    for r in out:
-        items = [k["child"] for k in r.kids]
-        assert items == sorted(items) and len(items) < 120
-        by_parent[r.parent] += items
-    assert sorted(by_parent[1]) == list(range(500)) and len([r for r in out if r.parent == 1]) > 5
-    assert by_parent[2] == [3, 7] and by_parent[3] == []
+    for r in sorted(out, key=lambda r: (r.parent, r.position or 0)):
+        by_parent[r.parent].append((r.position, r.kid_child))
+    assert by_parent[1] == [(i, i) for i in range(25_000)]
+    assert by_parent[2] == [(0, 3), (1, 7)] and by_parent[3] == [(None, None)]
 
 
-def test_copies_of_a_child_are_dealt_out(spark):
+def test_copies_of_a_child_are_numbered(spark):
     children = spark.createDataFrame([(1, 7)] * 230 + [(1, 8)] * 3 + [(2, 5)] * 2, "parent int, child int")
-    out = joins.gather(children, "parent", F.struct("child"), "kids", "piece", 50).collect()
-    sizes = [len(r.kids) for r in out if r.parent == 1]
-    assert sum(sizes) == 233 and max(sizes) <= 52
-    assert Counter(k["child"] for r in out for k in r.kids) == {7: 230, 8: 3, 5: 2}
+    got = rows(aggregates.children_of(children, "parent", ["child"]), "parent", "position", "child")
+    assert got == [(1, i, 7 if i < 230 else 8) for i in range(233)] + [(2, 0, 5), (2, 1, 5)]
 
 
 def test_latest_and_earliest(spark):
@@ -234,6 +247,10 @@ def test_mean_does_not_depend_on_row_order(spark):
         df = spark.createDataFrame([(v,) for v in values], "durationMs double").repartition(seed + 1)
         means.add(df.agg(aggregates.exact_mean(F.col("durationMs"))).first()[0])
     assert len(means) == 1
+    inf = float("inf")
+    for values, want in (([1.0, inf, 3.0], inf), ([1e22, 1e22], 1e22), ([1e30, 3e30], 2e30), ([2e-12, 4e-12], 3e-12)):
+        df = spark.createDataFrame([(v,) for v in values], "durationMs double")
+        assert df.agg(aggregates.exact_mean(F.col("durationMs"))).first()[0] == pytest.approx(want)
     none = spark.createDataFrame([(None,)], "durationMs double")
     assert none.agg(aggregates.exact_mean(F.col("durationMs"))).first()[0] is None
 
@@ -285,19 +302,34 @@ def test_retention(spark):
     assert tables.retain_days(days, "d", "2024-01-10", 3).count() == 1
 
 
-def test_reassembly_over_segments(spark):
-    chunks = [(f, n, f"{f}{n};", None) for f, size in (("big", 25), ("gap", 5), ("ok", 3)) for n in range(size) if (f, n) != ("gap", 2)]
-    df = spark.createDataFrame(chunks, "f string, chunk_number int, content string, chunk_md5 string").withColumn("chunk_md5", F.md5("content"))
-    totals = spark.createDataFrame([("big", 25), ("gap", 5), ("ok", 3)], "f string, chunk_total int")
-    out = tables.reassemble(df.unionByName(df), totals, "f", per_segment=10)
+def test_reassembly_of_any_size(spark):
+    sizes = (("big", 3000), ("gap", 5), ("ok", 3))
+    chunks = [(f, n, f"{f}{n};") for f, size in sizes for n in range(size) if (f, n) != ("gap", 2)]
+    df = spark.createDataFrame(chunks, "f string, chunk_number int, content string").withColumn("chunk_md5", F.md5("content"))
+    totals = spark.createDataFrame(sizes, "f string, chunk_total int")
+    out = tables.reassemble(df.unionByName(df), totals, "f")
     text = defaultdict(str)
-    for r in sorted(out.collect(), key=lambda r: (r.f, r.segment)):
+    for r in sorted(out.collect(), key=lambda r: (r.f, r.chunk_number)):
         text[r.f, r.complete] += r.content
-    assert text["big", True] == "".join(f"big{n};" for n in range(25))
+    assert text["big", True] == "".join(f"big{n};" for n in range(3000))
     assert text["ok", True] == "ok0;ok1;ok2;" and ("gap", False) in text
     assert rows(tables.leftover_chunks(df, out, "f").select("f").distinct()) == [("gap",)]
 
 
+def test_repeated_changes_do_not_multiply_rows(spark):
+    base = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "id int, v string, w int")
+    twice = spark.createDataFrame([(1, "x", 0, 1), (1, "y", 7, 2), (3, "n", 1, 1), (3, "m", 2, 2)], "id int, v string, w int, seq int")
+    assert rows(tables.patch_columns(base, twice, "id", ["seq"]), "id", "v", "w") == [(1, "y", 7), (2, "b", 6)]
+    assert rows(tables.patch_nonzero(base, twice, "id", ["seq"]), "id", "v", "w") == [(1, "y", 7), (2, "b", 6)]
+    assert rows(tables.save_rows(base, twice, "id", ["seq"]), "id", "v", "w") == [(1, "y", 7), (2, "b", 6), (3, "m", 2)]
+    merged = tables.upsert(base, twice.withColumn("w", F.lit(None).cast("int")), ["id"], ["seq"], merge="coalesce")
+    assert rows(merged.fillna(0), "id", "v", "w") == [(1, "y", 5), (2, "b", 6), (3, "m", 0)]
+    renames = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "id int, new_id int, seq int")
+    assert rows(tables.rename_cascade(base, renames, ["id"], ["seq"]), "id", "v") == [(2, "b"), (11, "a")]
+    with pytest.raises(ValueError):
+        tables.upsert(base, twice, ["id"], [])
+
+
 def test_guards(spark):
     base = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
     batch = spark.createDataFrame([(5, "a"), (6, "c"), (7, "c")], "id int, name string")
@@ -312,10 +344,10 @@ def test_upsert_daily_keeps_days_apart(spark):
     base, out = scratch(spark, "base"), scratch(spark, "out")
     df = spark.createDataFrame([("2024-01-01", "x", 1), ("2024-01-02", "x", 2)], "ingest_date string, doc_id string, v int")
     daily.overwrite_daily(df, base)
-    change = spark.createDataFrame([("2024-01-02", "x", 9), ("2024-01-02", "y", 1)], "ingest_date string, doc_id string, v int")
-    daily.upsert_daily(spark, change, base, out, ["2024-01-02"])
+    change = spark.createDataFrame([("2024-01-02", "y", 1), ("2024-01-02", "y", 4), ("2024-01-03", "x", 9)], "ingest_date string, doc_id string, v int")
+    assert daily.upsert_daily(spark, change, base, out, ["v"]) == ["2024-01-02", "2024-01-03"]
     got = spark.read.parquet(out).select(F.col("ingest_date").cast("string"), "doc_id", "v")
-    assert rows(got) == [("2024-01-02", "x", 9), ("2024-01-02", "y", 1)]
+    assert rows(got) == [("2024-01-02", "x", 2), ("2024-01-02", "y", 4), ("2024-01-03", "x", 9)]
 
 
 # --- documents and report ------------------------------------------------------------------

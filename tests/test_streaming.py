@@ -98,13 +98,29 @@ def test_dedup_drops_late_rows(spark):
     assert sorted(r.doc_id for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
 
 
-def test_report_updates_over_batches(spark):
+def test_report_adds_up_batches_and_late_rows(spark):
     source, out = scratch(spark, "slow"), scratch(spark, "report")
-    schema = "event_time timestamp, checkSum string, durationMs double"
-    for step in ([("2024-01-01 10:00:00", "x", 1.0)], [("2024-01-01 11:00:00", "x", 3.0), ("2024-01-02 01:00:00", "x", 5.0)]):
-        df = spark.createDataFrame(step, "t string, checkSum string, durationMs double")
-        df.select(F.col("t").cast("timestamp").alias("event_time"), "checkSum", "durationMs").coalesce(1).write.mode("append").parquet(source)
-        buckets = report.daily_buckets(ingest.file_stream(spark, source, schema), "event_time", "2 hours")
-        report.write_updates(buckets, out, f"{out}-checkpoint").awaitTermination()
+    schema = "ingest_date string, event_time string, checkSum string, durationMs double"
+    steps = (
+        [("2024-01-02", "2024-01-02 10:00:00", "x", 1.0)],
+        # Two days older than the newest event, but taken in on the same day.
+        [("2024-01-02", "2023-12-31 11:00:00", "x", 3.0), ("2024-01-03", "2024-01-03 01:00:00", "x", 5.0)],
+    )
+    for step in steps:
+        write_step(spark, source, step, schema)
+        report.write_buckets(ingest.file_stream(spark, source, schema), out, f"{out}-checkpoint").awaitTermination()
     got = report.current_buckets(spark, out).select("day", "doc_count", "max_duration", "avg_duration").collect()
-    assert sorted(map(tuple, got)) == [("2024-01-01", 2, 3.0, 2.0), ("2024-01-02", 1, 5.0, 5.0)]
+    assert sorted(map(tuple, got)) == [("2024-01-02", 2, 3.0, 2.0), ("2024-01-03", 1, 5.0, 5.0)]
+
+
+def test_current_prunes_days_and_can_join_them(spark):
+    path = scratch(spark, "table")
+    schema = "doc_id string, v int, text string, ingest_date string"
+    ingest.write_batch(path, ("v",))(spark.createDataFrame([("a", 1, "t", "2024-01-01"), ("a", 2, "u", "2024-01-01")], schema), 0)
+    ingest.write_batch(path, ("v",))(spark.createDataFrame([("a", 3, "w", "2024-01-02"), ("b", 1, "t", "2024-01-02")], schema), 1)
+    one = ingest.current(spark, path, days=["2024-01-01"], columns=["doc_id", "v"])
+    assert [tuple(r) for r in one.collect()] == [("a", 2)]
+    plan = one._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(ingest_date" in plan or "PartitionFilters: [(ingest_date" in plan or "ingest_date#" in plan.split("PartitionFilters:")[1][:60]
+    both = ingest.current(spark, path, columns=["doc_id", "v"], across_days=True)
+    assert sorted(map(tuple, both.collect())) == [("a", 3), ("b", 1)]
