@@ -13,8 +13,52 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+# The tokens of JSON texts.
+_STRING = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+"'
+_NUMBER = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?"
+_TOKEN = rf"({_STRING}|{_NUMBER}|true|false|null|[^ \t\n\r])"
+# The parser refuses texts that are larger or nested deeper than its limits; from here on they are read again.
+_LARGE, _DEEP = 8_000_000, 400
+
+
+def _reads_as_json(text: Column) -> Column:
+    """Validity of any JSON text by a fold over its tokens with a stack of open brackets.
+
+    The mode says what may come next: V a value, A a value or the end of an array, K a key or the end of
+    an object, k a key, C a colon, E what follows a value, X nothing any more.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), 1)
+
+    def step(state: Column, token: Column) -> Column:
+        first, mode, stack = F.substring(token, 1, 1), state["mode"], state["stack"]
+        rest = F.substring(stack, F.lit(2), F.length(stack))
+        value = mode.isin("V", "A")
+        scalar = (F.length(token) > 1) | first.rlike("[0-9]")
+        text_token = (first == '"') & (F.length(token) > 1)
+
+        def to(stack: Column, mode: str) -> Column:
+            return F.struct(stack.alias("stack"), F.lit(mode).alias("mode"))
+
+        closes_array = (first == "]") & ((mode == "A") | ((mode == "E") & F.startswith(stack, F.lit("["))))
+        closes_object = (first == "}") & ((mode == "K") | ((mode == "E") & F.startswith(stack, F.lit("{"))))
+        return (
+            F.when(value & (first == "["), to(F.concat(F.lit("["), stack), "A"))
+            .when(value & (first == "{"), to(F.concat(F.lit("{"), stack), "K"))
+            .when(value & scalar, to(stack, "E"))
+            .when(mode.isin("K", "k") & text_token, to(stack, "C"))
+            .when((mode == "C") & (first == ":"), to(stack, "V"))
+            .when(closes_array | closes_object, to(rest, "E"))
+            .when((mode == "E") & (first == ",") & F.startswith(stack, F.lit("[")), to(stack, "V"))
+            .when((mode == "E") & (first == ",") & F.startswith(stack, F.lit("{")), to(stack, "k"))
+            .otherwise(to(stack, "X"))
+        )
+
+    start = F.struct(F.lit("").alias("stack"), F.lit("V").alias("mode"))
+    return F.aggregate(tokens, start, step, lambda s: (s["mode"] == "E") & (s["stack"] == ""))
+
+
 def is_json(text: Column) -> Column:
-    """True when the whole text is one valid JSON value; NULL counts as false.
+    """True when the whole text is one valid JSON value, of any size and depth; NULL counts as false.
 
     The variant parser stops at the end of the first value and ignores what
     follows. Wrapping the text as the first element of a two-element array makes
@@ -24,7 +68,10 @@ def is_json(text: Column) -> Column:
     digest = F.md5(text)
     wrapped = F.concat(F.lit("["), text, F.lit(',"'), digest, F.lit('"]'))
     ending = F.try_variant_get(F.try_parse_json(wrapped), "$[1]", "string")
-    return F.coalesce(ending == digest, F.lit(False))
+    parsed = F.coalesce(ending == digest, F.lit(False))
+    opened = F.length(text) - F.length(F.translate(text, "[{", ""))
+    beyond = (F.octet_length(text) >= _LARGE) | (opened >= _DEEP)
+    return F.when(parsed, True).when(beyond, _reads_as_json(text)).otherwise(False)
 
 
 def json_keys(text: Column) -> Column:

@@ -74,16 +74,19 @@ _BLANKS = re.compile(r"[ \n\t]+")
 _BRACKET = re.compile(r"[\[\]{}]")
 
 
-def _scalar_array_end(text: str, start: int) -> int:
-    """Position behind an array that opened before start, or -1 when it holds an object."""
-    depth = 1
-    for hit in _BRACKET.finditer(text, start):
-        if hit[0] == "{":
-            return -1
-        depth += 1 if hit[0] == "[" else -1
-        if depth == 0:
-            return hit.end()
-    return len(text)
+def _scalar_array_ends(text: str) -> dict[int, int]:
+    """Position behind each array by where it opens, or -1 when it holds an object; one pass over the brackets."""
+    ends: dict[int, int] = {}
+    still: list[int] = []
+    for hit in _BRACKET.finditer(text):
+        if hit[0] == "[":
+            still.append(hit.start())
+        elif hit[0] == "{":
+            ends.update(dict.fromkeys(still, -1))
+            still.clear()
+        elif still:
+            ends[still.pop()] = hit.end()
+    return ends | dict.fromkeys(still, len(text))
 
 
 def mask_cut_text(text: str) -> str:
@@ -94,11 +97,12 @@ def mask_cut_text(text: str) -> str:
     and a colon counts inside strings too.
     """
     out: list[str] = []
+    ends = _scalar_array_ends(text)
     at, quoted, expect = 0, False, False
     while at < len(text):
         ch = text[at]
         if ch == "[" and expect:
-            end = _scalar_array_end(text, at + 1)
+            end = ends[at]
             if end >= 0:
                 out.append("[?]")
                 at, expect = end, False
@@ -138,10 +142,10 @@ def mask_truncated(text: Column, mode: str = "strict") -> Column:
     raise ValueError(f"unknown masking mode {mode!r}")
 
 
-def mask_dsl(text: Column, mode: str = "compat", valid: Column | None = None) -> Column:
-    """Template of a query text. Valid JSON is masked natively; the rest by mode.
+def mask_dsl(text: Column, mode: str = "strict", valid: Column | None = None) -> Column:
+    """Template of a query text. Valid JSON and, by default, the rest are masked natively.
 
-    Valid rows reach the Python function of ``compat`` as NULL. ``valid`` is
+    Mode ``compat`` keeps quoted strings of texts that are not valid, so it is not for anything published; valid rows reach the Python function of ``compat`` as NULL. ``valid`` is
     is_json(text) where the caller already has it.
     """
     valid = is_json(text) if valid is None else valid

@@ -24,7 +24,7 @@ from logharbor.functions import (
 )
 
 
-def with_template(df: DataFrame, mode: str = "compat") -> DataFrame:
+def with_template(df: DataFrame, mode: str = "strict") -> DataFrame:
     """Add queryTemplate, dslFormat, checkSum and dslHash to rows with queryText.
 
     Validity, template and fingerprint are three projections: each result is
@@ -40,7 +40,7 @@ def with_template(df: DataFrame, mode: str = "compat") -> DataFrame:
     ).drop("_valid")
 
 
-def flatten_a(raw: DataFrame, task: str = "", mode: str = "compat") -> DataFrame:
+def flatten_a(raw: DataFrame, task: str = "", mode: str = "strict") -> DataFrame:
     """Vendor A raw rows to documents; a row whose time is malformed is dropped."""
     c = "contentCollection"
     flat = raw.select(
@@ -69,7 +69,7 @@ def flatten_a(raw: DataFrame, task: str = "", mode: str = "compat") -> DataFrame
     )
 
 
-def parse_b(raw: DataFrame, task: str = "", mode: str = "compat") -> DataFrame:
+def parse_b(raw: DataFrame, task: str = "", mode: str = "strict") -> DataFrame:
     """Vendor B text lines to documents.
 
     A row is dropped when its time is malformed or no query object is found.

@@ -154,7 +154,19 @@ NAMES = (
 ).split()
 
 
-@query("s07_catalog_scan")
+_COUNTS_SQL = " UNION ALL ".join(f"SELECT '{name}' AS t, count(*) AS n FROM {name}" for name in NAMES)
+
+
+@query(
+    "s07_catalog_scan",
+    f"""WITH c AS ({_COUNTS_SQL})
+    SELECT table_name AS "table", column_name AS "column",
+      CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
+        WHEN 'FLOAT[]' THEN 'array<float>' ELSE lower(data_type) END AS type,
+      '' AS length, '' AS comment, column_name IN ('o_orderkey', 'c_custkey') AS is_key,
+      cast(ordinal_position AS INT) AS ordinal, n AS table_rows
+    FROM information_schema.columns JOIN c ON t = table_name""",
+)
 def s07(t: Tables):
     return tables.describe(
         {name: getattr(t, name) for name in NAMES}, {"orders": ["o_orderkey"], "customer": ["c_custkey"]}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from logharbor.operators import filters as f
 from logharbor.operators import quality
 from logharbor.plans.catalog.base import DOCS_SQL, THRESHOLDS, Tables, query, slow_docs
+from logharbor.plans.search import search_page
 from logharbor.sources.landed import spread
 
 EVENT_COLUMNS = "event_id, user_id, event_type, value"
@@ -150,6 +151,22 @@ def f12(t: Tables):
     )
 
 
+@query(
+    "f12_search_page",
+    f"""WITH {DOCS_SQL}, hits AS (SELECT * FROM docs WHERE ts >= TIMESTAMP '2024-01-03 00:00:00' AND ts < TIMESTAMP '2024-01-28 00:00:00.001'
+      AND "durationMs" >= 4 AND "indexName" = 'purchase')
+    SELECT event_id, doc_id, "durationMs" AS duration_ms, (SELECT count(*) FROM hits) AS total FROM hits
+    ORDER BY "@timestamp" DESC, doc_id LIMIT 25 OFFSET 50""",
+)
+def f12_page(t: Tables):
+    docs = slow_docs(t).withColumn("eventTime", F.date_format(F.timestamp_millis("`@timestamp`"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    request = {
+        "startTime": "2024-01-03T00:00:00.000Z", "endTime": "2024-01-28T00:00:00.000Z", "minDurationMs": 4,
+        "indexName": "purchase", "page": 3, "pageSize": 25,
+    }
+    return search_page(docs, request).select("event_id", "doc_id", F.col("durationMs").alias("duration_ms"), "total")
+
+
 def stamped_orders(t: Tables):
     return t.orders.withColumn(
         "deleted_at", F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_orderdate"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from logharbor.operators.documents import flatten_a, parse_b
 from logharbor.operators.joins import with_instance_name
-from logharbor.plans.catalog.base import DOCS_SQL, QUERY_TEXT_DUCK, Tables, query, slow_docs
+from logharbor.plans.catalog.base import DOCS_SQL, QUERY_TEXT_DUCK, Tables, mask_sql, query, slow_docs
 from logharbor.plans.catalog.landing import vendor_a_rows, vendor_b_line
 from logharbor.sources.landed import spread
 from logharbor.plans.export import Template, as_text, export_rows
@@ -20,6 +20,7 @@ from logharbor.plans.export import Template, as_text, export_rows
       strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS event_time, epoch_us(ts) // 1000 AS stamp, md5(q) AS dsl_hash,
       CASE WHEN event_type = 'error' THEN 'non-json' ELSE 'json' END AS dsl_format, value AS duration_ms,
       event_type AS index_name, concat('10.0.0.', user_id) AS node_ip, concat('es-', user_id) AS instance_id,
+      {mask_sql('q')} AS template, md5({mask_sql('q')}) AS check_sum,
       'WARN' AS level, cast(event_id AS DOUBLE) AS search_hits, 'QUERY_THEN_FETCH' AS search_type,
       cast(3 AS BIGINT) AS shard_id, 'SEARCHSLOW' AS slow_search_type, cast(5 AS BIGINT) AS shard_total, 'run-1' AS task_id
     FROM cut""",
@@ -31,6 +32,7 @@ def p10(t: Tables):
         F.col("dslHash").alias("dsl_hash"), F.col("dslFormat").alias("dsl_format"),
         F.col("durationMs").alias("duration_ms"), F.col("indexName").alias("index_name"),
         F.col("nodeIP").alias("node_ip"), F.col("instanceId").alias("instance_id"), "level",
+        F.col("queryTemplate").alias("template"), F.col("checkSum").alias("check_sum"),
         F.col("searchHits").alias("search_hits"), F.col("searchType").alias("search_type"),
         F.col("shardId").alias("shard_id"), F.col("slowSearchType").alias("slow_search_type"),
         F.col("shardTotal").alias("shard_total"), F.col("taskId").alias("task_id"),

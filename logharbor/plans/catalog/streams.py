@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from logharbor.functions import fingerprint, mask_json, usage_percentages
 from logharbor.operators.documents import flatten_a
 from logharbor.operators.filters import slow_for_source
-from logharbor.plans.catalog.base import DOCS_SQL, QUERY_TEXT_SPARK, REPORT_DAY, THRESHOLDS, Tables, query
+from logharbor.plans.catalog.base import DOCS_SQL, QUERY_TEXT_DUCK, QUERY_TEXT_SPARK, REPORT_DAY, THRESHOLDS, Tables, mask_sql, query
 from logharbor.plans.catalog.landing import DUMP_END, vendor_a_rows
 from logharbor.plans.catalog.rollups import MEAN, SLOW_SQL
 from logharbor.sources.landed import accepted, stream_dumps
@@ -28,9 +28,11 @@ def streams(t: Tables) -> StreamTables:
 
 @query(
     "t01_incremental_ingest",
-    """SELECT concat(epoch_us(ts) // 1000, '|10_0_0_', user_id, '|', event_type, '|', cast(trunc(value) AS BIGINT), '|es-', user_id) AS doc_id,
-      'north' AS task_id, event_type AS index_name, value AS duration_ms,
-      CASE WHEN event_type = 'error' THEN 'non-json' ELSE 'json' END AS dsl_format FROM events""",
+    f"""WITH raw AS (SELECT *, {QUERY_TEXT_DUCK} AS full_text FROM events),
+    cut AS (SELECT *, CASE WHEN event_type = 'error' THEN substr(full_text, 1, length(full_text) - 12) ELSE full_text END AS q FROM raw)
+    SELECT concat(epoch_us(ts) // 1000, '|10_0_0_', user_id, '|', event_type, '|', cast(trunc(value) AS BIGINT), '|es-', user_id) AS doc_id,
+      'north' AS task_id, event_type AS index_name, value AS duration_ms, {mask_sql('q')} AS template, md5({mask_sql('q')}) AS check_sum,
+      CASE WHEN event_type = 'error' THEN 'non-json' ELSE 'json' END AS dsl_format FROM cut""",
 )
 def t01(t: Tables):
     path, s = t.scratch("ingested"), streams(t)
@@ -46,6 +48,7 @@ def t01(t: Tables):
     return ingest.current(t.spark, path).select(
         "doc_id", F.col("taskId").alias("task_id"), F.col("indexName").alias("index_name"),
         F.col("durationMs").alias("duration_ms"), F.col("dslFormat").alias("dsl_format"),
+        F.col("queryTemplate").alias("template"), F.col("checkSum").alias("check_sum"),
     )
 
 
@@ -71,17 +74,17 @@ def t03(t: Tables):
 LIMIT, EXPIRE = 2, 6 * 3600
 
 
-@query(
-    "t04_request_limiter",
-    f"""WITH RECURSIVE ev AS (SELECT user_id, event_id, epoch_us(ts) AS us FROM events),
+LIMITER_SQL = f"""WITH RECURSIVE ev AS (SELECT user_id, event_id, epoch_us(ts) AS us FROM events),
       st AS (SELECT user_id, min(us) AS us FROM ev GROUP BY user_id
         UNION ALL SELECT st.user_id, min(ev.us) FROM st JOIN ev ON ev.user_id = st.user_id AND ev.us >= st.us + {EXPIRE * 1000000}
         GROUP BY st.user_id, st.us),
       placed AS (SELECT ev.user_id, ev.event_id, ev.us, max(st.us) AS window_start FROM ev JOIN st ON st.user_id = ev.user_id AND st.us <= ev.us
         GROUP BY ALL)
     SELECT event_id, user_id, window_start, row_number() OVER (PARTITION BY user_id, window_start ORDER BY us, event_id) <= {LIMIT} AS accepted
-    FROM placed""",
-)
+    FROM placed"""
+
+
+@query("t04_request_limiter", LIMITER_SQL)
 def t04(t: Tables):
     requests = t.events.select("event_id", "user_id", F.expr("unix_micros(cast(ts AS timestamp))").alias("at"))
     return limiter.limit_requests(requests, "user_id", F.col("at"), "event_id", LIMIT, EXPIRE).select(

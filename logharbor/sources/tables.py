@@ -156,12 +156,3 @@ def describe(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]]
     for part in parts[1:]:
         union = union.unionByName(part)
     return union
-
-
-def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
-    """Tables of the session catalog."""
-    return spark.sql(f"SHOW TABLES IN `{database}`" if database else "SHOW TABLES")
-
-
-def list_databases(spark: SparkSession) -> DataFrame:
-    return spark.sql("SHOW DATABASES")

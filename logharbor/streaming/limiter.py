@@ -9,6 +9,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
@@ -53,17 +54,34 @@ def _next_window(points: DataFrame, key: str, span: int) -> DataFrame:
     )
 
 
+def _piece_starts(points: DataFrame, key: str, span: int) -> DataFrame:
+    """Request times with a silence of at least ``span`` before them: a window opens at each of them."""
+    rows = points.withColumn("slot", F.floor(F.col("at") / max(span // SLOTS_PER_SPAN, 1)))
+    near = F.lag("at").over(Window.partitionBy(key, "slot").orderBy("at"))
+    slots = rows.groupBy(key, "slot").agg(F.max("at").alias("last"))
+    far = slots.select(key, "slot", F.lag("last").over(Window.partitionBy(key).orderBy("slot")).alias("before"))
+    before = F.coalesce("near", "before")
+    return (
+        rows.withColumn("near", near)
+        .join(far, [key, "slot"])
+        .filter(before.isNull() | (F.col("at") - before >= span))
+        .select(key, "at")
+    )
+
+
 def window_starts(requests: DataFrame, key: str, at: str, span: int) -> DataFrame:
     """The window starts (key, at) of every key. Times are whole numbers, e.g. microseconds.
 
-    The starts are the orbit of a key's first request under "next window".
-    Following it by doubling takes about log2(windows per key) rounds of
-    equi-joins instead of one sequential pass over a key.
+    Behind a silence of one span a window opens whatever came before, so requests fall into pieces that
+    do not depend on each other. The starts of a piece are the orbit of its first request under "next
+    window"; following all of them at once by doubling takes about log2(windows per piece) rounds of equi-joins.
     """
     spark = requests.sparkSession
     points = cut(requests.select(key, F.col(at).alias("at")).distinct())
-    jump = cut(_next_window(points, key, span).filter("next IS NOT NULL"))
-    first = points.groupBy(key).agg(F.min("at").alias("at"))
+    first = cut(_piece_starts(points, key, span))
+    # A step into the next piece ends at its start, which is known already.
+    steps = _next_window(points, key, span).filter("next IS NOT NULL")
+    jump = cut(steps.join(first.select(key, F.col("at").alias("next")), [key, "next"], "left_anti"))
     schema, written = first.schema, [save(first)]
     while True:
         starts = load(spark, schema, *written)
@@ -117,25 +135,31 @@ class Limiter(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.window = handle.getValueState(
-            "window", T.StructType([T.StructField("start", T.LongType()), T.StructField("taken", T.IntegerType())])
+            "window",
+            T.StructType([T.StructField("start", T.LongType()), T.StructField("taken", T.LongType())]),
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # A key's requests of one micro-batch, which the trigger bounds; one step per window, not per row.
         batch = pd.concat(list(rows)).sort_values(["at", "ident"])
+        at, n = batch["at"].to_numpy(), len(batch)
+        starts, ranks = np.zeros(n, np.int64), np.zeros(n, np.int64)
         start, taken = self.window.get() if self.window.exists() else (None, 0)
-        verdicts = []
-        for at in batch["at"]:
-            if start is None or at >= start + self.span:
-                start, taken = int(at), 0
-            verdicts.append((start, taken < self.limit))
-            taken += taken < self.limit
+        begin = 0
+        while begin < n:
+            if start is None or at[begin] >= start + self.span:
+                start, taken = int(at[begin]), 0
+            end = max(begin + 1, int(np.searchsorted(at, start + self.span)))
+            starts[begin:end] = start
+            ranks[begin:end] = taken + np.arange(end - begin)
+            taken, begin = min(self.limit, taken + end - begin), end
         self.window.update((start, int(taken)))
         yield pd.DataFrame(
             {
                 "key": batch["key"].to_numpy(),
                 "ident": batch["ident"].to_numpy(),
-                "window_start": [v[0] for v in verdicts],
-                "accepted": [v[1] for v in verdicts],
+                "window_start": starts,
+                "accepted": ranks < self.limit,
             }
         )
 
@@ -144,7 +168,11 @@ class Limiter(StatefulProcessor):
 
 
 def limit_stream(stream: DataFrame, limit: int, expire: float) -> DataFrame:
-    """Limiter over a stream of (key, at, ident); needs the RocksDB state store."""
+    """Limiter over a stream of (key, at, ident); needs the RocksDB state store.
+
+    A key's state is two numbers and stays: dropping it by processing time would keep an available-now
+    run from ending, as Spark then always plans another batch.
+    """
     kinds = dict(stream.dtypes)
     return stream.groupBy("key").transformWithStateInPandas(
         statefulProcessor=Limiter(limit, expire),

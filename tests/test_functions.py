@@ -75,7 +75,8 @@ def test_mask_truncated(spark):
 
 def test_mask_dsl_switch(spark):
     texts = ['{"a":1}', '{"a":1', None]
-    assert run(spark, texts, L.mask_dsl) == ['{"a":"?"}', '{"a":?', None]
+    assert run(spark, texts, L.mask_dsl) == ['{"a":"?"}', '{"a":"?"', None]
+    assert run(spark, texts, lambda c: L.mask_dsl(c, "compat")) == ['{"a":"?"}', '{"a":?', None]
     assert run(spark, texts[:2], lambda c: L.dsl_format(L.is_json(c))) == ["json", "non-json"]
 
 
@@ -290,3 +291,38 @@ def test_zero_and_text_in_stored_conditions(spark):
     assert search(df, [Condition("k", "v", ">=")], {"k": 0}).count() == 2
     assert search(df, [Condition("k", "s", "IN")], {"k": "AB"}).count() == 1
     assert search(df, [Condition("k", "v", ">=")], {"k": ""}).count() == 3
+
+
+def test_json_beyond_the_parser(spark):
+    from logharbor.functions.jsontext import _reads_as_json, is_json
+
+    deep = "[" * 1100 + "1" + "]" * 1100
+    long = '{"k": "' + "x" * 20_000_000 + '"}'
+    texts = [deep, deep + "]", deep[:-1], '{"a":' * 600 + "{}" + "}" * 600, long, long[:-1]]
+    assert run(spark, texts, is_json) == [True, False, False, True, True, False]
+    small = [
+        "1", "-0.5e+3", "01", "1.", '"a\\u00e9"', '"a\\x"', '"open', "[]", "[1,]", "[1 2]", "{}", '{"a":1,}', '{"a" 1}', '{"a":[{"b":null}]}',
+        "{1:2}", "nul", "true false", "", " [ true , false ] ", '{"a":}', "]", '["a":1]', '"', '["a\nb"]', "[1}", '{"a":1]',
+    ]
+    import json
+
+    def plain(text):
+        try:
+            json.loads(text)
+            return True
+        except ValueError:
+            return False
+
+    assert run(spark, small, _reads_as_json) == [plain(t) for t in small]
+    assert run(spark, small, is_json) == [plain(t) for t in small]
+
+
+def test_compatible_mask_is_linear():
+    import time
+
+    from logharbor.functions.masking import mask_cut_text
+
+    began = time.time()
+    assert mask_cut_text(":" + "[" * 200_000 + "{") == ":" + "[" * 200_000 + "{"
+    assert mask_cut_text('{"a": [1, [2]], "b": [{"c": 1}], "d": [3') == '{"a": [?], "b": [{"c": ?}], "d": [?]'
+    assert time.time() - began < 5
