@@ -141,15 +141,16 @@ class Index:
         if not found or not template:
             return None
         m, n = len(template), len(found)
+        band = min(BAND, m // 3)  # a short notice must not reach its neighbours
         # The band's middle: the text word nearest to where the template should begin.
         base = min(range(n), key=lambda j: abs(found[j][1] + low - at))
-        width = 2 * BAND + 1
+        width = 2 * band + 1
         score = [[0] * (width + 2) for _ in range(m + 1)]
         move = [[0] * (width + 2) for _ in range(m + 1)]
         for i in range(1, m + 1):
             word = template[i - 1]
             for d in range(width):
-                j = base + i - 1 + d - BAND
+                j = base + i - 1 + d - band
                 # Cell (i, d) stands for text word j; its neighbours are (i-1, d), (i-1, d+1) and (i, d-1).
                 best, step = score[i - 1][d + 1] if d + 1 < width else -1, 2
                 if d and score[i][d - 1] > best:
@@ -162,7 +163,7 @@ class Index:
         while i > 0 and 0 <= d < width:
             step = move[i][d]
             if step == 1:
-                j = base + i - 1 + d - BAND
+                j = base + i - 1 + d - band
                 first, last = found[j][1], last if last is not None else found[j][2]
                 i -= 1
             elif step == 2:

@@ -32,7 +32,7 @@ from logharbor.llm.common import WordCache, extended, kept, read_bytes, small_sl
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Words remembered per worker, and pairs whose compatibility is remembered; beyond it they are computed again.
-CACHE_WORDS, CACHE_PAIRS, CACHE_CHARS = 800_000, 1_000_000, 48
+CACHE_WORDS, CACHE_PAIRS, CACHE_CHARS = 600_000, 300_000, 48
 #: Runs of Latin letters and runs of anything else, each with the marks before it.
 LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 RUNS = re.compile(f"{MARK}*(?:[{LETTER}]+|[^{LETTER}{MARK}]+)|{MARK}+")
