@@ -360,7 +360,7 @@ def test_flatten_a_drops_bad_time(spark):
     path = scratch(spark, "a")
     spark.createDataFrame(data).write.json(path)
     (doc,) = flatten_a(landed.read_vendor_a(spark, path), task="t").collect()
-    assert doc.doc_id == "1|10_0_0_1|i|12|c" and doc.dslFormat == "non-json" and doc.queryTemplate == '{"a":?'
+    assert doc.doc_id == "1|10_0_0_1|i|12|c" and doc.dslFormat == "non-json" and doc.queryTemplate == '{"a":"?"'
     assert (doc.searchHits, doc.shardTotal, doc.eventTime) == (0.0, 5, "2025-08-01T10:20:30.123Z")
 
 
