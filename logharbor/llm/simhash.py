@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from logharbor.llm.common import cut, extended, small_slices, texts
 from logharbor.llm.components import components
+from logharbor.llm.nearcopies import near_copies
 
 WORDS, SEED, CHUNK = 4, 42, 1 << 16
 RADIUS, BITS = 4, 64
@@ -343,13 +344,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return marked.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs without near-duplicates: of each component the document with the smallest doc_id stays.
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs without near copies (``nearcopies``): of each component the document with the smallest doc_id stays.
 
     Of several rows with that doc_id the one with the smallest text stays. Rows without a doc_id cannot be told apart
     and stay as they are. All columns are kept.
     """
-    groups = near_duplicates(docs, radius)
+    groups = near_copies(docs)
     stay = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(stay, "doc_id", "left_semi")
     # Repeated rows are rare: only the ids that occur more than once are put through a choice.

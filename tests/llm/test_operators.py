@@ -20,6 +20,7 @@ from logharbor.llm import (
     decontaminate,
     lengths,
     licenses,
+    nearcopies,
     pii,
     piecebpe,
     quality,
@@ -242,6 +243,55 @@ def test_near_duplicates_on_odd_rows(odd, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def plain_sets(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_groups(rows):
+    sets, parent = {i: plain_sets(t or "") for i, t in rows}, {i: i for i, _ in rows}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for i in sets:
+        for j in sets:
+            if j < i and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("often", [2, 10**6])
+def test_edited_copies_are_found_as_by_brute_force(spark, monkeypatch, often):
+    monkeypatch.setattr(nearcopies, "OFTEN", often)
+    rng = random.Random(12)
+    word = lambda: rng.choice("abcdefgh") + rng.choice("stuv") + rng.choice("xyz")
+    rows = []
+    for base in range(30):
+        words = [word() for _ in range(rng.choice([3, 8, 40, 90, 200]))]
+        for _ in range(12):
+            copy = list(words)
+            for _ in range(rng.randint(0, 1 + len(words) // 40)):
+                copy[rng.randrange(len(copy))] = word()
+            if rng.random() < 0.3:
+                copy = copy[: -rng.randint(1, 4)] or copy
+            rows.append((len(rows), " ".join(copy)))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    want = plain_groups(rows)
+    assert {r.doc_id: r.component_id for r in nearcopies.near_copies(table).collect()} == want
+    assert {r.doc_id for r in simhash.keep_one(table).collect()} == set(want.values())
+    # The bits of the op3 query are too few for most of these copies.
+    assert len({r.component_id for r in simhash.near_duplicates(table).collect()}) > len(set(want.values())) + 20
+
+
+def test_near_copies_of_the_given_documents(docs, given):
+    want = plain_groups(sorted(given.items()))
+    assert {r.doc_id: r.component_id for r in nearcopies.near_copies(docs).collect()} == want
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert {r.root for r in components.components(links).collect()} == {0}
