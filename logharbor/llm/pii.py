@@ -5,8 +5,10 @@ tokens that look like identifiers (an @, or four digits and more) are candidates
 the words around an occurrence are its patterns: two words before, and one before with one after. Patterns and
 instances form a bipartite graph that Spark scores in rounds:
 
-* a pattern's confidence for a kind is the mean confidence of the distinct instances it occurs with, and it counts
-  only if it has met MIN_SUPPORT distinct confident ones;
+* a pattern's confidence for a kind is the confidence of its distinct instances of that kind, over that of its
+  instances of any kind, UNKNOWN for each part of an instance that is of no kind yet, and DOUBT; so seeds of other kinds
+  speak against a pattern and unseen candidates hardly do. It counts only if it has met MIN_SUPPORT distinct confident
+  instances of the kind;
 * a candidate's confidence for a kind is the noisy-or of its accepted patterns; seeds keep theirs.
 
 Occurrences of candidates in accepted patterns become spans of that kind. Rounds only read the table of occurrences,
@@ -31,6 +33,9 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS, MIN_SUPPORT, CONFIDENT, LIKELY = 3, 5, 0.8, 0.5
 #: A pattern that occurs with very few distinct instances says little; this is added to each denominator.
 DOUBT = 1.0
+#: What a candidate of no known kind weighs against a pattern: it is what the method is to find, so little, but not
+#: nothing, since a context of numbers of all sorts should not be taken for one of phones.
+UNKNOWN = 0.05
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -198,13 +203,17 @@ def bootstrap(found: DataFrame) -> DataFrame:
     known, accepted = seeds, None
     plain = cut(edges.select("pattern", "instance").distinct().join(totals, "pattern"))
     for _ in range(ROUNDS):
+        any_kind = known.groupBy("instance").agg(F.max("confidence").alias("settled"))
+        settled = plain.join(any_kind, "instance").groupBy("pattern").agg(F.sum("settled").alias("settled"))
         met = plain.join(known, "instance").groupBy("kind", "pattern").agg(
             F.sum("confidence").alias("sum"),
             F.count(F.when(F.col("confidence") >= LIKELY, 1)).alias("support"),
             F.first("total").alias("total"),
         )
+        against = F.col("settled") + UNKNOWN * (F.col("total") - F.col("settled")) + DOUBT
         accepted = cut(
-            met.withColumn("confidence", F.col("sum") / (F.col("total") + DOUBT))
+            met.join(settled, "pattern")
+            .withColumn("confidence", F.col("sum") / against)
             .filter((F.col("support") >= MIN_SUPPORT) & (F.col("confidence") >= CONFIDENT))
             .select("kind", "pattern", "confidence")
         )

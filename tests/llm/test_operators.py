@@ -470,6 +470,21 @@ def test_contexts_find_unseen_identifiers(spark):
     assert masked[100] == "reach desk at <EMAIL> today or later" and masked[101] == unseen[1][1]
 
 
+def test_several_unseen_identifiers_of_a_context_are_found(spark):
+    rows = [(i, f"please call +1 555 010 1{i:03} today or later") for i in range(8)]
+    unseen = [(100 + i, f"please call 0049-30-77{i:03} today or later") for i in range(6)]
+    # A context of two kinds, and one of far more unknown numbers than seeds, say nothing.
+    rows += [(200 + i, f"sent from {x} at noon") for i in range(8) for x in (f"b{i}@y{i}.org", f"10.1.2.{i}")]
+    rows += [(300 + i, f"number is +1 555 020 2{i:03} so far") for i in range(6)]
+    other = [(400, "sent from someone@intranet at noon")] + [(500 + i, f"number is 990{i:03} so far") for i in range(60)]
+    table = spark.createDataFrame(rows + unseen + other, "doc_id bigint, text string")
+    found = {r.doc_id: r.spans for r in pii.detect(table).select("doc_id", pii.spelled("spans").alias("spans")).collect()}
+    assert {found[i] for i, _ in unseen} == {"phone:12:25"}
+    assert {found[i] for i, _ in other} == {""}
+    masked = {r.doc_id: r.text for r in pii.mask(table).collect()}
+    assert {masked[i] for i, _ in unseen} == {"please call <PHONE> today or later"}
+
+
 def test_detect_and_mask_odd_rows(odd, none):
     rows = pii.detect(odd).select("doc_id", "counts", pii.spelled("base").alias("base")).collect()
     assert len(rows) == len(ODD)
