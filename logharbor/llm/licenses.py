@@ -1,6 +1,7 @@
 """License notices in documents: fingerprints pick candidates, alignment says how much of a notice is there.
 
-1. Templates and texts are lowered (ASCII) and white space is made blank, byte for byte. The hashes of a template's
+1. Templates and texts are lowered (ASCII), and each run of white space, with comment marks that stand alone in it, is
+   made one blank, so that indented and commented notices read as others do; spans are of the text as given. The hashes of a template's
    GRAM-byte grams are winnowed: of every WINDOW neighbours the smallest is kept, the rightmost of equals. An inverted
    index leads from a kept hash to (template, offset). Any WINDOW + GRAM - 1 bytes that a text shares with a template
    hold a kept gram, so looking up every gram of a text finds every such passage.
@@ -64,6 +65,22 @@ _LOWER = bytes(
 _MIX, _TABLE_BITS = np.uint64(0x9E3779B97F4A7C15), 18
 WORD = re.compile(rb"[^ !-/:-@\[-`{-~]+")
 
+#: White space of two bytes and more, with comment marks between.
+WIDE = re.compile(rb"[ \t\n\v\f\r](?:[ \t\n\v\f\r]++|[#*/;%!>|-]{1,4}[ \t\n\v\f\r]++)++")
+
+
+def folded(text: bytes) -> tuple[bytes, np.ndarray | None]:
+    """The lowered text with one blank for each run of white space, and where its bytes stand in the text (None: the
+    same places)."""
+    lowered = text.translate(_LOWER)
+    runs = [m.span() for m in WIDE.finditer(text)]
+    if not runs:
+        return lowered, None
+    keep = np.ones(len(text), bool)
+    for a, b in runs:
+        keep[a + 1 : b] = False
+    return np.frombuffer(lowered, np.uint8)[keep].tobytes(), np.flatnonzero(keep)
+
 
 def grams(text: bytes) -> np.ndarray:
     """A mixed 64-bit value for every GRAM bytes of lowered text."""
@@ -174,7 +191,7 @@ class Index:
 
     def matches(self, text: bytes) -> list[tuple[str, float, int, int]]:
         """(template, coverage, start, end) of a UTF-8 text; positions in bytes."""
-        lowered = text.translate(_LOWER)
+        lowered, at_byte = folded(text)
         best: dict[int, list[tuple[float, int, int]]] = defaultdict(list)
         for k, at in self.candidates(lowered):
             found = self.align(k, at, lowered)
@@ -190,6 +207,8 @@ class Index:
                         chosen[-1] = f
                 else:
                     chosen.append(f)
+            if at_byte is not None:
+                chosen = [(c, int(at_byte[a]), int(at_byte[b - 1]) + 1) for c, a, b in chosen]
             out += [(self.names[k], *f) for f in chosen]
         return sorted(out, key=lambda m: (m[2], m[3], m[0]))
 

@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -594,6 +595,18 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(odd).count() == licenses.scan(none).count() == 0
 
 
+@pytest.mark.parametrize("name", ["MIT", "Apache-2.0", "GPL", "BSD"])
+@pytest.mark.parametrize("columns, margin", [(60, " " * 18), (40, " " * 14), (72, " " * 40), (60, "    // "), (50, " * "), (60, "\t# ")])
+def test_indented_and_commented_licenses(name, columns, margin):
+    whole = {"break_long_words": False, "break_on_hyphens": False}
+    notice = textwrap.fill(licenses.TEMPLATES[name], columns, initial_indent=margin, subsequent_indent=margin, **whole)
+    text = ("Some words é.\n" + notice + "\nMore words.").encode()
+    found = {k: (c, text[a:b]) for k, c, a, b in licenses.Index(licenses.TEMPLATES).matches(text)}
+    coverage, passage = found[name]
+    words = [w for w, _, _ in licenses.words(licenses.TEMPLATES[name].lower().encode())]
+    assert coverage == 1 and [w for w, _, _ in licenses.words(licenses.folded(passage)[0])] == words
+
+
 def test_winnowed_grams_meet_every_shared_passage():
     rng = random.Random(1)
     text = bytes(rng.choice(b"abc ") for _ in range(400))
