@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logharbor.llm import decontaminate, lengths, licenses, pii, piecebpe, quality, reshard, simhash, tokenfile, winnowing
+from logharbor.llm import (
+    chat,
+    decontaminate,
+    lengths,
+    licenses,
+    pii,
+    piecebpe,
+    quality,
+    reshard,
+    runs,
+    simhash,
+    tokenfile,
+    trie,
+    winnowing,
+)
 from logharbor.llm.common import documents
 from logharbor.session import prepare
 
@@ -95,3 +109,50 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(documents(spark, sf_dir))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation rebuilt with up to eight first turns of the one that its group of five begins with."""
+    conv = F.col("conv_id")
+    turns = trie.numbered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return trie.trie(*trie.shared_heads(turns, conv - conv % 5, F.crc32(conv.cast("string")) % 9, 8))
+
+
+@query
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of two turns full of control strings."""
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], given.schema)
+    rows = chat.format_conversations(given.unionByName(more))
+    turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    trained = F.array_join(F.transform(F.filter("turns", lambda t: t["role"].isin(*chat.TRAINED)), lambda t: t["text"]), "")
+    return rows.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+        F.char_length(trained).cast("bigint").alias("loss_chars"),
+        F.sha2(trained, 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+@query
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, a tenth of them with a period planted into their ends."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    start, period = g % F.col("_n"), 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + g % 8))
+    found = runs.with_runs(runs.with_planted_period(docs, h % 10 == 0, start, period))
+    rows = found.withColumn("_best", runs.strongest(F.col("runs")))
+    best = {c: F.col(f"_best.{c}") for c in ("start", "length", "period")}
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        *[v.alias(c) for c, v in best.items()],
+        F.floor(best["length"] * 1000 / best["period"]).alias("exponent_milli"),
+        F.sha2(runs.spelled(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

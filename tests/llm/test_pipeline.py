@@ -9,7 +9,7 @@ def test_each_operator_has_one_query():
     from __spark_entry__ import queries
 
     names = queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names
 
