@@ -22,6 +22,8 @@ are left behind. A conversation is one text, so it has to fit the 2 GB of a stri
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,16 +61,23 @@ def _sites(form: str) -> str:
 
 BARE = _sites("FIRSTREST")
 SITE = _sites(r"FIRST(?=\\*REST)")
-ESCAPED = _sites(r"(?<=FIRST)\\(?=\\*REST)")
+ESCAPED = _sites(r"(FIRST)\\(?=\\*REST)")
+
+
+def _may_hold_sites(text: Column) -> Column:
+    """False for texts without the first character of any control string; these need no regular expression."""
+    firsts = sorted({c[0] for c in CONTROLS})
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in firsts])
 
 
 def escape(text: Column) -> Column:
     """A backslash behind the first character of every control string, before those that stand there."""
-    return F.regexp_replace(text, F.lit(SITE), F.lit("$0" + r"\\"))
+    return F.when(_may_hold_sites(text), F.regexp_replace(text, F.lit(SITE), F.lit("$0" + r"\\"))).otherwise(text)
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, F.lit(ESCAPED), F.lit(""))
+    firsts = "".join(f"${i + 1}" for i in range(len({c[0] for c in CONTROLS})))
+    return F.when(_may_hold_sites(text), F.regexp_replace(text, F.lit(ESCAPED), F.lit(firsts))).otherwise(text)
 
 
 def escape_role(role: Column) -> Column:
@@ -89,7 +98,8 @@ def _body(inner: Column) -> Column:
     """(role, text) as they stand between the marks of a turn; null if a control string stands there."""
     cut_at = F.instr(inner, LINE)
     role, text = F.substring(inner, F.lit(1), cut_at - 1), F.substring(inner, cut_at + 1, F.char_length(inner))
-    return F.when((cut_at > 0) & ~F.rlike(inner, F.lit(BARE)), F.struct(role.alias("role"), text.alias("text")))
+    bare = _may_hold_sites(inner) & F.rlike(inner, F.lit(BARE))
+    return F.when((cut_at > 0) & ~bare, F.struct(role.alias("role"), text.alias("text")))
 
 
 def parse(formatted: Column) -> Column:
