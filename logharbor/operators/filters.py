@@ -47,9 +47,14 @@ def required_range(column: Column, low: Any, high: Any) -> Column:
     return column.between(F.lit(low), F.lit(high))
 
 
+def query_terms(query: str) -> list[str]:
+    """The distinct words of a query, lower-cased."""
+    return sorted({t for t in re.split(r"[^\w]+", query.lower()) if t})
+
+
 def match_any_term(column: Column, query: str) -> Column:
     """True when any word of the query occurs as a whole word in the text."""
-    terms = sorted({t for t in re.split(r"[^\w]+", query.lower()) if t})
+    terms = query_terms(query)
     if not terms:
         return F.lit(False)
     words = "|".join(re.escape(t) for t in terms)

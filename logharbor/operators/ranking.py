@@ -47,6 +47,17 @@ def rank_within(df: DataFrame, groups: Sequence[str], order: Sequence, name: str
     return _ranked(parts, offsets, groups, order, name)
 
 
+def running_sum(df: DataFrame, groups: Sequence[str], order: Sequence, value: str, name: str) -> DataFrame:
+    """Add the sum of value over a group's rows up to and with each one, in a total order; spread like rank_within."""
+    parts, _ = _ranged(df, groups, order)
+    sums = parts.groupBy(*groups, "_part").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sums.select(*groups, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy(*groups, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = parts.withColumn("_inside", F.sum(value).over(inside)).join(ahead, [*groups, "_part"])
+    return rows.withColumn(name, F.col("_ahead") + F.col("_inside")).drop("_part", "_inside", "_ahead")
+
+
 def slice_of(df: DataFrame, order: Sequence, offset: int = 0, limit: int | None = None) -> DataFrame:
     """Rows offset..offset+limit of the ordered data; without a limit all from offset on.
 

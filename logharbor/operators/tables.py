@@ -7,9 +7,13 @@ that changed.
 
 from __future__ import annotations
 
+import hashlib
+import sys
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timedelta
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +21,8 @@ from pyspark.sql import types as T
 from logharbor.operators.aggregates import latest
 from logharbor.operators.joins import keys_of
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def last_changes(changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One change per key, the last in ``order``: changes are applied one after the other."""
@@ -274,6 +280,49 @@ def reassemble(chunks: DataFrame, totals: DataFrame, key: str) -> DataFrame:
     return once.join(state, key)
 
 
+def assemble(chunks: DataFrame, totals: DataFrame, key: str, segment_bytes: int = 8 << 20) -> DataFrame:
+    """The bytes of every complete file, put together: (key, segment from 0, content, n_bytes, file_md5).
+
+    A file's chunks come to one task in numeric order, Arrow batch by Arrow batch. The task carries the MD5 over them and lets go of a
+    segment as soon as it is full, so it holds a batch and a segment of a file, never the file. n_bytes and file_md5, of the
+    whole file, are in its last segment. A file without bytes has one empty segment.
+    """
+    whole = reassemble(chunks, totals, key).filter("complete")
+    names = [key, "segment", "content", "n_bytes", "file_md5"]
+
+    def fold(batches):
+        file, digest, held, size, segment, length = None, None, [], 0, 0, 0
+
+        def out(last: bool):
+            columns = [[file], [segment], [b"".join(held)], [length if last else None], [digest.hexdigest() if last else None]]
+            kinds = [kind, pa.int32(), pa.binary(), pa.int64(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+        for batch in batches:
+            kind = batch.schema.field(key).type
+            for name, content in zip(batch.column(key).to_pylist(), batch.column("content").cast(pa.binary()).to_pylist(), strict=True):
+                if name != file or digest is None:
+                    if digest is not None:
+                        yield out(last=True)
+                    file, digest, held, size, segment, length = name, hashlib.md5(), [], 0, 0, 0
+                digest.update(content)
+                length += len(content)
+                at = 0
+                while len(content) - at > segment_bytes - size:
+                    cut_at = at + segment_bytes - size
+                    held.append(content[at:cut_at])
+                    yield out(last=False)
+                    at, held, size, segment = cut_at, [], 0, segment + 1
+                held.append(content[at:])
+                size += len(content) - at
+        if digest is not None:
+            yield out(last=True)
+
+    ordered = whole.select(key, "chunk_number", "content").repartition(key).sortWithinPartitions(key, "chunk_number")
+    ddl = f"{key} {whole.schema[key].dataType.simpleString()}, segment INT, content BINARY, n_bytes BIGINT, file_md5 STRING"
+    return ordered.select(key, "content").mapInArrow(fold, ddl)
+
+
 def leftover_chunks(chunks: DataFrame, assembled: DataFrame, key: str) -> DataFrame:
     """Chunk rows to keep: those of files that are not complete."""
     return chunks.join(assembled.filter("complete").select(key).distinct(), key, "left_anti")

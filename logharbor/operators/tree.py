@@ -7,11 +7,13 @@ ids and is written to the shared folder, which keeps plans short and lets lost e
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logharbor.operators.joins import keys_of
-from logharbor.session import load, save
+from logharbor.session import cut, load, save
 
 CYCLE = "the parent column holds a cycle"
 
@@ -105,31 +107,49 @@ def descendants(nodes: DataFrame, ident: str, parent: str, of: Column) -> DataFr
     return _of_roots(pairs, nodes, ident, parent)
 
 
+def along_ancestors(rows: DataFrame, combine: Callable[[Column, Column], Column]) -> DataFrame:
+    """(id, value) where value is combined over all nodes from the top down to each one, by doubling.
+
+    rows (id, up, value) holds every ``up``, null at the tops; combine(above, own) is associative. After r rounds a value
+    covers 2^r nodes, and nodes whose values have come to the top are only looked up.
+    """
+    rows = cut(rows.select("id", "up", "value"))
+    count, reach = rows.count(), 1
+    open_, done = rows.filter("up IS NOT NULL"), rows.filter("up IS NULL")
+    while not open_.isEmpty():
+        if reach > count:
+            raise ValueError(CYCLE)  # a path cannot have more steps than there are nodes
+        every = done.unionByName(open_)
+        above = every.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("value").alias("_value"))
+        value = combine(F.col("_value"), F.col("value")).alias("value")
+        further = cut(open_.join(above, "up").select("id", F.col("_up").alias("up"), value))
+        done = done.unionByName(further.filter("up IS NULL"))
+        open_, reach = further.filter("up IS NOT NULL"), reach * 2
+    return done.select("id", "value")
+
+
 def forest(nodes: DataFrame, ident: str, parent: str, sort: str) -> DataFrame:
     """Each node with its depth, its path from the root, and whether a root reaches it.
 
-    ``path`` is an array of (sort, id) from the root on, so ordering by it is the depth-first order
+    ``path`` is an array of (sort, id) from the root on, put together by doubling, so ordering by it is the depth-first order
     with siblings by (sort, id). A node below a missing parent is kept with reached = false.
     """
-    steps = with_self(closure(nodes, ident, parent), nodes, ident)
-    labels = nodes.select(
-        F.col(ident).alias("ancestor"),
-        F.struct(F.col(sort).alias("sort"), F.col(ident).alias("id")).alias("step"),
-        (F.col(parent) == 0).alias("is_root"),
-    )
-    # A path holds one element per level, so its length is bounded by the depth.
-    paths = (
-        steps.join(labels, "ancestor")
-        .groupBy(F.col("descendant").alias(ident))
-        .agg(
-            F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("up"), "step"))).alias("steps"),
-            F.max("depth").alias("depth"),
-            F.bool_or("is_root").alias("reached"),
-        )
-    )
-    return nodes.join(
-        paths.select(ident, "depth", F.transform("steps", lambda s: s["step"]).alias("path"), "reached"), ident
+    known = keys_of(nodes, ident).select(F.col(ident).alias("_up"))
+    step = F.array(F.struct(F.col(sort).alias("sort"), F.col(ident).alias("id")))
+    value = F.struct(step.alias("path"), F.coalesce(F.col(parent) == 0, F.lit(False)).alias("reached"))
+    rows = nodes.select(F.col(ident).alias("id"), F.col(parent).alias("_parent"), value.alias("value"))
+    rows = rows.join(known, F.col("_parent") == F.col("_up"), "left").select("id", F.col("_up").alias("up"), "value")
+
+    def combine(above: Column, own: Column) -> Column:
+        return F.struct(F.concat(above["path"], own["path"]).alias("path"), above["reached"].alias("reached"))
+
+    found = along_ancestors(rows, combine).select(
+        F.col("id").alias(ident),
+        (F.size("value.path") - 1).alias("depth"),
+        F.col("value.path").alias("path"),
+        F.col("value.reached").alias("reached"),
     )
+    return nodes.join(found, ident)
 
 
 def linked_forest(nodes: DataFrame, links: DataFrame, ident: str, parent: str, sort: str) -> DataFrame:

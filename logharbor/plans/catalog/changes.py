@@ -12,7 +12,7 @@ from logharbor.plans.catalog.base import REPORT_DAY, THRESHOLDS, Tables, query,
 from logharbor.plans.catalog.rollups import REPORT_SQL
 from logharbor.plans.export import Join, Template, export, titles
 from logharbor.plans.inspection import inspection_report
-from logharbor.sinks import daily, report, titled
+from logharbor.sinks import daily, files, report, titled
 
 ORDER = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 
@@ -96,6 +96,46 @@ def k04_upsert(t: Tables):
     return t.spark.read.parquet(out).select(F.date_format("ingest_date", "yyyy-MM-dd").alias("ingest_date"), "doc_id", "value")
 
 
+@query(
+    "k04_files_upsert",
+    """SELECT strftime(ts, '%Y-%m-%d') AS ingest_date, concat('e', event_id) AS doc_id,
+      CASE WHEN event_type = 'error' THEN value + 1 ELSE value END AS value FROM events
+    WHERE ts < TIMESTAMP '2024-01-29' OR event_type = 'error'""",
+)
+def k04_files(t: Tables):
+    path = t.scratch("file-table")
+    docs = dated_events(t).withColumn("doc_id", F.concat(F.lit("e"), F.col("event_id"))).select("ingest_date", "doc_id", "value", "event_type")
+    columns = ["ingest_date", "doc_id", "value"]
+    files.create(docs.filter("ingest_date < '2024-01-29'").select(*columns), path, "doc_id", "ingest_date", 40)
+    changes = docs.filter("event_type = 'error'").select("ingest_date", "doc_id", (F.col("value") + 1).alias("value"))
+    # Each change comes twice, the first time with another value.
+    twice = changes.withColumns({"value": F.col("value") - 5, "seq": F.lit(1)}).unionByName(changes.withColumn("seq", F.lit(2)))
+    files.upsert(twice, path, "doc_id", "ingest_date", ["seq"])
+    return files.read(t.spark, path)
+
+
+@query(
+    "k02_conflict_retry",
+    "SELECT strftime(ts, '%Y-%m-%d') AS ingest_date, concat('e', event_id) AS doc_id,"
+    " CASE WHEN event_type = 'click' THEN value + 1 WHEN event_type = 'view' THEN value + 2 ELSE value END AS value FROM events",
+)
+def k02_conflict(t: Tables):
+    path = t.scratch("two-writers")
+    docs = dated_events(t).withColumn("doc_id", F.concat(F.lit("e"), F.col("event_id"))).select("ingest_date", "doc_id", "value", "event_type")
+    files.create(docs.select("ingest_date", "doc_id", "value"), path, "doc_id", "ingest_date", 8)
+
+    def changed(kind, more):
+        return docs.filter(F.col("event_type") == kind).select("ingest_date", "doc_id", (F.col("value") + more).alias("value"), F.lit(1).alias("seq"))
+
+    # Both writers start from version 0; the second one is told of the conflict and starts again from what the first made.
+    files.upsert(changed("click", 1), path, "doc_id", "ingest_date", ["seq"], base=0)
+    try:
+        files.upsert(changed("view", 2), path, "doc_id", "ingest_date", ["seq"], base=0)
+    except files.VersionConflict:
+        files.upsert_retrying(changed("view", 2), path, "doc_id", "ingest_date", ["seq"])
+    return files.read(t.spark, path)
+
+
 @query(
     "k05_report_sink",
     f"""SELECT '2024-02-02 00:00:00' AS date, 'search' AS business, 'slow-log' AS kind, sqlhash, "MaxExecutionTime" AS max_time,
@@ -397,6 +437,22 @@ def k24(t: Tables):
     return k.reassemble(repeated, totals, "conv_id")
 
 
+@query(
+    "k24_whole_files",
+    """WITH whole AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS body FROM conversations GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'system') = 0)
+    SELECT conv_id, octet_length(encode(body)) AS n_bytes, md5(body) AS file_md5, cast(greatest(ceil(octet_length(encode(body)) / 1000.0), 1) AS BIGINT) AS segments
+    FROM whole""",
+)
+def k24_whole(t: Tables):
+    chunks = t.conversations.select(
+        "conv_id", F.col("turn").alias("chunk_number"), F.col("text").alias("content"),
+        F.when(F.col("role") == "system", F.lit("broken")).otherwise(F.md5("text")).alias("chunk_md5"),
+    )
+    totals = t.conversations.groupBy("conv_id").agg(F.count("*").alias("chunk_total"))
+    parts = k.assemble(chunks.unionByName(chunks.filter("chunk_number = 1")), totals, "conv_id", 1000)
+    return parts.groupBy("conv_id").agg(F.max("n_bytes").alias("n_bytes"), F.max("file_md5").alias("file_md5"), F.count("*").alias("segments"))
+
+
 @query(
     "k24_leftover_chunks",
     """SELECT conv_id, turn AS chunk_number FROM conversations a WHERE EXISTS

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logharbor.operators.documents import parse_dump
+from logharbor.operators.ranking import rank_within
 from logharbor.plans.catalog.base import QUERY_TEXT_SPARK, Tables, event_millis, query
 from logharbor.plans.export import Template
 from logharbor.sinks.titled import write_titled
-from logharbor.sources import imports, landed, tables
+from logharbor.sources import imports, landed, paged, tables
+from logharbor.streaming import ingest
 
 JANUARY_END = 1706745600000
 MONTH_MINUTES = 31 * 24 * 60
@@ -85,6 +87,66 @@ def s02(t: Tables):
     return landed.read_vendor_b(t.spark, path).select("cluster", "node", F.md5("content").alias("line_hash"))
 
 
+PAGE = 50
+
+
+def land_pages(records, keys, order, path, pull, spoilt=None):
+    """Write rows as the pages of a pull, PAGE records each, those that ``spoilt`` names cut off, and mark it as landed."""
+    ranked = rank_within(records, keys, order, "_rank").withColumn("page", F.floor((F.col("_rank") - 1) / PAGE) + 1)
+    # A page is the group, so its records are bounded.
+    found = F.sort_array(F.collect_list(F.struct("_rank", F.struct(*records.columns).alias("record"))))
+    answers = ranked.groupBy(*keys, "page").agg(F.to_json(F.struct(F.transform(found, lambda r: r["record"]).alias("Result"))).alias("value"))
+    if spoilt is not None:
+        answers = answers.withColumn("value", F.when(spoilt, F.substring("value", F.lit(1), F.length("value") - 5)).otherwise(F.col("value")))
+    answers.withColumn("pull", F.lit(pull)).write.mode("append").partitionBy("pull", *keys, "page").text(path)
+    paged.mark_done(path, pull)
+
+
+@query(
+    "s01_paged_vendor_a",
+    """SELECT concat('es-', user_id % 50) AS instance_id, epoch_us(ts) // 1000 AS stamp, event_type AS index_name, value AS search_ms, NULL AS broken
+    FROM events WHERE user_id % 50 <> 3 AND epoch_us(ts) // 1000 BETWEEN 1704067200000 AND 1706745600000
+    UNION ALL SELECT DISTINCT 'es-3', cast(NULL AS BIGINT), NULL, cast(NULL AS DOUBLE), 'page 1' FROM events WHERE user_id % 50 = 3""",
+)
+def s01_paged(t: Tables):
+    path = t.scratch("pages-a")
+    name = F.concat(F.lit("es-"), F.regexp_extract("instanceId", "[0-9]+", 0).cast("bigint") % 50)
+    rows = vendor_a_rows(t).withColumn("instanceId", name)
+    land_pages(rows, ["instanceId"], ["contentCollection.search_total_hits"], path, JANUARY_END, F.expr("instanceId = 'es-3' AND page = 1"))
+    start, end = landed.look_back(JANUARY_END, MONTH_MINUTES)
+    pulled = paged.register(t.spark).read.format("paged_logs").options(path=path, begin=start, end=end).load()
+    return pulled.select(
+        F.col("instanceId").alias("instance_id"),
+        F.col("timestamp").alias("stamp"),
+        F.col("contentCollection.index_name").alias("index_name"),
+        F.col("contentCollection.search_time_ms").cast("double").alias("search_ms"),
+        F.split("error", ":")[0].alias("broken"),
+    )
+
+
+@query(
+    "s02_paged_vendor_b",
+    "SELECT source AS cluster, lang AS node, md5(text) AS line_hash FROM documents WHERE n_chars >= 400",
+)
+def s02_paged(t: Tables):
+    path, out = t.scratch("pages-b"), t.scratch("pulled-b")
+    keys = ["cluster", "node"]
+    lines = t.documents.select(
+        "doc_id",
+        F.col("text").alias("content"),
+        F.when(F.col("n_chars") >= 400, "WARN").otherwise("INFO").alias("level"),
+        F.col("source").alias("cluster"),
+        F.col("lang").alias("node"),
+    )
+    schema = f"content STRING, level STRING, cluster STRING, node STRING, {paged.ADDED}"
+    # Two pulls; the stream takes up each from where the one before ended.
+    for pull in (1, 2):
+        land_pages(lines.filter(F.col("doc_id") % 2 == pull - 1), keys, ["doc_id"], path, pull)
+        pages = paged.register(t.spark).readStream.format("paged_logs").schema(schema).option("path", path).load()
+        ingest.append(pages.filter("level = 'WARN'"), out, f"{out}-checkpoint").awaitTermination()
+    return t.spark.read.parquet(out).select("cluster", "node", F.md5("content").alias("line_hash"))
+
+
 @query(
     "s03_data_nodes",
     "SELECT cast(conv_id AS VARCHAR) AS cluster, concat('node-', turn) AS node FROM conversations WHERE role = 'assistant'",

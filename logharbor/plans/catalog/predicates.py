@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logharbor.operators import filters as f
-from logharbor.operators import quality
+from logharbor.operators import quality, textindex
 from logharbor.plans.catalog.base import DOCS_SQL, THRESHOLDS, Tables, query, slow_docs
 from logharbor.plans.search import search_page
 from logharbor.sources.landed import spread
@@ -109,6 +109,29 @@ def f10(t: Tables):
     return spread(t.documents).filter(f.match_any_term(F.col("text"), "There, OTHER eaux that")).select("doc_id")
 
 
+@query(
+    "f10_term_index",
+    r"""WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x IN ('there', 'other', 'eaux', 'that'))) AS hit FROM documents)
+    SELECT doc_id, cast(len(hit) AS INT) AS hits FROM w WHERE len(hit) > 0""",
+)
+def f10_index(t: Tables):
+    path = t.scratch("terms")
+    textindex.build_index(spread(t.documents), path, "doc_id", "text")
+    return textindex.search_any(t.spark, path, "There, OTHER eaux that").withColumnRenamed("id", "doc_id")
+
+
+@query(
+    "f10_phrase",
+    r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS words FROM documents),
+    spots AS (SELECT doc_id, words, unnest(range(1, len(words))) AS i FROM w)
+    SELECT doc_id, cast(count(*) AS INT) AS times FROM spots WHERE words[i] = 'the' AND words[i + 1] = 'on' GROUP BY doc_id""",
+)
+def f10_phrase(t: Tables):
+    path = t.scratch("terms")
+    textindex.build_index(spread(t.documents), path, "doc_id", "text")
+    return textindex.search_phrase(t.spark, path, "the ON").withColumnRenamed("id", "doc_id")
+
+
 DICTIONARY_SQL = (
     "SELECT cast(c_custkey AS BIGINT) AS id, c_mktsegment AS type, c_name AS name, c_acctbal >= 0 AS status FROM customer"
 )

@@ -11,7 +11,8 @@ from logharbor.plans.catalog.base import DOCS_SQL, QUERY_TEXT_DUCK, QUERY_TEXT_S
 from logharbor.plans.catalog.landing import DUMP_END, vendor_a_rows
 from logharbor.plans.catalog.rollups import MEAN, SLOW_SQL
 from logharbor.sources.landed import accepted, stream_dumps
-from logharbor.streaming import audit, ingest, limiter, report
+from logharbor.session import rocksdb
+from logharbor.streaming import audit, ingest, late, limiter, metrics, report
 
 
 class StreamTables(Tables):
@@ -71,6 +72,32 @@ def t03(t: Tables):
     return accepted(t.events, "ts", pull.cast("timestamp_ntz"), 2 * 24 * 60).select("event_id")
 
 
+# Pulls end at these days; every seventh event comes ten days, every eleventh one day late.
+PULLS = ("2024-01-11", "2024-01-21", "2099-01-01")
+ARRIVED_SQL = "ts + CASE WHEN event_id % 7 = 0 THEN INTERVAL {0} WHEN event_id % 11 = 0 THEN INTERVAL {1} ELSE INTERVAL {2} END"
+DELAY_DAYS = 2
+
+
+@query(
+    "t03_late_rows_stream",
+    f"""WITH landed AS (SELECT event_id, ts, CASE {" ".join(f"WHEN arrived < TIMESTAMP '{d}' THEN {i}" for i, d in enumerate(PULLS))} END AS batch
+      FROM (SELECT *, {ARRIVED_SQL.format("'10 days'", "'1 day'", "'0 days'")} AS arrived FROM events)),
+    newest AS (SELECT b.batch, max(a.ts) AS newest FROM (SELECT DISTINCT batch FROM landed) b JOIN landed a ON a.batch < b.batch GROUP BY ALL)
+    SELECT event_id, cast(batch AS INT) AS batch, coalesce(ts < newest - INTERVAL '{DELAY_DAYS} days', false) AS late FROM landed LEFT JOIN newest USING (batch)""",
+)
+def t03_late(t: Tables):
+    arrived = F.expr(ARRIVED_SQL.format("10 DAYS", "1 DAY", "0 DAYS"))
+    path, source = t.scratch("late"), t.scratch("late-files")
+    events, since = t.events.withColumn("arrived", arrived), "1970-01-01"
+    for until in PULLS:
+        pulled = events.filter((F.col("arrived") >= F.lit(since).cast("timestamp_ntz")) & (F.col("arrived") < F.lit(until).cast("timestamp_ntz")))
+        pulled.write.mode("append").parquet(source)
+        stream = ingest.file_stream(t.spark, source, pulled.schema)
+        late.mark_late(stream, path, f"{path}-checkpoint", "ts", DELAY_DAYS * 24 * 60).awaitTermination()
+        since = until
+    return late.marked_rows(t.spark, path).select("event_id", F.col("batch").cast("int").alias("batch"), "late")
+
+
 LIMIT, EXPIRE = 2, 6 * 3600
 
 
@@ -92,6 +119,23 @@ def t04(t: Tables):
     )
 
 
+@query("t04_limiter_stream", LIMITER_SQL)
+def t04_stream(t: Tables):
+    path, source = t.scratch("verdicts"), t.scratch("requests")
+    at = F.expr("unix_micros(cast(ts AS timestamp))")
+    requests, since = t.events.select(F.col("user_id").alias("key"), at.alias("at"), F.col("event_id").alias("ident"), "ts"), "1970-01-01"
+    with rocksdb(t.spark):
+        for until in PULLS:
+            day = F.col("ts") >= F.lit(since).cast("timestamp_ntz")
+            requests.filter(day & (F.col("ts") < F.lit(until).cast("timestamp_ntz"))).drop("ts").write.mode("append").parquet(source)
+            stream = ingest.file_stream(t.spark, source, requests.drop("ts").schema)
+            ingest.append(limiter.limit_stream(stream, LIMIT, EXPIRE), path, f"{path}-checkpoint").awaitTermination()
+            since = until
+    return t.spark.read.parquet(path).select(
+        F.col("ident").alias("event_id"), F.col("key").alias("user_id"), "window_start", "accepted"
+    )
+
+
 @query(
     "t05_daily_inspection",
     f"""WITH {DOCS_SQL}, {SLOW_SQL} SELECT strftime(ts, '%Y-%m-%d') AS day, "checkSum" AS check_sum, count(*) AS doc_count,
@@ -176,3 +220,30 @@ def t08(t: Tables):
     )
     ingest.append(audit.audit_records(requests), path, f"{path}-checkpoint").awaitTermination()
     return t.spark.read.parquet(path).select(F.col("ip").cast("bigint").alias("page_id"), "method", "body", "latency")
+
+
+@query(
+    "a11_ingest_metrics",
+    """WITH e AS (SELECT concat('es-', user_id % 50) AS instance, CASE WHEN event_type = 'error' THEN 'cut off'
+        WHEN value < 1 THEN 'too short' WHEN user_id % 50 = 3 THEN 'unknown instance' END AS reason,
+        CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0 WHEN ts < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS batch FROM events)
+    SELECT instance, reason, cast(batch AS INT) AS batch, count(*) FILTER (WHERE reason IS NULL) AS succeeded, count(reason) AS failed FROM e GROUP BY ALL""",
+)
+def a11_stream(t: Tables):
+    path, source, since = t.scratch("counted"), t.scratch("counted-files"), "1970-01-01"
+    reason = (
+        F.when(F.col("event_type") == "error", "cut off")
+        .when(F.col("value") < 1, "too short")
+        .when(F.col("instance") == "es-3", "unknown instance")
+    )
+
+    def named(batch):
+        return batch.withColumn("instance", F.concat(F.lit("es-"), F.col("user_id") % 50))
+
+    for until in PULLS:
+        day = (F.col("ts") >= F.lit(since).cast("timestamp_ntz")) & (F.col("ts") < F.lit(until).cast("timestamp_ntz"))
+        t.events.filter(day).write.mode("append").parquet(source)
+        stream = ingest.file_stream(t.spark, source, t.events.schema)
+        metrics.ingest_counted(stream, path, f"{path}-checkpoint", "instance", reason, named).awaitTermination()
+        since = until
+    return metrics.metrics(t.spark, path).select("instance", "reason", "batch", "succeeded", "failed")

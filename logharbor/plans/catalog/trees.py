@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logharbor.operators import tree
+from logharbor.operators import tree, treelabels
 from logharbor.plans.catalog.base import CLOSURE_SQL, NODES_SQL, Tables, nodes, query
 
 
@@ -111,3 +111,63 @@ def h08(t: Tables):
     owners = t.customer.select("c_custkey", F.lit("1-URGENT").alias("home"))
     links = t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority")
     return tree.landing(owners, "home", links, "c_custkey", "o_orderpriority")
+
+
+# --- the same questions answered from interval labels ---------------------------------------
+
+# Paths of zero-padded steps, so that text order is the order of siblings.
+_PADDED = "printf('%012d:%020d', {0}sort, {0}id)"
+LABELS_SQL = f"""RECURSIVE nodes AS ({NODES_SQL}), walk AS (
+      SELECT id, 0 AS depth, {_PADDED.format('')} AS path FROM nodes WHERE parent_id = 0
+      UNION ALL SELECT n.id, w.depth + 1, concat(w.path, '/', {_PADDED.format('n.')}) FROM walk w JOIN nodes n ON n.parent_id = w.id),
+    up AS (SELECT id AS descendant, parent_id AS ancestor FROM nodes WHERE parent_id <> 0
+      UNION ALL SELECT up.descendant, n.parent_id FROM up JOIN nodes n ON n.id = up.ancestor WHERE n.parent_id <> 0),
+    sizes AS (SELECT ancestor AS id, count(*) AS below FROM up GROUP BY ALL)"""
+
+
+def _labels(t: Tables):
+    return treelabels.labels(nodes(t), "id", "parent_id", "sort")
+
+
+@query(
+    "h01_tree_labels",
+    f"""WITH {LABELS_SQL}, toured AS (SELECT id, depth, row_number() OVER (ORDER BY path) - 1 AS enter FROM walk)
+    SELECT id, depth, enter, enter + coalesce(below, 0) AS leave FROM toured LEFT JOIN sizes USING (id)""",
+)
+def h01_labels(t: Tables):
+    return _labels(t).select("id", "depth", "enter", "leave")
+
+
+@query("h01_closure_from_labels", f"WITH {CLOSURE_SQL} SELECT ancestor, descendant, depth FROM up")
+def h01_from_labels(t: Tables):
+    return treelabels.closure_of(_labels(t))
+
+
+@query(
+    "h04_scope_from_labels",
+    f"""WITH {CLOSURE_SQL}, reach AS (SELECT ancestor, descendant FROM up UNION ALL SELECT id, id FROM nodes WHERE parent_id = 0),
+    asked AS (SELECT cast(1 + c_nationkey % 5 AS BIGINT) AS caller, cast(1000 + o_custkey AS BIGINT) AS target FROM orders JOIN customer ON c_custkey = o_custkey
+      UNION ALL SELECT id, id FROM nodes)
+    SELECT caller, target FROM asked WHERE (caller, target) IN (SELECT (ancestor, descendant) FROM reach)""",
+)
+def h04_from_labels(t: Tables):
+    asked = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select(
+        (F.col("c_nationkey") % 5 + 1).cast("bigint").alias("caller"), (F.col("o_custkey") + 1000).alias("target")
+    )
+    own = nodes(t).select(F.col("id").alias("caller"), F.col("id").alias("target"))
+    return treelabels.in_scope(asked.unionByName(own), _labels(t))
+
+
+@query(
+    "h07_views_from_labels",
+    f"""WITH {CLOSURE_SQL} SELECT 'strict root' AS mode, id FROM (SELECT 2 AS id UNION ALL {_below('2')})
+    UNION ALL SELECT 'strict inner', id FROM ({_below('104')})
+    UNION ALL SELECT 'loose', id FROM nodes""",
+)
+def h07_from_labels(t: Tables):
+    n, labelled = nodes(t), _labels(t)
+
+    def seen(mode, caller, strict):
+        return treelabels.visible(n, labelled, "id", caller, strict).select(F.lit(mode).alias("mode"), "id")
+
+    return seen("strict root", 2, True).unionByName(seen("strict inner", 104, True)).unionByName(seen("loose", 104, False))

@@ -127,25 +127,30 @@ def limit_requests(
 
 
 class Limiter(StatefulProcessor):
-    """Streaming form: the open window and its count are the state of a key."""
+    """Streaming form: the open window and its count are the state of a key, kept until the watermark passes the window's end."""
 
     def __init__(self, limit: int, expire: float):
         self.limit = max(limit, 1)
         self.span = int(expire * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.window = handle.getValueState(
             "window",
             T.StructType([T.StructField("start", T.LongType()), T.StructField("taken", T.LongType())]),
         )
 
+    def _over(self, start: int) -> int:
+        """The millisecond from which a window is over for good."""
+        return -(-(start + self.span) // 1000)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # A key's requests of one micro-batch, which the trigger bounds; one step per window, not per row.
         batch = pd.concat(list(rows)).sort_values(["at", "ident"])
         at, n = batch["at"].to_numpy(), len(batch)
         starts, ranks = np.zeros(n, np.int64), np.zeros(n, np.int64)
         start, taken = self.window.get() if self.window.exists() else (None, 0)
-        begin = 0
+        held, begin = start, 0
         while begin < n:
             if start is None or at[begin] >= start + self.span:
                 start, taken = int(at[begin]), 0
@@ -154,6 +159,10 @@ class Limiter(StatefulProcessor):
             ranks[begin:end] = taken + np.arange(end - begin)
             taken, begin = min(self.limit, taken + end - begin), end
         self.window.update((start, int(taken)))
+        if held != start:
+            if held is not None:
+                self.handle.deleteTimer(self._over(held))
+            self.handle.registerTimer(self._over(start))
         yield pd.DataFrame(
             {
                 "key": batch["key"].to_numpy(),
@@ -163,22 +172,29 @@ class Limiter(StatefulProcessor):
             }
         )
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # No request inside the window can arrive any more; the next one opens a new window in any case.
+        self.window.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def limit_stream(stream: DataFrame, limit: int, expire: float) -> DataFrame:
-    """Limiter over a stream of (key, at, ident); needs the RocksDB state store.
+def limit_stream(stream: DataFrame, limit: int, expire: float, delay: str = "0 seconds") -> DataFrame:
+    """Limiter over a stream of (key, at in microseconds, ident); needs the RocksDB state store.
 
-    A key's state is two numbers and stays: dropping it by processing time would keep an available-now
-    run from ending, as Spark then always plans another batch.
+    Requests of a micro-batch are taken in order of (at, ident), micro-batches as they come. A request more than
+    ``delay`` older than the newest one of the micro-batches before is late and lost. A key's state goes when the
+    watermark has passed the end of its window, so only keys with an open window have any.
     """
     kinds = dict(stream.dtypes)
-    return stream.groupBy("key").transformWithStateInPandas(
+    timed = stream.select("key", "at", "ident", F.timestamp_micros("at").alias("event_time")).withWatermark("event_time", delay)
+    return timed.groupBy("key").transformWithStateInPandas(
         statefulProcessor=Limiter(limit, expire),
         outputStructType=T.StructType.fromDDL(
             f"key {kinds['key']}, ident {kinds['ident']}, window_start BIGINT, accepted BOOLEAN"
         ),
         outputMode="append",
-        timeMode="none",
+        timeMode="eventTime",
     )
