@@ -7,6 +7,12 @@ Testing every request against every pattern of its role would be a nested loop
 inside each role. Instead a pattern is described by its shape (which segments
 are literal) and the text of its literal segments. A request is looked up once
 per shape that fits its length, by equality on role, method, shape and literals.
+
+Patterns with regular-expression characters in a literal segment or with an inner wildcard are irregular. What they say before
+the first and behind the last irregular segment still has to stand there, so these are looked up by the shape and literals of
+both ends; those of wildcards only whose ends say nothing go by their longest inner segment. The regular expression is
+tested on what is found. Only patterns whose ends prove nothing (alternatives, escapes, inline flags) are compared within
+their role and method.
 """
 
 from __future__ import annotations
@@ -61,16 +67,64 @@ def _indexed(policies: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.array_join(_shape(F.col("_seg")), "").alias("_shape"),
         _literals(F.col("_seg"), _shape(F.col("_seg"))).alias("_key"),
     )
-    irregular = rows.filter("NOT _tidy").select("role", "method", F.col("path").alias("pattern"))
-    return regular, irregular
+    return regular, rows.filter("NOT _tidy").select("role", "method", F.col("path").alias("pattern"), "_seg")
+
+
+def _plain(segment: Column) -> Column:
+    return F.rlike(segment, F.lit(_PLAIN)) | F.rlike(segment, F.lit(_PARAM))
+
+
+def _ends_key(head: Column, head_shape: Column, tail: Column, tail_shape: Column) -> Column:
+    return F.concat_ws("//", _literals(head, head_shape), _literals(tail, tail_shape))
+
+
+def _by_ends(irregular: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Irregular patterns (by the shape of their ends, by an inner segment, the rest)."""
+    odd = F.transform("_seg", lambda s: ~_plain(s))
+    rows = irregular.withColumn("_first", F.array_position(odd, True) - 1)
+    rows = rows.withColumn("_last", F.size("_seg") - F.array_position(F.reverse(odd), True))
+    length = (F.col("_last") - F.col("_first") + 1).cast("int")
+    rows = rows.withColumn("_middle", F.slice("_seg", F.greatest(F.col("_first") + 1, F.lit(1)).cast("int"), length))
+    # Alternatives, escapes and flags reach beyond their segment.
+    loose = F.exists("_middle", lambda s: F.rlike(s, F.lit(r"[|\\]|\(\?")))
+    # A quantifier at the beginning of a segment belongs to the slash before it, and so to the segment before that.
+    quantified = F.rlike(F.element_at("_middle", 1), F.lit(r"^[?+{]"))
+    held = F.when(quantified, F.greatest(F.col("_first") - 1, F.lit(0))).otherwise(F.col("_first")).cast("int")
+    rows = rows.withColumns({"_loose": loose, "_head": F.slice("_seg", F.lit(1), held)})
+    rows = rows.withColumn("_tail", F.slice("_seg", (F.col("_last") + 2).cast("int"), F.size("_seg")))
+    said = F.filter(F.concat("_head", "_tail"), lambda s: (s != "") & ~F.rlike(s, F.lit(_PARAM)))
+    stars = F.forall("_middle", lambda s: (s == "*") | _plain(s))
+    inner = F.filter("_middle", lambda s: (s != "") & F.rlike(s, F.lit(_PLAIN)))
+    longest = F.array_max(F.transform(inner, lambda s: F.struct(F.length(s), s.alias("s"))))["s"]
+    rows = rows.withColumn("_inner", F.when(~F.col("_loose") & (F.size(said) == 0) & stars, longest))
+    heads, tails = _shape(F.col("_head")), _shape(F.col("_tail"))
+    ends = rows.filter("NOT _loose AND _inner IS NULL").select(
+        "role", "method", "pattern",
+        F.concat_ws("|", F.array_join(heads, ""), F.array_join(tails, "")).alias("_shape"),
+        _ends_key(F.col("_head"), heads, F.col("_tail"), tails).alias("_key"),
+    )
+    columns = ["role", "method", "pattern"]
+    return ends, rows.filter("_inner IS NOT NULL").select(*columns, "_inner"), rows.filter("_loose").select(*columns)
+
+
+def _found_by_ends(segmented: DataFrame, ends: DataFrame) -> DataFrame:
+    """Requests (role, path, method, _seg) with the patterns that have their ends."""
+    kinds = [F.filter(F.split(F.split("_shape", r"\|")[i], ""), lambda k: k != "") for i in (0, 1)]
+    shapes = ends.select("_shape").distinct().select("_shape", kinds[0].alias("_h"), kinds[1].alias("_t"))
+    shapes = shapes.withColumn("_size", F.size("_h") + F.size("_t"))
+    sizes = segmented.withColumn("_size", F.explode(F.sequence(F.lit(0), F.size("_seg"))))
+    head = F.slice("_seg", F.lit(1), F.size("_h"))
+    # Also where Spark looks at it for rows that do not count.
+    tail = F.slice("_seg", F.greatest(F.size("_seg") - F.size("_t") + 1, F.lit(1)), F.size("_t"))
+    keyed = sizes.join(shapes, "_size").withColumn("_key", _ends_key(head, F.col("_h"), tail, F.col("_t")))
+    return keyed.join(ends, ["role", "method", "_shape", "_key"])
 
 
 def match_policies(requests: DataFrame, policies: DataFrame) -> DataFrame:
     """Every (request, pattern) pair that matches.
 
     ``requests`` needs role, path and method; ``policies`` the same with path as
-    the pattern. Irregular patterns (regular-expression characters in literal
-    segments, inner wildcards) are compared within their role and method.
+    the pattern.
     """
     regular, irregular = _indexed(policies)
     open_ended = F.endswith("_shape", F.lit("*"))
@@ -88,12 +142,16 @@ def match_policies(requests: DataFrame, policies: DataFrame) -> DataFrame:
         .filter(path_matches(F.col("path"), F.col("pattern")))
         .select(*requests.columns, "pattern")
     )
-    odd = (
-        requests.join(irregular, ["role", "method"])
-        .filter(path_matches(F.col("path"), F.col("pattern")))
-        .select(*requests.columns, "pattern")
-    )
-    return found.unionByName(odd)
+    ends, inner, rest = _by_ends(irregular)
+    parts = segmented.withColumn("_inner", F.explode(F.array_distinct("_seg")))
+    for met in (
+        _found_by_ends(segmented, ends),
+        parts.join(inner, ["role", "method", "_inner"]),
+        requests.join(rest, ["role", "method"]),
+    ):
+        fits = met.filter(path_matches(F.col("path"), F.col("pattern")))
+        found = found.unionByName(fits.select(*requests.columns, "pattern"))
+    return found
 
 
 def allowed(requests: DataFrame, policies: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ def plain_match(path, pattern):
     import re
 
     regex = re.sub(r":[^/]+", "[^/]+", pattern.replace("/*", "/.*"))
-    return re.fullmatch(regex, path) is not None
+    return re.search(rf"^{regex}\Z", path) is not None
 
 
 def test_policies_against_brute_force(spark):
@@ -122,6 +122,32 @@ def test_policies_against_brute_force(spark):
     assert allowed == {w[:3] for w in want}
 
 
+def test_irregular_patterns_by_their_ends(spark):
+    rng = random.Random(9)
+    words = ["a", "b", "ab", "x1", "mid", "", "a.b"]
+    paths = {"/" + "/".join(rng.choice(words) for _ in range(rng.randint(1, 5))) for _ in range(150)} | {"/ab", "/a", "/b/x1"}
+    patterns = [
+        "/*/b", "/a/*/b", "/a/*/mid/*", "/*/mid/*", "/*/mid/*/*", "/:p/*/x1", "/a/?b", "/a/+b", "/(a/b)?/x1", "/(a/mid/)?b", "/a|/b",
+        "/a.b/x1", "/[ab]/:q/*", "/(?=a)a/b", "/a\\/b", "/.*/b", "/*/*", "/a/x1?", "/a*/b", "/a/{0,1}b", "/:p/:q/*/b", "//*/a", "/*/",
+    ]
+    requests = spark.createDataFrame([("u", p, "GET") for p in sorted(paths)], "role string, path string, method string")
+    policies = spark.createDataFrame([("u", p, "GET") for p in patterns], "role string, path string, method string")
+    want = sorted((p, t) for p in paths for t in patterns if plain_match(p, t))
+    assert rows(policy.match_policies(requests, policies), "path", "pattern") == want and len(want) > 100
+
+
+def test_many_wildcard_patterns_of_one_role_meet_few_requests(spark):
+    n = 10_000
+    policies = spark.range(n).select(F.lit("u").alias("role"), F.expr("concat('/x', id, '/*/y', id)").alias("path"), F.lit("GET").alias("method"))
+    asked = spark.range(n).select(F.lit("u").alias("role"), F.expr("concat('/x', id, '/p/q/y', id)").alias("path"), F.lit("GET").alias("method"))
+    _, irregular = policy._indexed(policies)
+    ends, inner, rest = policy._by_ends(irregular)
+    assert (ends.count(), inner.count(), rest.count()) == (n, 0, 0)
+    met = policy._found_by_ends(asked.withColumn("_seg", F.split("path", "/")), ends)
+    assert met.count() == n
+    assert policy.match_policies(asked, policies).count() == n
+
+
 def test_pattern_examples(spark):
     cases = [("/user/7", "/user/:id", True), ("/user/7/x", "/user/:id", False), ("/f/a/b", "/f/*", True), ("/f", "/f/*", False)]
     df = spark.createDataFrame(cases, "path string, pattern string, want boolean")
