@@ -265,9 +265,9 @@ def plain_groups(rows):
     return {i: find(i) for i in sets}
 
 
-@pytest.mark.parametrize("often", [2, 10**6])
-def test_edited_copies_are_found_as_by_brute_force(spark, monkeypatch, often):
-    monkeypatch.setattr(nearcopies, "OFTEN", often)
+@pytest.mark.parametrize("batch", [300, 1 << 20])
+def test_edited_copies_are_found_as_by_brute_force(spark, monkeypatch, batch):
+    monkeypatch.setattr(nearcopies, "BATCH", batch)
     rng = random.Random(12)
     word = lambda: rng.choice("abcdefgh") + rng.choice("stuv") + rng.choice("xyz")
     rows = []
@@ -293,6 +293,38 @@ def test_near_copies_of_the_given_documents(docs, given):
     assert {r.doc_id: r.component_id for r in nearcopies.near_copies(docs).collect()} == want
 
 
+def test_texts_that_share_a_passage_do_not_meet(spark):
+    rng = random.Random(21)
+    passage = " ".join(f"p{i}" for i in range(80))
+
+    def meetings(n):
+        rows = [(i, passage + " " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(15 + i % 9))) for i in range(n)]
+        marked = nearcopies.cut(nearcopies._marked(spark.createDataFrame(rows, "doc_id bigint, text string")))
+        assert marked.count() == n
+        shared = nearcopies.cut(nearcopies._shared(marked)).withColumn("root", F.col("h"))
+        return nearcopies._meetings(shared).count()
+
+    assert meetings(300) == 0
+
+
+def test_order_of_shingles_does_not_matter(spark, monkeypatch):
+    """Batches of any size, and texts near the bound, give what comparing all pairs gives."""
+    rng = random.Random(22)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        words = base[: rng.randint(30, 60)] if i % 2 else [rng.choice("abc") for _ in range(rng.randint(0, 40))]
+        for _ in range(rng.randint(0, 3)):
+            if words:
+                words[rng.randrange(len(words))] = f"x{rng.randrange(4)}"
+        rows.append((i, " ".join(words)))
+    want = plain_groups(rows)
+    for batch in (1, 500, 1 << 20):
+        monkeypatch.setattr(nearcopies, "BATCH", batch)
+        table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+        assert {r.doc_id: r.component_id for r in nearcopies.near_copies(table).collect()} == want
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert {r.root for r in components.components(links).collect()} == {0}
