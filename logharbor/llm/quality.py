@@ -5,12 +5,12 @@ is pi * E_P[loss(g, +)] + max(0, E_U[loss(g, -)] - pi * E_P[loss(g, -)]): what u
 what the positives in it are expected to cost, and never below zero, since a negative value there means that g has
 begun to learn the sample by heart. pi is estimated first: among texts that a plain P-against-U scorer puts above a
 threshold, the share of U over the share of P is at least pi for every threshold, and near pi where no negatives are
-left, so the smallest such ratio is taken. The positives are members of U, so no such ratio is below pi: each scorer
-gives an upper bound, and the scorer learnt with one bound, which ranks better, gives the next.
+left, so the smallest such ratio is taken. Each scorer gives an upper bound, and the scorer learnt with one bound, which ranks
+better, gives the next.
 
 A text is described by how often each pair of byte classes follows each other, by how varied its words and lines are
-and by its length. The fit uses a sample of labelled rows of at most about SAMPLE (a parameter); whole texts are used
-throughout, and every text is scored.
+and by its length. The fit uses bounded samples: about SAMPLE (a parameter) trusted rows and as many unlabelled ones, which are
+any rows of the table, labelled or not; whole texts are used throughout, and every text is scored.
 
 Results: null and empty texts have a description of zeros and the score the model gives that; repeated rows have equal
 scores; without training positives every score is 1, so nothing is rejected.
@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logharbor.llm.common import small_slices, texts
+from logharbor.llm.common import cut, small_slices, texts
 
-#: Labelled rows the fit uses, about; chosen by a hash of doc_id.
+#: Trusted rows that the fit uses, about, and unlabelled ones; chosen by a hash of doc_id.
 SAMPLE = 10_000
 #: Rows whose crc32 of doc_id leaves remainder 0 modulo FOLDS are never learnt from.
 FOLDS = 5
@@ -143,12 +143,20 @@ def fit(pos: np.ndarray, unl: np.ndarray) -> Model | None:
     if not len(pos) or not len(unl):
         return None
     mean, spread = unl.mean(0), unl.std(0) + 1e-3
-    model = Model(mean, spread, [], 0.5)
+    model = Model(mean, spread, [], 1.0)
     a, b = model.standard(pos), model.standard(unl)
-    model.weights, model.prior = _train(a, b, None), 1.0
-    for _ in range(ROUNDS):
-        model.prior = min(model.prior, estimate_prior(model.logits(pos), model.logits(unl)))
-        model.weights = _train(a, b, model.prior)
+    for prior in (None, *[0.0] * (ROUNDS - 1)):
+        # Each half is scored by what the other one has taught, so that no scorer knows by heart which rows are trusted.
+        scores: list[list[np.ndarray]] = [[], []]
+        for half in (0, 1):
+            if len(a) > 1 and len(b) > 1:
+                model.weights = _train(a[half::2], b[half::2], None if prior is None else model.prior)
+            else:
+                model.weights = _train(a, b, None)
+            scores[0].append(model.logits(pos[1 - half :: 2]))
+            scores[1].append(model.logits(unl[1 - half :: 2]))
+        model.prior = min(model.prior, estimate_prior(*(np.concatenate(s) for s in scores)))
+    model.weights = _train(a, b, model.prior)
     return model
 
 
@@ -171,9 +179,10 @@ def _described(rows: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model from the labelled rows outside the held-out fold: their texts unlabelled, those of label 1 trusted.
+    """A model from rows outside the held-out fold: those of label 1 are trusted, and unlabelled are all of docs, labels unseen.
 
-    A doc_id with several labels counts as positive if all of them are 1.
+    About ``sample`` labelled and as many unlabelled doc_ids are picked by their hash, and of each one text, so the sample is bounded
+    whatever the table holds. A doc_id with several labels counts as positive if all of them are 1.
     """
     known = (
         labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("label"))
@@ -181,16 +190,27 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         .groupBy("doc_id")
         .agg(F.min("label").alias("label"))
     )
-    n = known.count()
-    picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30)))
-    # About ``sample`` rows of two numbers: small enough to send to every task whatever the table's size.
-    rows = _described(texts(docs).join(F.broadcast(picked), "doc_id")).toPandas()
-    if rows.empty:
+    trusted = known.filter("label = 1")
+    # About ``sample`` ids: small enough to send to every task whatever the table's size.
+    trusted = cut(trusted.filter(_picked(trusted.count(), sample)).select("doc_id", F.lit(1).alias("label")))
+    own = texts(docs).filter(F.col("doc_id").isNotNull() & ~held_out())
+    unlabelled = own.filter(_picked(docs.count(), sample)).select("doc_id", F.lit(0).alias("label"), "text")
+    rows = own.join(F.broadcast(trusted), "doc_id").select("doc_id", "label", "text").unionByName(unlabelled)
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    got = _described(rows).toArrow()
+    if not got.num_rows:
         return None
-    x, label = np.stack(rows["x"].to_numpy()).astype(np.float64), rows["label"].to_numpy()
-    order = np.lexsort(x.T[:8])  # the fit must not depend on the order in which rows arrive
-    x, label = x[order], label[order]
-    return fit(x[label == 1], x)
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(got.num_rows, FEATURES)
+    label = got.column("label").to_numpy()
+    # The fit must not depend on the order in which rows arrive.
+    order = np.lexsort(np.vstack([label, x.T]))
+    x, label = x[order].astype(np.float64), label[order]
+    return fit(x[label == 1], x[label == 0])
+
+
+def _picked(rows: int, sample: int):
+    """True for about ``sample`` of so many rows, by the hash of doc_id."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, sample / max(rows, 1)) * (1 << 30))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
