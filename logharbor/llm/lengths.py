@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logharbor.llm.common import kept, read_bytes, small_slices, texts
+from logharbor.llm.common import cut, kept, read_bytes, small_slices, texts
 from logharbor.llm.tokenfile import WordEncoder
 
 #: Lengths per block of the two-level sums.
@@ -49,6 +49,7 @@ def histogram(lengths: DataFrame) -> DataFrame:
 def suffix_sums(hist: DataFrame) -> DataFrame:
     """The histogram with ``docs_from`` and ``tokens_from`` (this length or more), ``docs_to`` (this length or less)
     and ``truncated`` (all tokens left when documents are cut at this length)."""
+    hist = cut(hist)  # used twice, and made from all documents
     rows = hist.withColumn("_tokens", F.col("n_tokens") * F.col("docs")).withColumn("_block", F.floor(F.col("n_tokens") / BLOCK))
     blocks = rows.groupBy("_block").agg(F.sum("docs").alias("_d"), F.sum("_tokens").alias("_t"))
     # A row for each BLOCK lengths that occur.
