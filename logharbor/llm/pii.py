@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from logharbor.llm.common import cut, small_slices
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, MIN_SUPPORT, CONFIDENT, LIKELY = 3, 5, 0.8, 0.5
+MIN_SUPPORT, CONFIDENT, LIKELY = 5, 0.8, 0.5
 #: A pattern that occurs with very few distinct instances says little; this is added to each denominator.
 DOUBT = 1.0
 #: What a candidate of no known kind weighs against a pattern: it is what the method is to find, so little, but not
@@ -192,7 +192,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def bootstrap(found: DataFrame) -> DataFrame:
-    """(kind, pattern, confidence) of the accepted patterns, after ROUNDS rounds over the graph."""
+    """(kind, pattern, confidence) of the accepted patterns. Rounds over the graph go on until no further pattern is accepted; a
+    pattern once accepted stays, so there are no more rounds than patterns, and commonly two."""
     each = found.select(F.explode("seen").alias("o")).select("o.kind", "o.instance", F.explode("o.patterns").alias("pattern"))
     edges = cut(each.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n")).drop("n"))
     if edges.filter("kind = ''").isEmpty():
@@ -202,7 +203,7 @@ def bootstrap(found: DataFrame) -> DataFrame:
     seeds = edges.filter("kind <> ''").select("kind", "instance").distinct().withColumn("confidence", F.lit(1.0))
     known, accepted = seeds, None
     plain = cut(edges.select("pattern", "instance").distinct().join(totals, "pattern"))
-    for _ in range(ROUNDS):
+    while True:
         any_kind = known.groupBy("instance").agg(F.max("confidence").alias("settled"))
         settled = plain.join(any_kind, "instance").groupBy("pattern").agg(F.sum("settled").alias("settled"))
         met = plain.join(known, "instance").groupBy("kind", "pattern").agg(
@@ -211,14 +212,21 @@ def bootstrap(found: DataFrame) -> DataFrame:
             F.first("total").alias("total"),
         )
         against = F.col("settled") + UNKNOWN * (F.col("total") - F.col("settled")) + DOUBT
-        accepted = cut(
+        fresh = (
             met.join(settled, "pattern")
             .withColumn("confidence", F.col("sum") / against)
             .filter((F.col("support") >= MIN_SUPPORT) & (F.col("confidence") >= CONFIDENT))
             .select("kind", "pattern", "confidence")
         )
-        if accepted.isEmpty():
-            break
+        if accepted is None:
+            accepted = cut(fresh)
+            more = not accepted.isEmpty()
+        else:
+            before, fresh = accepted, cut(fresh)
+            accepted = cut(fresh.unionByName(before.join(fresh, ["kind", "pattern"], "left_anti")))
+            more = not fresh.join(before, ["kind", "pattern"], "left_anti").isEmpty()
+        if not more:
+            return accepted
         # Noisy-or over a candidate's accepted patterns; instances that are seeds stay as they are.
         doubt = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))))
         new = (
@@ -228,7 +236,6 @@ def bootstrap(found: DataFrame) -> DataFrame:
             .join(seeds.select("instance").distinct(), "instance", "left_anti")
         )
         known = cut(seeds.unionByName(new.select(*seeds.columns)))
-    return accepted
 
 
 def further_spans(found: DataFrame, accepted: DataFrame) -> DataFrame:

@@ -131,12 +131,13 @@ def deal(loose: list[tuple[int, int, int, int]], cut: dict, lack: dict[int, int]
     return out
 
 
-def even_out(dealt: dict[tuple[int, int, int], int], sizes: dict, lack: dict[int, int], steps: int = 1000) -> None:
-    """Move single dealt rows to the shard that lacks most while that evens the shards out; at most ``steps`` rows."""
+def even_out(dealt: dict[tuple[int, int, int], int], sizes: dict, lack: dict[int, int]) -> None:
+    """Move single dealt rows to the shard that lacks most until no row evens the shards out; each move lessens the sum of
+    squared differences, so it ends."""
     have: dict[int, list] = defaultdict(list)
     for row, target in dealt.items():
         insort(have[target], (sizes[row], row))
-    for _ in range(steps):
+    while True:
         to, best = max(lack, key=lambda t: (lack[t], -t)), None
         for shard, rows in have.items():
             gap = lack[to] - lack[shard]
