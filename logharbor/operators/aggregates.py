@@ -89,20 +89,43 @@ def rounded(buckets: DataFrame) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Last writer per key. An aggregate, so hot keys shrink before the shuffle."""
-    return _pick(df, keys, order, F.max_by)
+    """Last writer per key."""
+    return _pick(df, keys, order, F.max)
 
 
 def earliest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First row per key."""
-    return _pick(df, keys, order, F.min_by)
+    return _pick(df, keys, order, F.min)
 
 
 def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick) -> DataFrame:
-    # Keys come from the grouping itself, so filters on them and unused columns reach the scan.
+    """One row per key: the outermost by order, of equal ones by a hash of the other columns; of rows equal in all one.
+
+    The winner is settled on keys, order and hash alone, so a hot key shrinks before the shuffle and wide rows are neither packed into
+    an aggregate nor sorted; rows are then fetched by a hash semi join. df is read twice: write it out first if it is dear.
+    """
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    if any("map<" in kind or kind == "variant" for _, kind in df.dtypes):
+        return _pick_packed(df, keys, order, pick)
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(0).cast("bigint")
+    columns = [F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)]
+    rank = F.struct(*[F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(order)], tie.alias("_t"))
+    won = df.select(*columns, rank.alias("_rank")).groupBy(*[f"_k{i}" for i in range(len(keys))])
+    won = won.agg(pick("_rank").alias("_won")).select(*[f"_k{i}" for i in range(len(keys))], "_won.*").hint("shuffle_hash")
+    on = tie == F.col("_t")
+    for names, mark in ((keys, "k"), (order, "o")):
+        for i, c in enumerate(names):
+            on = on & F.col(f"`{c}`").eqNullSafe(F.col(f"_{mark}{i}"))
+    # Rows equal in all columns win together.
+    return df.join(won, on, "left_semi").dropDuplicates()
+
+
+def _pick_packed(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick) -> DataFrame:
+    """_pick for columns that can't be compared: the rows go through the aggregate."""
     rest = [c for c in df.columns if c not in keys]
     rank = F.struct(*[F.col(f"`{c}`") for c in order])
-    picked = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(pick(F.struct(*[F.col(f"`{c}`") for c in rest]), rank).alias("_row"))
+    by = F.max_by if pick is F.max else F.min_by
+    picked = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(by(F.struct(*[F.col(f"`{c}`") for c in rest]), rank).alias("_row"))
     return picked.select(*[F.col(f"_row.`{c}`").alias(c) if c in rest else F.col(f"`{c}`") for c in df.columns])
 
 

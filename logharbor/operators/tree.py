@@ -53,6 +53,45 @@ def closure(nodes: DataFrame, ident: str, parent: str) -> DataFrame:
         jump = found.filter(F.col("depth") == reach)
 
 
+def apply_changes(nodes: DataFrame, changes: DataFrame, ident: str, parent: str) -> DataFrame:
+    """(ident, parent) of a tree after changes (ident, parent, deleted), one for a node: inserts, moves and deletes."""
+    stay = nodes.select(ident, parent).join(changes.select(ident), ident, "left_anti")
+    return stay.unionByName(changes.filter("NOT deleted").select(ident, parent))
+
+
+def closure_delta(
+    pairs: DataFrame, nodes: DataFrame, changes: DataFrame, ident: str, parent: str
+) -> tuple[DataFrame, DataFrame]:
+    """(removed, added) pairs that bring a closure up to date after changes (ident, parent, deleted) to its nodes.
+
+    ``pairs`` is the closure of ``nodes`` as they were. Only nodes at and below a change get other ancestors: theirs are built anew
+    by doubling among themselves, and what is above the topmost of them is taken from pairs that stay. So the work goes with
+    the subtrees that changed, and the result with the pairs that differ. A change that closes a cycle raises.
+    """
+    spark = nodes.sparkSession
+    triple = ["ancestor", "descendant", "depth"]
+    asked = keys_of(changes, ident)
+    below = pairs.join(asked.select(F.col(ident).alias("ancestor")), "ancestor", "left_semi").select(F.col("descendant").alias(ident))
+    touched = keys_of(below.unionByName(asked), ident)
+    touched = load(spark, touched.schema, save(touched))
+    now = apply_changes(nodes, changes, ident, parent).join(touched, ident, "left_semi")
+    own = closure(now, ident, parent)
+    before = pairs.join(touched.select(F.col(ident).alias("descendant")), "descendant", "left_semi").select(*triple)
+    # The topmost of an own path may be a node that has not changed; its ancestors come on top.
+    tops = own.join(touched.select(F.col(ident).alias("ancestor")), "ancestor", "left_anti")
+    above = pairs.select(F.col("ancestor").alias("_up"), F.col("descendant").alias("ancestor"), F.col("depth").alias("_d"))
+    further = tops.join(above, "ancestor").select(F.col("_up").alias("ancestor"), "descendant", (F.col("depth") + F.col("_d")).alias("depth"))
+    after = own.select(*triple).unionByName(further.select(*triple))
+    after = load(spark, after.schema, save(after))
+    return before.join(after, triple, "left_anti"), after.join(before, triple, "left_anti")
+
+
+def updated(pairs: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
+    """A closure with the result of closure_delta applied."""
+    triple = ["ancestor", "descendant", "depth"]
+    return pairs.select(*triple).join(removed, triple, "left_anti").unionByName(added.select(*triple))
+
+
 def reach_from(nodes: DataFrame, ident: str, parent: str, seeds: DataFrame, down: bool) -> DataFrame:
     """(seed, node, depth) of all nodes below (``down``) or above the seeds, each seed itself at depth 0.
 

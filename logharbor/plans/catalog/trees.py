@@ -22,6 +22,27 @@ def h01_of(t: Tables):
     return tree.descendants(nodes(t), "id", "parent_id", F.col("id").isin(3, 107)).select("ancestor", "descendant", "depth")
 
 
+# Every tenth customer goes to the next nation, every seventh order is gone, nation 103 is gone too, and a nation without customers is new.
+_CHANGED_SQL = f"""SELECT id, CASE WHEN id BETWEEN 1000 AND 999999999999 AND id % 10 = 0 THEN 100 + (parent_id - 99) % 25 ELSE parent_id END AS parent_id
+    FROM ({NODES_SQL}) WHERE NOT (id >= 1000000000000 AND id % 7 = 0) AND id <> 103 UNION ALL SELECT 900, 1"""
+
+
+@query(
+    "h01_updated_closure",
+    f"""WITH RECURSIVE nodes AS ({_CHANGED_SQL}), up AS (
+      SELECT id AS descendant, parent_id AS ancestor, 1 AS depth FROM nodes WHERE parent_id <> 0
+      UNION ALL SELECT up.descendant, n.parent_id, up.depth + 1 FROM up JOIN nodes n ON n.id = up.ancestor WHERE n.parent_id <> 0)
+    SELECT ancestor, descendant, depth FROM up""",
+)
+def h01_updated(t: Tables):
+    n = nodes(t).select("id", "parent_id")
+    moved = n.filter("id BETWEEN 1000 AND 999999999999 AND id % 10 = 0").selectExpr("id", "100 + (parent_id - 99) % 25 AS parent_id", "false AS deleted")
+    gone = n.filter("(id >= 1000000000000 AND id % 7 = 0) OR id = 103").selectExpr("id", "parent_id", "true AS deleted")
+    new = t.spark.range(1).selectExpr("900L AS id", "1L AS parent_id", "false AS deleted")
+    pairs = tree.closure(n, "id", "parent_id")
+    return tree.updated(pairs, *tree.closure_delta(pairs, n, moved.unionByName(gone).unionByName(new), "id", "parent_id"))
+
+
 _STEP = "concat(sort, ':', id)"
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logharbor.operators.aggregates import latest
 from logharbor.operators.joins import keys_of
+from logharbor.session import cut
 from logharbor.sources.landed import spread
 
 KEY = ("ingest_date", "doc_id")
@@ -44,7 +45,8 @@ def write_batch(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        docs = prepare(spread(batch)) if prepare else batch
+        # Parsed once: the last row per document is settled on keys before the rows are fetched.
+        docs = cut(prepare(spread(batch))) if prepare else batch
         first = [c for c in order if c in docs.columns]
         rest = [c for c in docs.columns if c not in first and c not in keys]
         tied = docs.withColumn("_tie", F.xxhash64(*rest)) if rest else docs.withColumn("_tie", F.lit(0))

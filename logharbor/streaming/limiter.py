@@ -141,8 +141,8 @@ class Limiter(StatefulProcessor):
         )
 
     def _over(self, start: int) -> int:
-        """The millisecond from which a window is over for good."""
-        return -(-(start + self.span) // 1000)
+        """The millisecond of event time from which a window is over for good; event time is one ahead of requests."""
+        return -(-(start + self.span) // 1000) + 1
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # A key's requests of one micro-batch, which the trigger bounds; one step per window, not per row.
@@ -181,15 +181,17 @@ class Limiter(StatefulProcessor):
         pass
 
 
-def limit_stream(stream: DataFrame, limit: int, expire: float, delay: str = "0 seconds") -> DataFrame:
-    """Limiter over a stream of (key, at in microseconds, ident); needs the RocksDB state store.
+def limit_stream(stream: DataFrame, limit: int, expire: float, delay_millis: int = 0) -> DataFrame:
+    """Limiter over a stream of (key, at in microseconds since 1970, ident); needs the RocksDB state store.
 
     Requests of a micro-batch are taken in order of (at, ident), micro-batches as they come. A request more than
-    ``delay`` older than the newest one of the micro-batches before is late and lost. A key's state goes when the
+    ``delay_millis`` older than the newest one of the micro-batches before is late and lost. A key's state goes when the
     watermark has passed the end of its window, so only keys with an open window have any.
     """
     kinds = dict(stream.dtypes)
-    timed = stream.select("key", "at", "ident", F.timestamp_micros("at").alias("event_time")).withWatermark("event_time", delay)
+    # Spark takes a row at the watermark for late: a millisecond on either side keeps requests of one instant together.
+    event_time = F.timestamp_micros(F.col("at") + 1000).alias("event_time")
+    timed = stream.select("key", "at", "ident", event_time).withWatermark("event_time", f"{delay_millis + 1} milliseconds")
     return timed.groupBy("key").transformWithStateInPandas(
         statefulProcessor=Limiter(limit, expire),
         outputStructType=T.StructType.fromDDL(

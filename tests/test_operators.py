@@ -471,3 +471,30 @@ def test_run_metrics_without_reason(spark):
     df = spark.createDataFrame([("a", True), ("a", False), ("b", None)], "i string, ok boolean")
     assert rows(aggregates.run_metrics(df, F.col("ok"), by="i")) == [("a", 1, 1), ("b", 0, 1)]
     assert Counter(r.failed for r in aggregates.run_metrics(df, F.col("ok")).collect()) == {2: 1}
+
+
+# --- picks ---------------------------------------------------------------------------------
+
+
+def test_picks_by_order_and_ties(spark):
+    from logharbor.operators.aggregates import earliest, latest
+
+    data = [("a", 1, "x"), ("a", 2, "y"), ("a", 2, "y"), ("b", None, "z"), (None, 3, "u"), (None, 3, "v"), ("c", None, None), ("c", 0, None)]
+    df = spark.createDataFrame(data, "k string, at int, text string")
+    last = {r.k: (r.at, r.text) for r in latest(df, ["k"], ["at"]).collect()}
+    assert latest(df, ["k"], ["at"]).count() == len(last) == 4
+    assert last["a"] == (2, "y") and last["b"] == (None, "z") and last["c"] == (0, None) and last[None] in {(3, "u"), (3, "v")}
+    first = {r.k: (r.at, r.text) for r in earliest(df, ["k"], ["at"]).collect()}
+    assert first["a"] == (1, "x") and first["c"] == (None, None)
+    assert latest(df.repartition(5), ["k"], ["at"]).filter("k IS NULL").first().text == last[None][1]
+    packed = df.withColumn("m", F.create_map(F.lit("a"), "at"))
+    assert {r.k: r.at for r in latest(packed, ["k"], ["at"]).collect()} == {k: v[0] for k, v in last.items()}
+
+
+def test_picks_do_not_sort_wide_rows(spark):
+    from logharbor.operators.aggregates import latest
+
+    df = spark.createDataFrame([("a", 1, "x")], "k string, at int, text string")
+    plan = latest(df, ["k"], ["at"])._jdf.queryExecution().executedPlan().toString()
+    sorts = [line for line in plan.splitlines() if "Sort [" in line or "SortAggregate" in line]
+    assert "ShuffledHashJoin" in plan and not any("text#" in line for line in sorts)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from logharbor.operators import treelabels
+from logharbor.operators import tree, treelabels
 from tests.test_operators import plain_closure, rows, tree_of
 
 
@@ -72,6 +72,37 @@ def test_closure_scope_and_views_from_labels(spark, mixed):
     assert see(5000, True) == set()
 
 
+def test_closure_kept_up_to_date(spark):
+    rng = random.Random(12)
+    parents = {1: 0, 2: 0} | {i: 1 if i < 200 else rng.choice(range(1, i)) for i in range(3, 500)}
+    nodes = tree_of(spark, parents)
+    pairs = tree.closure(nodes, "id", "parent").select("ancestor", "descendant", "depth")
+    for _ in range(3):
+        below = lambda i: {d for a, d, _ in plain_closure(parents) if a == i} | {i}
+        changes, after = {}, dict(parents)
+        for i in rng.sample(sorted(parents), 12):
+            up = rng.choice([0, *sorted(set(after) - below(i))])
+            if rng.random() < 0.3:
+                changes[i] = (parents[i], True)
+                del after[i]
+            elif not any(up in below(j) for j in changes):  # several moves at once might close a cycle
+                changes[i], after[i] = (up, False), up
+        fresh = max(parents) + 1
+        changes |= {fresh: (rng.choice(sorted(after)), False), fresh + 1: (fresh, False)}
+        after |= {k: p for k, (p, gone) in changes.items() if not gone}
+        df = spark.createDataFrame([(i, p, gone) for i, (p, gone) in changes.items()], "id bigint, parent bigint, deleted boolean")
+        removed, added = tree.closure_delta(pairs, nodes, df, "id", "parent")
+        old, new = plain_closure(parents), plain_closure(after)
+        assert set(rows(removed)) == old - new and set(rows(added)) == new - old
+        assert removed.count() + added.count() == len(old ^ new)
+        pairs, parents, nodes = tree.updated(pairs, removed, added), after, tree_of(spark, after)
+        assert set(rows(pairs)) == new
+    with pytest.raises(ValueError, match="cycle"):
+        chain = tree_of(spark, {1: 0, 2: 1, 3: 2})
+        df = spark.createDataFrame([(1, 3, False)], "id bigint, parent bigint, deleted boolean")
+        tree.closure_delta(tree.closure(chain, "id", "parent"), chain, df, "id", "parent")
+
+
 def test_cycles_raise(spark):
     with pytest.raises(ValueError, match="cycle"):
         treelabels.labels(tree_of(spark, {1: 3, 2: 1, 3: 2, 4: 0}), "id", "parent", "sort")
