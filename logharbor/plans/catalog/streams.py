@@ -19,8 +19,9 @@ class StreamTables(Tables):
     """The given tables as file streams."""
 
     def __getattr__(self, name: str):
+        # A pattern, as a table is one file or a folder of files; a stream takes a plain path for a folder.
         schema = self.spark.read.parquet(self.path(name)).schema
-        return ingest.file_stream(self.spark, self.folder, schema, glob=f"{name}.parquet")
+        return ingest.file_stream(self.spark, f"{self.folder}/{{{name}.parquet}}", schema)
 
 
 def streams(t: Tables) -> StreamTables:

@@ -124,3 +124,13 @@ def test_current_prunes_days_and_can_join_them(spark):
     assert "PartitionFilters: [isnotnull(ingest_date" in plan or "PartitionFilters: [(ingest_date" in plan or "ingest_date#" in plan.split("PartitionFilters:")[1][:60]
     both = ingest.current(spark, path, columns=["doc_id", "v"], across_days=True)
     assert sorted(map(tuple, both.collect())) == [("a", 3), ("b", 1)]
+
+
+def test_a_table_that_is_a_folder_of_files_streams(spark, sf, tmp_path):
+    from logharbor.plans.catalog import CATALOG
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    pages.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    got, want = (CATALOG["t08_audit_stream"](spark, folder) for folder in (str(tmp_path), sf))
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert got.count() == pages.count()
