@@ -8,7 +8,10 @@ inside each role. Instead a pattern is described by its shape (which segments
 are literal) and the text of its literal segments. A request is looked up once
 per shape that fits its length, by equality on role, method, shape and literals.
 
-Patterns with regular-expression characters in a literal segment or with an inner wildcard are irregular. What they say before
+A pattern whose only special characters are dots stands for texts of its own length that are equal to it everywhere else, as a dot is
+one character, a slash as well. A request is looked up once per set of dots that patterns of its length have.
+
+Other patterns with regular-expression characters in a literal segment or with an inner wildcard are irregular. What they say before
 the first and behind the last irregular segment still has to stand there, so these are looked up by the shape and literals of
 both ends; those of wildcards only whose ends say nothing go by their longest inner segment. The regular expression is
 tested on what is found. Only patterns whose ends prove nothing (alternatives, escapes, inline flags) are compared within
@@ -33,6 +36,7 @@ def path_matches(path: Column, pattern: Column) -> Column:
 
 
 _PLAIN = r"^[^:*.+?^$()\[\]{}|\\]*$"
+_DOTTED = r"^[^:*+?^$()\[\]{}|\\]*$"
 _PARAM = r"^:[^/]+$"
 
 
@@ -51,7 +55,7 @@ def _literals(segments: Column, shape: Column) -> Column:
 
 
 def _indexed(policies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(patterns that shapes describe, the irregular rest)."""
+    """(patterns that shapes describe, the others)."""
     rows = policies.dropDuplicates(["role", "path", "method"]).withColumn("_seg", F.split("path", "/"))
     last = F.size("_seg") - 1
     tidy = F.forall(
@@ -120,6 +124,26 @@ def _found_by_ends(segmented: DataFrame, ends: DataFrame) -> DataFrame:
     return keyed.join(ends, ["role", "method", "_shape", "_key"])
 
 
+def _dots(pattern: Column) -> Column:
+    """The places of a pattern's dots, from 1; joined, so that Spark can group by them."""
+    places = F.transform(F.split(pattern, ""), lambda c, i: F.when(c == ".", i + 1))
+    return F.array_join(F.filter(places, lambda i: i.isNotNull()).cast("array<string>"), ",")
+
+
+def _masked(path: Column, dots: Column) -> Column:
+    """The path with dots at these places."""
+    at = F.transform(F.split(dots, ","), lambda i: i.cast("int"))
+    return F.aggregate(at, path, lambda text, i: F.overlay(text, F.lit("."), i, F.lit(1)))
+
+
+def _found_by_length(requests: DataFrame, dotted: DataFrame) -> DataFrame:
+    """Requests (role, path, method) with the dotted patterns (role, method, pattern) that differ from them in dots only."""
+    placed = dotted.withColumns({"_dots": _dots(F.col("pattern")), "_size": F.length("pattern")})
+    sets = placed.select("role", "method", "_size", "_dots").distinct()
+    keyed = requests.withColumn("_size", F.length("path")).join(sets, ["role", "method", "_size"])
+    return keyed.withColumn("pattern", _masked(F.col("path"), F.col("_dots"))).join(dotted, ["role", "method", "pattern"])
+
+
 def match_policies(requests: DataFrame, policies: DataFrame) -> DataFrame:
     """Every (request, pattern) pair that matches.
 
@@ -142,9 +166,11 @@ def match_policies(requests: DataFrame, policies: DataFrame) -> DataFrame:
         .filter(path_matches(F.col("path"), F.col("pattern")))
         .select(*requests.columns, "pattern")
     )
-    ends, inner, rest = _by_ends(irregular)
+    only_dots = F.rlike("pattern", F.lit(_DOTTED))
+    ends, inner, rest = _by_ends(irregular.filter(~only_dots))
     parts = segmented.withColumn("_inner", F.explode(F.array_distinct("_seg")))
     for met in (
+        _found_by_length(requests, irregular.filter(only_dots).select("role", "method", "pattern")),
         _found_by_ends(segmented, ends),
         parts.join(inner, ["role", "method", "_inner"]),
         requests.join(rest, ["role", "method"]),

@@ -154,6 +154,27 @@ def test_pattern_examples(spark):
     assert df.filter(policy.path_matches(F.col("path"), F.col("pattern")) != F.col("want")).count() == 0
 
 
+def test_dotted_patterns_meet_only_what_they_match(spark):
+    names = [("r", f"/en/{k}.html", "GET") for k in range(1000, 1400)]
+    odd = [("r", p, "GET") for p in ("/a.b.c", "/.", "/v1.0/x", "/x..y", "/é.ü")]
+    policies = spark.createDataFrame(names + odd, "role STRING, path STRING, method STRING")
+    paths = ["/axb/c", "//", "/a", "/v1.0/x", "/v1/0/x", "/x\ny", "/x\n\ny", "/xaby", "/é😀ü", "/é..ü", "/en/1000xhtml", "/en/1000/html", "/en/10000.html", ""]
+    requests = spark.createDataFrame(names + [("r", p, m) for p in paths for m in ("GET", "PUT")], policies.schema)
+    want = requests.alias("a").join(policies.alias("b"), ["role", "method"]).filter(policy.path_matches(F.col("a.path"), F.col("b.path")))
+    want = {(r[0], r[1]) for r in want.select("a.path", "b.path").collect()}
+    got = policy.match_policies(requests, policies).select("path", "pattern").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 405
+    # Not every page of a role with every other one.
+    dotted = policies.select("role", "method", F.col("path").alias("pattern"))
+    assert policy._found_by_length(requests, dotted).count() < 500
+
+
+def test_dots_are_looked_up_by_place(spark):
+    df = spark.createDataFrame([("/a.b/.c", "/axb/yc"), (".", "z")], "pattern STRING, path STRING")
+    got = df.select(policy._masked(F.col("path"), policy._dots(F.col("pattern"))) == F.col("pattern")).collect()
+    assert all(r[0] for r in got)
+
+
 # --- quality -------------------------------------------------------------------------------
 
 
