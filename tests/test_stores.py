@@ -147,6 +147,13 @@ def test_second_writer_of_a_version_is_told(spark):
 # --- term index -------------------------------------------------------------------------------
 
 
+def test_postings_need_no_shuffle_and_texts_are_read_once(spark):
+    texts = spark.createDataFrame([(1, "a b a"), (2, None), (3, "b")], "id int, text string")
+    found = textindex.postings(texts, "id", "text")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found, "term", "id", "deltas") == [("a", 1, [1, 2]), ("b", 1, [2]), ("b", 3, [1])]
+
+
 def test_index_reads_only_the_asked_buckets(spark):
     path = scratch(spark, "index")
     rng = random.Random(3)
