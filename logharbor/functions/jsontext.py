@@ -69,9 +69,18 @@ def is_json(text: Column) -> Column:
     wrapped = F.concat(F.lit("["), text, F.lit(',"'), digest, F.lit('"]'))
     ending = F.try_variant_get(F.try_parse_json(wrapped), "$[1]", "string")
     parsed = F.coalesce(ending == digest, F.lit(False))
+    return F.when(parsed, True).when(_beyond(text), _reads_as_json(text)).otherwise(False)
+
+
+def _beyond(text: Column) -> Column:
+    """Whether the parser may refuse a text for its size or depth."""
     opened = F.length(text) - F.length(F.translate(text, "[{", ""))
-    beyond = (F.octet_length(text) >= _LARGE) | (opened >= _DEEP)
-    return F.when(parsed, True).when(beyond, _reads_as_json(text)).otherwise(False)
+    return (F.octet_length(text) >= _LARGE) | (opened >= _DEEP)
+
+
+def may_begin_json(text: Column) -> Column:
+    """False when no JSON value stands at the beginning of the text. What follows the first value is not looked at."""
+    return F.try_parse_json(text).isNotNull() | _beyond(text)
 
 
 def json_keys(text: Column) -> Column:

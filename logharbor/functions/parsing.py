@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logharbor.functions.jsontext import is_json, let
+from logharbor.functions.jsontext import is_json, let, may_begin_json
 
 # The formats of the two vendors' text records.
 LINE_HEADER = r"\[([^\]]+)\]\s+\[([^\]]+)\]\s+\[([^\]]+)\]\[(\d+)\]"
@@ -67,8 +67,9 @@ def extract_source(line: Column) -> Column:
     """The JSON object behind the first ``source[``; NULL when there is none.
 
     A JSON object is no prefix of another one, so when the text up to its last
-    closing brace is valid JSON that is the object. Otherwise the text is cut
-    into strings, brackets and runs, and the object ends at the first token
+    closing brace, or up to the last one before a closing bracket, is valid JSON
+    that is the object. Otherwise, if the text begins with an object at all, it is
+    cut into strings, brackets and runs, and the object ends at the first token
     where the bracket depth is back at zero.
     """
 
@@ -91,10 +92,15 @@ def extract_source(line: Column) -> Column:
         return let(F.array_join(F.slice(tokens, 1, stop), ""), lambda body: F.when(is_json(body), body))
 
     def first_value(rest: Column) -> Column:
-        behind = F.length(F.substring_index(rest, "}", -1))
-        up_to_last = F.substring(rest, F.lit(1), F.length(rest) - behind)
-        tokens = F.regexp_extract_all(rest, F.lit(_TOKENS), 1)
-        whole = let(up_to_last, lambda u: F.when(is_json(u), u).otherwise(let(tokens, balanced)))
+        def up_to(end: str) -> Column:
+            behind = F.length(F.substring_index(rest, end, -1)) + (len(end) - 1)
+            return F.substring(rest, F.lit(1), F.length(rest) - behind)
+
+        folded = let(F.regexp_extract_all(rest, F.lit(_TOKENS), 1), balanced)
+        searched = F.when(may_begin_json(rest), folded)
+        closed = F.when(F.contains(rest, F.lit("}]")), let(up_to("}]"), lambda u: F.when(is_json(u), u)))
+        # The mark of the line's next field is looked at first, as most lines have it.
+        whole = F.coalesce(closed, let(up_to("}"), lambda u: F.when(is_json(u), u)), searched)
         return F.when(F.startswith(rest, F.lit("{")), whole).when(F.startswith(rest, F.lit("null")), F.lit("null"))
 
     found = F.instr(line, SOURCE_MARK)

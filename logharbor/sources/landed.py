@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from logharbor.schemas import VENDOR_A_RAW, VENDOR_B_RAW
 
 
+#: Tasks per core that a spread scan is parsed in.
+PARTS = 4
+
+
 def spread(scan: DataFrame) -> DataFrame:
-    """Give the rows of a scan with fewer splits than cores to all cores.
+    """Give the rows of a scan with fewer splits than cores to all cores, in some parts each.
 
     Parsing and masking cost far more than reading, and one large gzip file or
     row group is a single split. A scan with enough splits is left as it is, so
@@ -19,7 +23,7 @@ def spread(scan: DataFrame) -> DataFrame:
     if scan.isStreaming:
         return scan
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(PARTS * cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def look_back(now_millis: int, minutes: int) -> tuple[int, int]:

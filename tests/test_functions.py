@@ -326,3 +326,17 @@ def test_compatible_mask_is_linear():
     assert mask_cut_text(":" + "[" * 200_000 + "{") == ":" + "[" * 200_000 + "{"
     assert mask_cut_text('{"a": [1, [2]], "b": [{"c": 1}], "d": [3') == '{"a": [?], "b": [{"c": ?}], "d": [?]'
     assert time.time() - began < 5
+
+
+def test_objects_are_found_without_a_fold_where_the_next_field_has_braces(spark, monkeypatch):
+    from logharbor.functions import parsing
+
+    lines = [
+        ('x source[{"a": "}], y"}], id[}x{]', '{"a": "}], y"}'), ('source[{"a": [{}]}], id[}]x', '{"a": [{}]}'), ('source[{"a": [1}], id[}x{]', None),
+        ('source[ {"a": [{}]} {"b": [{}]}', '{"a": [{}]}'), ('source[{"a": 1}', '{"a": 1}'), ("source[null]", "null"), ("source[}]", None), ("source[{", None),
+    ]
+    df = spark.createDataFrame(lines, "line string, want string")
+    assert [r for r in df.select(parsing.extract_source(F.col("line")), "want").collect() if r[0] != r[1]] == []
+    monkeypatch.setattr(parsing, "_TOKENS", "(\x00)")
+    got = [r[0] for r in df.select(parsing.extract_source(F.col("line"))).collect()]
+    assert got[0] == lines[0][1] and got[2] is None
