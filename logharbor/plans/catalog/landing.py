@@ -98,7 +98,9 @@ def land_pages(records, keys, order, path, pull, spoilt=None):
     answers = ranked.groupBy(*keys, "page").agg(F.to_json(F.struct(F.transform(found, lambda r: r["record"]).alias("Result"))).alias("value"))
     if spoilt is not None:
         answers = answers.withColumn("value", F.when(spoilt, F.substring("value", F.lit(1), F.length("value") - 5)).otherwise(F.col("value")))
-    answers.withColumn("pull", F.lit(pull)).write.mode("append").partitionBy("pull", *keys, "page").text(path)
+    # Tasks put their own files in place: the driver would move every page by itself. A pull counts only once it is marked below.
+    writer = answers.withColumn("pull", F.lit(pull)).write.mode("append").partitionBy("pull", *keys, "page")
+    writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
     paged.mark_done(path, pull)
 
 

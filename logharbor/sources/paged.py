@@ -7,8 +7,8 @@ A pull lands the vendor's answers as they came, page by page:
 Files whose names begin with a dot or an underscore don't count. An answer is a JSON object with the records in one field. Each instance of each pull is a partition of its own. Its pages are read in
 order until one has fewer records than a page holds, or there is no further one, as the pull itself ends. A page that cannot be
 read after some attempts, does not parse, has records that do not fit the schema, or is missing before a later one breaks its
-instance: of that instance and pull comes a single row, which names page and reason in ``error``; all others go on. An instance is gone
-through twice, first to see that it is whole, so a task holds one page.
+instance: of that instance and pull comes a single row, which names page and reason in ``error``; all others go on. Records are handed on
+once their instance is known to be whole; until then they wait in an unnamed temporary file of the task, so a task holds one page and reads it once.
 
 Options: ``path``; ``pageSize`` (50); ``records``, the field of the records (Result); ``begin`` and ``end``, the window on ``timeField`` (timestamp), in
 milliseconds, both ends included; ``attempts`` (3). A schema of the records may be given, else it is vendor A's. Added columns: the
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import sys
+import tempfile
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -106,11 +107,17 @@ class Pages:
         files, root = self.files()
         found = {}
         for pull in pulls:
-            for info in files.get_file_info(fs.FileSelector(f"{root}/pull={pull}", recursive=True)):
-                folder, _, last = info.path.rpartition("/")
-                if info.type == fs.FileType.Directory and last.startswith("page="):
-                    inside = folder.partition(f"/pull={pull}/")[2]
-                    found[folder] = Instance(folder, pull, dict(part.split("=", 1) for part in inside.split("/") if part))
+            above = [f"{root}/pull={pull}"]
+            while above:
+                folder = above.pop()
+                # A folder with a first page is not listed here: that is up to the task that reads it.
+                if files.get_file_info(f"{folder}/page=1").type != fs.FileType.Directory:
+                    below = [i for i in files.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if i.type == fs.FileType.Directory]
+                    above += [i.path for i in below if not i.base_name.startswith("page=")]
+                    if not any(i.base_name.startswith("page=") for i in below):
+                        continue
+                inside = folder.partition(f"/pull={pull}/")[2]
+                found[folder] = Instance(folder, pull, dict(part.split("=", 1) for part in inside.split("/") if part))
         return [found[k] for k in sorted(found)]
 
     def _answer(self, files: fs.FileSystem, folder: str) -> list[dict]:
@@ -161,19 +168,25 @@ class Pages:
             raise Broken(f"{type(reason).__name__}: {reason}") from reason
 
     def rows(self, part: Instance) -> Iterator[pa.RecordBatch]:
-        try:
-            for _ in self._read(part):
-                pass
-        except Broken as reason:
-            row = {k: v for k, v in part.keys.items() if k in self.schema.names} | {"pull": part.pull, "error": str(reason)}
-            yield pa.RecordBatch.from_pylist([row], to_arrow_schema(self.schema))
-            return
-        for _, batch in self._read(part):
-            if self.time in batch.schema.names and (self.low is not None or self.high is not None):
-                at = batch.column(self.time).to_pylist()
-                keep = [a is not None and (self.low is None or a >= self.low) and (self.high is None or a <= self.high) for a in at]
-                batch = batch.filter(pa.array(keep, pa.bool_()))
-            yield batch
+        with tempfile.TemporaryFile() as held:
+            try:
+                with pa.ipc.new_stream(held, to_arrow_schema(self.schema)) as out:
+                    for _, batch in self._read(part):
+                        out.write_batch(self._inside(batch))
+            except Broken as reason:
+                row = {k: v for k, v in part.keys.items() if k in self.schema.names} | {"pull": part.pull, "error": str(reason)}
+                yield pa.RecordBatch.from_pylist([row], to_arrow_schema(self.schema))
+                return
+            held.seek(0)
+            yield from pa.ipc.open_stream(held)
+
+    def _inside(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The rows of a page that are inside the window."""
+        if self.time not in batch.schema.names or (self.low is None and self.high is None):
+            return batch
+        at = batch.column(self.time).to_pylist()
+        keep = [a is not None and (self.low is None or a >= self.low) and (self.high is None or a <= self.high) for a in at]
+        return batch.filter(pa.array(keep, pa.bool_()))
 
     def narrow(self, low: int | None = None, high: int | None = None) -> None:
         if low is not None:

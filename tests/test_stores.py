@@ -263,3 +263,21 @@ def test_limiter_state_goes_with_the_watermark(spark):
     assert left == [50, 50, 1]
     got = {r.ident: r.accepted for r in spark.read.parquet(out).collect()}
     assert got == {i: True for i in range(50)} | {50: False, 51: True, 53: True}
+
+
+def test_pages_are_read_once_and_instances_found_without_listing_them(spark, tmp_path, monkeypatch):
+    for node, pages in (("a", (1, 2, 3)), ("b", (2,))):
+        for page in pages:
+            folder = tmp_path / "pull=5" / f"node={node}" / f"page={page}"
+            folder.mkdir(parents=True)
+            (folder / "x").write_text(json.dumps({"Result": [{"id": page, "timestamp": page}, {"id": page, "timestamp": page}]}))
+    paged.mark_done(str(tmp_path), 5)
+    kind = spark.createDataFrame([], SCHEMA).schema
+    pages, asked = paged.Pages(kind, {"path": str(tmp_path), "pagesize": "2", "begin": "2"}), []
+    found = pages.instances(pages.pulls())
+    assert [i.keys for i in found] == [{"node": "a"}, {"node": "b"}]
+    answer = paged.Pages._answer
+    monkeypatch.setattr(paged.Pages, "_answer", lambda self, files, folder: asked.append(folder) or answer(self, files, folder))
+    assert [r["id"] for batch in pages.rows(found[0]) for r in batch.to_pylist()] == [2, 2, 3, 3]
+    assert len(asked) == 3
+    assert [r["error"] for batch in pages.rows(found[1]) for r in batch.to_pylist()] == ["page 1: missing"]
