@@ -345,12 +345,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near copies (``nearcopies``): of each component the document with the smallest doc_id stays.
+    """docs without near copies: of each component the document with the smallest doc_id stays. Components of near_duplicates are
+    compared exactly, and ``nearcopies`` adds the pairs that are farther apart than RADIUS bits.
 
     Of several rows with that doc_id the one with the smallest text stays. Rows without a doc_id cannot be told apart
     and stay as they are. All columns are kept.
     """
-    groups = near_copies(docs)
+    groups = near_copies(docs, near_duplicates(docs))
     stay = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(stay, "doc_id", "left_semi")
     # Repeated rows are rare: only the ids that occur more than once are put through a choice.

@@ -19,6 +19,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Documents are long rows: a batch of them is held by the JVM and by a Python worker at once.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
 }
 
 

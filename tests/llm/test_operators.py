@@ -704,3 +704,14 @@ def test_segments_are_cut_between_documents():
     assert stream.tobytes() == b"".join(ids)
     with pytest.raises(ValueError):
         tokenfile.from_segment(json.dumps({}).encode().ljust(64))
+
+
+def test_near_copies_begin_with_simhash_components(docs, given, monkeypatch):
+    asked = []
+    monkeypatch.setattr(simhash, "near_copies", lambda docs, near: asked.append(near) or nearcopies.near_copies(docs, near))
+    want = plain_groups(sorted(given.items()))
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(want.values())
+    assert {"doc_id", "component_id"} <= set(asked[0].columns)
+    # Components that are no copies link nothing.
+    wrong = docs.select("doc_id", F.lit(min(given)).cast("bigint").alias("component_id"))
+    assert {r.doc_id: r.component_id for r in nearcopies.near_copies(docs, wrong).collect()} == want
