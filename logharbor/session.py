@@ -19,6 +19,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Spark joins shuffled pieces until there is one for each core, up to this size, and splits a hot piece of a join beyond the
+    # second one. Short rows grow some tenfold from shuffled bytes to a task's sort, so both sizes bound what a task holds.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16m",
     # Documents are long rows: a batch of them is held by the JVM and by a Python worker at once.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
 }
