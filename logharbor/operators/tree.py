@@ -193,7 +193,8 @@ def forest(nodes: DataFrame, ident: str, parent: str, sort: str) -> DataFrame:
 
 def linked_forest(nodes: DataFrame, links: DataFrame, ident: str, parent: str, sort: str) -> DataFrame:
     """The forest of the linked nodes; a node whose parent is not linked is not reached and left out."""
-    kept = nodes.join(keys_of(links, ident), ident, "left_semi")
+    # Written out: the nodes are read for their keys, for the steps and for the result, and each time the semi join would run anew.
+    kept = cut(nodes.join(keys_of(links, ident), ident, "left_semi"))
     return forest(kept, ident, parent, sort).filter("reached").drop("reached")
 
 
