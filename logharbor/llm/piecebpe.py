@@ -31,8 +31,10 @@ from logharbor.llm.common import WordCache, extended, kept, read_bytes, small_sl
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: Words remembered per worker, and pairs whose compatibility is remembered; beyond it they are computed again.
-CACHE_WORDS, CACHE_PAIRS, CACHE_CHARS = 600_000, 300_000, 48
+#: Words remembered per worker, and half as many pairs whose compatibility is remembered; beyond it they are computed again.
+CACHE_WORDS, CACHE_CHARS = 600_000, 48
+#: Words remembered by ``encode_documents``: its workers stay beside a heap that other stages have filled, and beside those stages when these run again.
+STAGE_WORDS = 150_000
 #: Runs of Latin letters and runs of anything else, each with the marks before it.
 LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 RUNS = re.compile(f"{MARK}*(?:[{LETTER}]+|[^{LETTER}{MARK}]+)|{MARK}+")
@@ -42,7 +44,7 @@ IDS, JOINED = itemgetter(0), itemgetter(1)
 class PieceBpe:
     """Encoder and decoder of one BPE model with byte fallback."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, remembered: int = CACHE_WORDS):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
@@ -69,7 +71,7 @@ class PieceBpe:
         self.pairs: dict[tuple[str, str], bool] = {}
         # No piece joins characters of two kinds, so no merge crosses from one run to the next.
         self.by_run = self.by_word and all(len(RUNS.findall(piece)) == 1 for piece in normal)
-        self.words, self.runs = WordCache(CACHE_WORDS), WordCache(CACHE_WORDS // 2)
+        self.words, self.runs, self.most_pairs = WordCache(remembered), WordCache(remembered // 2), remembered // 2
 
     def _prefix_of(self, piece: str) -> str | None:
         return next((piece[:n] for n in range(len(piece) - 1, 0, -1) if piece[:n] in self.ids), None)
@@ -93,7 +95,7 @@ class PieceBpe:
         known = self.pairs.get(key)
         if known is None:
             known = self.merge(left + right) == [left, right]
-            if len(self.pairs) >= CACHE_PAIRS:
+            if len(self.pairs) >= self.most_pairs:
                 self.pairs.clear()
             self.pairs[key] = known
         return known
@@ -187,8 +189,8 @@ class PieceBpe:
         return self.library.decode(ids, num_threads=1)
 
 
-def _codec(model) -> PieceBpe:
-    return kept(("piecebpe", hashlib.sha256(model.value).digest()), lambda: PieceBpe(model.value))
+def _codec(model, remembered: int = CACHE_WORDS) -> PieceBpe:
+    return kept(("piecebpe", remembered, hashlib.sha256(model.value).digest()), lambda: PieceBpe(model.value, remembered))
 
 
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
@@ -200,7 +202,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     rest = docs.drop("ids", "decoded")
 
     def run(batches):
-        codec = _codec(model)
+        codec = _codec(model, STAGE_WORDS)
         for batch in small_slices(batches):
             coded = [codec.encode(t or "")[0] for t in batch.column("text").to_pylist()]
             columns = [*batch.columns, pa.array(coded, pa.list_(pa.int32())), pa.array(codec.decode(coded), pa.string())]

@@ -40,3 +40,17 @@ def test_stages_on_an_empty_table(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = cut(stage(spark, docs, sf))
     assert docs.count() == 0
+
+
+def test_the_stage_encoder_remembers_less_and_gives_the_same():
+    import public_tokenizers
+
+    from logharbor.llm import piecebpe
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    few, many = piecebpe.PieceBpe(model, 8), piecebpe.PieceBpe(model)
+    for text in ["", "one two three four five six seven eight nine ten", "Größe 12,5 kg — naïve façade", "a  b\n\tc " * 9]:
+        assert few.encode(text) == many.encode(text)
+    assert len(few.words.new) + len(few.words.old) <= 8
+    assert piecebpe.STAGE_WORDS < piecebpe.CACHE_WORDS
