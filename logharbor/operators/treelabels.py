@@ -22,7 +22,7 @@ from logharbor.session import cut
 
 #: Neighbouring labels that are compared in one task: a cell of the tour.
 CELL = 64
-LABELS = ("id", "enter", "leave", "depth", "size", "top", "is_root", "present")
+LABELS = ("id", "enter", "leave", "depth", "size", "top", "rooted", "is_root", "present")
 
 
 def _with_parents(nodes: DataFrame, ident: str, parent: str, sort: str) -> DataFrame:
@@ -39,12 +39,12 @@ def _with_parents(nodes: DataFrame, ident: str, parent: str, sort: str) -> DataF
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """(id, size, depth, top) of every node: the nodes of its subtree, the steps to the top of its tree, and that top.
+    """(id, size, depth, top, rooted) of every node: the nodes of its subtree, the steps to the top of its tree, that top, and whether it is a root.
 
     In round r a node hands the sum it has to the node 2^r above, whose own sum then reaches as much further down.
     """
     steps = F.when(F.col("up").isNull(), 0).otherwise(1)
-    state = cut(rows.select("id", "up", F.lit(1).cast("bigint").alias("size"), steps.alias("depth"), F.coalesce("up", "id").alias("top")))
+    state = cut(rows.select("id", "up", F.lit(1).cast("bigint").alias("size"), steps.alias("depth"), F.coalesce("up", "id").alias("top"), F.col("is_root").alias("rooted")))
     count, reach = state.count(), 1
     while True:
         open_ = state.filter("up IS NOT NULL")
@@ -53,18 +53,18 @@ def _sized(rows: DataFrame) -> DataFrame:
         if reach > count:
             raise ValueError(CYCLE)
         more = open_.groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("_more"))
-        above = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("top").alias("_top"))
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("top").alias("_top"), F.col("rooted").alias("_rooted"))
         moved = open_.join(above, "up").select(
-            "id", F.col("_up").alias("up"), "size", (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_top").alias("top")
+            "id", F.col("_up").alias("up"), "size", (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_top").alias("top"), F.col("_rooted").alias("rooted")
         )
         moved = moved.unionByName(state.filter("up IS NULL"))
         size = (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size")
-        state = cut(moved.join(more, "id", "left").select("id", "up", size, "depth", "top"))
+        state = cut(moved.join(more, "id", "left").select("id", "up", size, "depth", "top", "rooted"))
         reach *= 2
 
 
 def labels(nodes: DataFrame, ident: str, parent: str, sort: str) -> DataFrame:
-    """The labels (LABELS) of every node; ``top`` is the top of its tree, ``is_root`` that it has parent 0. Raises on a cycle."""
+    """The labels (LABELS) of every node; ``top`` is the top of its tree, ``rooted`` that this is a root, ``is_root`` that the node itself has parent 0. Raises on a cycle."""
     rows = cut(_with_parents(nodes, ident, parent, sort))
     sized = cut(_sized(rows))
     placed = rows.select("id", "up", "sort").join(sized, "id")
@@ -77,7 +77,7 @@ def labels(nodes: DataFrame, ident: str, parent: str, sort: str) -> DataFrame:
         entered.select("id", F.col("value").alias("enter"))
         .join(sized, "id")
         .join(rows.select("id", "is_root", "present"), "id")
-        .select("id", "enter", (F.col("enter") + F.col("size") - 1).alias("leave"), "depth", "size", "top", "is_root", "present")
+        .select("id", "enter", (F.col("enter") + F.col("size") - 1).alias("leave"), "depth", "size", "top", "rooted", "is_root", "present")
     )
 
 
@@ -127,6 +127,6 @@ def visible(nodes: DataFrame, labelled: DataFrame, ident: str, caller: object, s
         first = view["enter"] if view["is_root"] else view["enter"] + 1
         seen = labelled.filter(F.col("enter").between(first, view["leave"]))
     else:
-        roots = labelled.filter("is_root").select(F.col("id").alias("top"))
-        seen = labelled.join(roots, "top", "left_semi")
+        # Not a join by top: a large tree would be one key.
+        seen = labelled.filter("rooted")
     return nodes.join(keys_of(seen.select(F.col("id").alias(ident)), ident), ident, "left_semi")

@@ -121,3 +121,12 @@ def test_chain_of_a_hundred_thousand(spark):
 def test_empty_tree(spark):
     nodes = tree_of(spark, {1: 0}).limit(0)
     assert treelabels.labels(nodes, "id", "parent", "sort").count() == 0
+
+
+def test_the_loose_view_needs_no_join_by_top(spark):
+    nodes = spark.createDataFrame([(1, 0, 1), (2, 1, 1), (3, 2, 1), (4, 3, 1), (5, 9, 1), (6, 5, 1), (7, None, 1), (8, 0, 1)], "id long, parent long, sort int")
+    labelled = treelabels.labels(nodes, "id", "parent", "sort")
+    assert {r.id for r in labelled.filter("rooted").collect()} == {1, 2, 3, 4, 8}
+    seen = treelabels.visible(nodes, labelled, "id", None, False)
+    assert {r.id for r in seen.collect()} == {1, 2, 3, 4, 8}
+    assert seen._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") == 1
