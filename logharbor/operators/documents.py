@@ -42,6 +42,18 @@ def with_template(df: DataFrame, mode: str = "strict") -> DataFrame:
 
 def flatten_a(raw: DataFrame, task: str = "", mode: str = "strict") -> DataFrame:
     """Vendor A raw rows to documents; a row whose time is malformed is dropped."""
+    return _identified_a(with_template(_flat_a(raw), mode), task)
+
+
+def fields_a(raw: DataFrame, task: str = "") -> DataFrame:
+    """flatten_a without what masking finds out: all that tells documents and their versions apart.
+
+    ``with_template`` makes these rows the documents of ``flatten_a``, so it can wait until it is settled which of them are kept.
+    """
+    return _identified_a(_flat_a(raw).withColumn("dslHash", fingerprint(F.col("queryText"))), task)
+
+
+def _flat_a(raw: DataFrame) -> DataFrame:
     c = "contentCollection"
     flat = raw.select(
         parse_event_time(F.col(f"{c}.time")).alias("_t"),
@@ -58,7 +70,10 @@ def flatten_a(raw: DataFrame, task: str = "", mode: str = "strict") -> DataFrame
         _text(f"{c}.slow_search_log_type").alias("slowSearchType"),
         lenient_long(F.col(f"{c}.total_shards")).alias("shardTotal"),
     ).filter("_t IS NOT NULL")
-    documents = with_template(flat.withColumn("eventTime", iso_millis(F.col("_t"))).drop("_t"), mode)
+    return flat.withColumn("eventTime", iso_millis(F.col("_t"))).drop("_t")
+
+
+def _identified_a(documents: DataFrame, task: str) -> DataFrame:
     return documents.withColumns(
         {
             "taskId": F.lit(task),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logharbor.functions import fingerprint, mask_json, usage_percentages
-from logharbor.operators.documents import flatten_a
+from logharbor.operators.documents import fields_a, with_template
 from logharbor.operators.filters import slow_for_source
 from logharbor.plans.catalog.base import DOCS_SQL, QUERY_TEXT_DUCK, QUERY_TEXT_SPARK, REPORT_DAY, THRESHOLDS, Tables, mask_sql, query
 from logharbor.plans.catalog.landing import DUMP_END, vendor_a_rows
@@ -42,11 +42,11 @@ def t01(t: Tables):
     pulls = vendor_a_rows(s).unionByName(vendor_a_rows(s))
 
     def documents(batch):
-        return flatten_a(batch, task="north").withColumn("ingest_date", F.lit(REPORT_DAY))
+        return fields_a(batch, task="north").withColumn("ingest_date", F.lit(REPORT_DAY))
 
     for _ in range(2):
         # The second run starts from the checkpoint and finds nothing new.
-        ingest.ingest(pulls, path, f"{path}-checkpoint", documents).awaitTermination()
+        ingest.ingest(pulls, path, f"{path}-checkpoint", documents, finish=with_template).awaitTermination()
     return ingest.current(t.spark, path).select(
         "doc_id", F.col("taskId").alias("task_id"), F.col("indexName").alias("index_name"),
         F.col("durationMs").alias("duration_ms"), F.col("dslFormat").alias("dsl_format"),
