@@ -62,8 +62,9 @@ def write_batch(
 def _last(docs: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row per key by order, then by a hash of all other columns; docs is read once.
 
-    Rows of a key are first brought near each other in pieces of bounded size, of which a hot key may fill several. Spark ranks inside
-    each piece before it moves the rows that lead there by key, so copies end in the piece and no task sorts more than its piece.
+    Rows of a key are first brought near each other in pieces of bounded size; Spark splits larger ones, so a hot key fills several.
+    It ranks inside each piece before it moves the rows that lead there by key. Copies end in their piece unless it was split; then
+    they move twice. The last ranking sorts a shuffle partition of leading rows, so that setting should grow with the input.
     """
     rest = [c for c in docs.columns if c not in order and c not in keys]
     tie = F.xxhash64(*rest) if rest else F.lit(0)
